@@ -55,10 +55,16 @@ def row_number_in_blocks(df: DataFrame, keys: Sequence[str], blocks: Sequence[st
             .drop("_off"))
 
 
-def global_row_number(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
-    """1-based position of each row when the whole table is ordered by (value, tie)."""
-    rows = df.count()
-    cuts, ties = boundaries(df, value, rows), boundaries(df, tie, rows)
+def global_row_number(df: DataFrame, value: str, tie: str, out: str, base: DataFrame | None = None,
+                      rows: int | None = None) -> DataFrame:
+    """1-based position of each row when the whole table is ordered by (value, tie).
+
+    ``base`` is a table with the same (value, tie) pairs that is cheap to read twice, such as
+    a checkpoint; boundaries and the row count are taken from it.
+    """
+    base = df if base is None else base
+    rows = base.count() if rows is None else rows
+    cuts, ties = boundaries(base, value, rows), boundaries(base, tie, rows)
     b = block_of(F.col(value), cuts)
     blocked = (df.withColumn("_b", b)
                .withColumn("_t", F.when(F.col("_b") % 2 == 1, block_of(F.col(tie), ties)).otherwise(F.lit(0))))
@@ -66,11 +72,12 @@ def global_row_number(df: DataFrame, value: str, tie: str, out: str) -> DataFram
     return ranked.drop("_b", "_t")
 
 
-def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str) -> DataFrame:
+def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, base: DataFrame | None = None,
+          rows: int | None = None) -> DataFrame:
     """ntile over the whole table; ``tie`` makes the order total."""
-    n = df.count()
-    q, r = divmod(n, tiles)
-    ranked = global_row_number(df, value, tie, "_rn")
+    rows = (df if base is None else base).count() if rows is None else rows
+    q, r = divmod(rows, tiles)
+    ranked = global_row_number(df, value, tie, "_rn", base, rows)
     zero = F.col("_rn") - 1
     big = r * (q + 1)
     tile = F.when(zero < big, F.floor(zero / (q + 1)) + 1)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views"]
+MODULES = ["metric_views", "customer"]
 
 
 def load_all() -> None:
