@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer"]
+MODULES = ["metric_views", "customer", "inventory"]
 
 
 def load_all() -> None:
