@@ -84,11 +84,15 @@ def preferred_channel_match(star: Star) -> DataFrame:
                          F.col("match_key").isNull().alias("is_fallback"))
 
 
-def affinity(star: Star) -> DataFrame:
-    """A01 without the rank: purchases full-outer-joined with views and cart adds on one key."""
-    bought = (star.sales().where(~F.col("is_return")).groupBy("customer_key", "product_key")
+def affinity(star: Star, customer_key: int | None = None) -> DataFrame:
+    """A01 without the rank: purchases full-outer-joined with views and cart adds on one key.
+
+    With ``customer_key`` both sides are cut to that customer before the join.
+    """
+    mine = F.lit(True) if customer_key is None else F.col("customer_key") == customer_key
+    bought = (star.sales().where(~F.col("is_return") & mine).groupBy("customer_key", "product_key")
               .agg(F.countDistinct("transaction_id").alias("p"), F.sum("net_cents").alias("spent"), F.max("day").alias("sd")))
-    seen = (star.events().groupBy("customer_key", "product_key")
+    seen = (star.events().where(mine).groupBy("customer_key", "product_key")
             .agg(F.count(F.when(F.col("event_type") == "product_view", 1)).alias("v"),
                  F.count(F.when(F.col("event_type") == "add_to_cart", 1)).alias("c"), F.max("day").alias("ed")))
     zero = F.lit(0).cast("long")

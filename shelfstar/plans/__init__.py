@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer", "inventory"]
+MODULES = ["metric_views", "customer", "inventory", "cross_domain"]
 
 
 def load_all() -> None:
