@@ -87,13 +87,12 @@ def allocations(star: Star) -> DataFrame:
     run = (Window.partitionBy(*POSITION, "day").orderBy(*tie)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = F.sum("quantity").over(run)
-    lines = star.lines().select("transaction_id", "line_number", *POSITION, "day", *tie[2:])
+    lines = star.lines()
     return (lines.join(days, [*POSITION, "day"]).withColumn("cum", cum)
             .withColumn("stock_before", F.greatest(F.lit(0), F.col("stock_start") - F.col("cum") + F.col("quantity")))
             .withColumn("allocated", F.least(F.col("quantity"), F.col("stock_before")))
             .withColumn("is_constrained", F.col("allocated") < F.col("quantity"))
-            .select("transaction_id", "line_number", *POSITION, "day", "quantity", "net_cents", "is_return",
-                    "stock_before", "allocated", "is_constrained"))
+            .drop("cum", "stock_start"))
 
 
 def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_priority: bool = False) -> DataFrame:

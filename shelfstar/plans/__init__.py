@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer", "inventory", "cross_domain"]
+MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs"]
 
 
 def load_all() -> None:
