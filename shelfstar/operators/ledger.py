@@ -200,7 +200,7 @@ def daily_totals(star: Star) -> DataFrame:
 
 
 def stockout_periods(star: Star) -> DataFrame:
-    """From the day a sale empties a position to the next restock; open ones have no end."""
+    """From the day a sale empties a position to the next restock (which may still be due)."""
     after = Window.partitionBy(*POSITION).orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     next_restock = F.min(F.when(F.col("restock") > 0, F.col("day"))).over(after)
     return (stock_walk(star).withColumn("end_day", next_restock)
@@ -208,6 +208,28 @@ def stockout_periods(star: Star) -> DataFrame:
             .select(*POSITION, F.col("day").alias("start_day"), "end_day", "units_total", "selling_days"))
 
 
+def zero_days_until(star: Star, probes: DataFrame) -> DataFrame:
+    """For (position, day) probes: how many days up to and including that day had no stock.
+
+    States and probes are merged in one window per position (bounded by the calendar); each
+    probe reads the running total of the states before it and its share of the current one.
+    """
+    length = F.when(F.col("stock") == 0, F.datediff("last_day", "first_day") + 1).otherwise(F.lit(0))
+    none = F.lit(None)
+    extra = [c for c in probes.columns if c not in (*POSITION, "day")]
+    states = intervals(star).select(*POSITION, F.col("first_day").alias("day"), F.lit(0).alias("kind"), "first_day",
+                                    length.alias("zeros"), *[none.cast(probes.schema[c].dataType).alias(c) for c in extra])
+    asked = probes.select(*POSITION, "day", F.lit(1).alias("kind"), none.cast("date").alias("first_day"),
+                          none.cast("int").alias("zeros"), *extra)
+    w = Window.partitionBy(*POSITION).orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.coalesce(F.sum("zeros").over(w), F.lit(0))
+    current = F.coalesce(F.last("zeros", ignorenulls=True).over(w), F.lit(0))
+    since = F.last("first_day", ignorenulls=True).over(w)
+    partial = F.when(current > 0, F.datediff("day", since) + 1).otherwise(F.lit(0))
+    return (states.unionByName(asked).withColumn("zero_days", total - current + partial)
+            .where("kind = 1").select(*POSITION, "day", *extra, "zero_days"))
+
+
 def average_daily_sales(star: Star) -> DataFrame:
     """Lines and units per selling day of a position."""
     daily = star.lines().groupBy(*POSITION, "day").agg(F.count("*").alias("n"), F.sum("quantity").alias("q"))
@@ -227,7 +249,7 @@ def touches_months(start: Column, end: Column, months: tuple[int, ...]) -> Colum
 def stockout_events(star: Star) -> DataFrame:
     """Closed periods with the sales they lost; half as much again in peak months."""
     from shelfstar.config import PEAK_STOCKOUT_MONTHS
-    closed = stockout_periods(star).drop("units_total", "selling_days").where(F.col("end_day").isNotNull())
+    closed = stockout_periods(star).drop("units_total", "selling_days").where(F.col("end_day") <= F.lit(star.as_of))
     days = F.datediff("end_day", "start_day") + 1
     e = (closed.join(average_daily_sales(star), POSITION)
          .join(star.product().select("product_key", "price_cents"), "product_key", "left")

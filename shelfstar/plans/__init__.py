@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs"]
+MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs", "contracts"]
 
 
 def load_all() -> None:

@@ -75,7 +75,7 @@ TABLES: dict[str, str] = {
           s_suppkey % 29 <> 28 as location_active
         from supplier join geo on s_nationkey = n_nationkey""",
     "channel_d": f"""
-        select * from (values {_chan}) as t(channel_key, channel_code, channel_name, channel_type, channel_category,
+        select * replace (cast(commission_rate as double) as commission_rate) from (values {_chan}) as t(channel_key, channel_code, channel_name, channel_type, channel_category,
           device_category, is_digital, is_owned, commission_rate)""",
     "lines": f"""
         select l_orderkey as transaction_id, l_linenumber as line_number, l_partkey as product_key,
@@ -180,7 +180,7 @@ TABLES: dict[str, str] = {
                 cast(units_total * (date_diff('day', start_day, end_day) + 1) // selling_days as bigint) as units,
                 exists (select 1 from generate_series(start_day, end_day, interval 1 day) g(x) where month(x) in (11, 12)) as peak
               from periods p join avg_daily using (product_key, location_key)
-              left join product_d using (product_key) where end_day is not null) t""",
+              left join product_d using (product_key) where end_day <= (select d from horizon)) t""",
     "affinity_0": """
         select coalesce(s.customer_key, e.customer_key) as customer_key, coalesce(s.product_key, e.product_key) as product_key,
           coalesce(p, 0) as purchase_count, coalesce(spent, 0) as spent, coalesce(v, 0) as view_count,
