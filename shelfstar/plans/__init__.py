@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs", "contracts"]
+MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs", "contracts", "text"]
 
 
 def load_all() -> None:
