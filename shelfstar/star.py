@@ -72,22 +72,31 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None):
         self.spark, self.dir, self.config = spark, sf_dir.rstrip("/"), (config or Config()).validate()
+        self._raw: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
         spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
-    def as_of(self) -> dt.date:
-        """Latest sale date: one value, read once, then a literal that scans can prune on."""
-        return self.raw("lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
+    def _span(self) -> tuple[dt.date, dt.date]:
+        """First and latest sale date: one row, read once, then literals that scans can prune on."""
+        d = F.col("l_shipdate")
+        row = self.raw("lineitem").agg(F.min(d).cast("date").alias("a"), F.max(d).cast("date").alias("b")).first()
+        return row.a, row.b
 
-    @cached_property
+    @property
     def first_day(self) -> dt.date:
-        return self.raw("lineitem").agg(F.min("l_shipdate").cast("date")).first()[0]
+        return self._span[0]
+
+    @property
+    def as_of(self) -> dt.date:
+        return self._span[1]
 
     def days_back(self, n: int) -> dt.date:
         return self.as_of - dt.timedelta(days=n)
