@@ -101,7 +101,8 @@ def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_p
     ``requests``: product, location, day, request_id, requested[, priority]; ``stock``: the
     start stock per product, location and day.
     """
-    mix = (F.col("request_id") * 7919 + seed * 104729) % 1000003
+    m = (F.col("request_id") * 7919 + seed * 104729) % 1000003
+    mix = m * m % 1000003  # squaring, or the seed would only shift the order
     order = ([F.col("priority").desc()] if by_priority else []) + [mix, F.col("request_id"), F.col("requested")]
     run = Window.partitionBy(*POSITION, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (requests.join(stock, [*POSITION, "day"])

@@ -160,7 +160,7 @@ def _requests(star: Star) -> tuple[DataFrame, DataFrame]:
 def _batch_sql(order: str) -> str:
     return f"""
     with q as (select *, transaction_id as request_id, quantity as requested, transaction_id % 3 as priority,
-        (transaction_id * 7919 + 42 * 104729) % 1000003 as mix from lines),
+        ((transaction_id * 7919 + 42 * 104729) % 1000003) * ((transaction_id * 7919 + 42 * 104729) % 1000003) % 1000003 as mix from lines),
     c as (select q.*, stock_start, sum(requested) over (partition by product_key, location_key, day order by {order} rows unbounded preceding) as cum
       from q join walk using (product_key, location_key, day))
     select product_key, location_key, day, request_id, requested, priority, stock_start, cast(least(cum, stock_start) - least(cum - requested, stock_start) as bigint) as allocated,

@@ -118,7 +118,8 @@ class SyncedTable:
 
     Rows live in hash buckets. A batch rewrites only the buckets it touches, into a folder of its own
     batch id, so a repeated batch overwrites itself and readers never see half a batch: of each bucket
-    the newest folder counts.
+    the newest folder counts. Keys deleted by a batch stay in its folder as marked rows, so that a bucket
+    that has become empty still has a newest folder.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, version: str, buckets: int = 16):
@@ -142,18 +143,20 @@ class SyncedTable:
             done = files.exists(jvm.org.apache.hadoop.fs.Path(p.getParent(), "_SUCCESS"))
             if done and (before is None or batch < before) and batch >= newest.get(bucket, (-1, ""))[0]:
                 newest[bucket] = (batch, p.toString())
-        return self.spark.read.parquet(*[p for _, p in newest.values()]) if newest else None
+        if not newest:
+            return None
+        return self.spark.read.parquet(*[p for _, p in newest.values()]).where(~F.col("_gone")).drop("_gone")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         """Upsert inserts and updates, drop deletes; the newest version of a key wins."""
         rest = [c for c in changes.columns if c != self.key]
         latest = changes.groupBy(self.key).agg(F.max_by(F.struct(*rest), self.version).alias("r")).select(self.key, "r.*")
         old = self.read(before=batch)
-        live = latest.where("change_type <> 'delete'").drop("change_type")
+        live = latest.withColumn("_gone", F.col("change_type") == "delete").drop("change_type")
         if old is not None:
             touched = [r[0] for r in latest.select(self._bucket()).distinct().collect()]  # at most one per bucket
             kept = old.where(self._bucket().isin(touched)).join(latest.select(self.key), self.key, "left_anti")
-            live = kept.unionByName(live)
+            live = kept.withColumn("_gone", F.lit(False)).unionByName(live)
         (live.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
          .parquet(f"{self.path}/batch={batch}"))
 
