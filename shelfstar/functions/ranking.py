@@ -114,9 +114,13 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(before.select(value, rank.alias(out)), value)
 
 
-def exact_percentiles(df: DataFrame, value: str, points: dict[str, float],
-                      keys: Sequence[str] = ()) -> DataFrame:
-    """Interpolated percentiles (continuous definition), exact, one row per key."""
+def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], keys: Sequence[str] = (),
+                      extra: dict[str, Column] | None = None) -> DataFrame:
+    """Interpolated percentiles (continuous definition), exact, one row per key.
+
+    ``extra`` are further aggregates over the histogram, with columns ``value`` and ``_n``
+    (rows that have the value), so counts, sums and extremes need no second scan.
+    """
     keys = list(keys)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     hist = hist.withColumn("_b", block_of(F.col(value), boundaries(hist, value)))
@@ -130,4 +134,4 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float],
         high = F.max(F.when((first <= hi) & (hi < last), F.col(value)))
         frac = F.max(pos - lo)
         picks.append((low + (high - low) * frac).cast("double").alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    return ranked.groupBy(*keys).agg(*picks, *[c.alias(n) for n, c in (extra or {}).items()])

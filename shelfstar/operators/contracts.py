@@ -45,17 +45,21 @@ def check_schema(df: DataFrame, contract: dict) -> DataFrame:
 def check_keys(df: DataFrame, contract: dict, dims: dict[str, DataFrame]) -> DataFrame:
     """Duplicate primary keys and orphan foreign keys.
 
-    Rows are counted per key value before the shuffle, so a value that fills much of the
-    table meets its dimension as one row.
+    All foreign keys are read in one pass as (column, value) pairs and counted before the
+    shuffle, so a value that fills much of the table meets its dimension as one row.
     """
-    table, pk = contract["table"], contract["primary_key"]
+    spark, table, pk, fks = df.sparkSession, contract["table"], contract["primary_key"], contract["foreign_keys"]
     dup = df.groupBy(*pk).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
-    out = dup.select(F.lit(table).alias("table"), F.lit("unique:" + ",".join(pk)).alias("rule"), "violations")
-    for col, dim in contract["foreign_keys"].items():
-        used = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("k")).agg(F.count("*").alias("n"))
-        orphans = used.join(dims[dim].select(F.col("k").cast("long")).distinct(), "k", "left_anti")
-        out = out.unionByName(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-            F.lit(table).alias("table"), F.lit(f"foreign_key:{col}").alias("rule"), "violations"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("fk"), F.col(c).cast("long").alias("k")) for c in fks])
+    used = df.select(F.inline(pairs)).where(F.col("k").isNotNull()).groupBy("fk", "k").agg(F.count("*").alias("n"))
+    known = None
+    for c, dim in fks.items():
+        one = dims[dim].select(F.lit(c).alias("fk"), F.col("k").cast("long").alias("k"))
+        known = one if known is None else known.unionByName(one)
+    none = spark.createDataFrame([(c, 0) for c in fks], "fk string, n long")
+    orphans = used.join(known, ["fk", "k"], "left_anti").select("fk", "n").unionByName(none).groupBy("fk").agg(F.sum("n").alias("violations"))
+    out = dup.select(F.lit(table).alias("table"), F.lit("unique:" + ",".join(pk)).alias("rule"), "violations").unionByName(
+        orphans.select(F.lit(table).alias("table"), F.concat(F.lit("foreign_key:"), "fk").alias("rule"), "violations"))
     return out.withColumn("passed", F.col("violations") == 0)
 
 

@@ -9,7 +9,7 @@ from shelfstar.config import (DIGITAL_RETURN_FACTOR, MONTH_FACTOR, SEGMENT_RULES
 from shelfstar.functions.exprs import date_key
 from shelfstar.functions.ranking import block_of, boundaries, row_number_in_blocks
 from shelfstar.operators import ledger
-from shelfstar.star import SEASON_OF_DAY, TOP_SIZES, Star, nth
+from shelfstar.star import CHANNELS, SEASON_OF_DAY, TOP_SIZES, Star, nth
 
 REASONS = ["high_shipping", "price_concern", "comparison_shopping", "technical_issue", "payment_issue"]
 KEPT_REASONS = ["changed_mind", "found_better_price", "quality_issue"]
@@ -74,14 +74,10 @@ def return_rate(star: Star) -> DataFrame:
 
 def preferred_channel_match(star: Star) -> DataFrame:
     """First channel whose code contains the preference, else one chosen by the key."""
-    ch = star.channel().select("channel_key", "channel_code")
-    wanted = star.customer().select("preferred_channel").distinct()
-    hit = (wanted.join(ch, F.lower("channel_code").contains(F.col("preferred_channel")))
-           .groupBy("preferred_channel").agg(F.min("channel_key").alias("match_key")))
-    picked = star.customer().select("customer_key", "preferred_channel").join(F.broadcast(hit), "preferred_channel", "left")
-    return picked.select("customer_key", "preferred_channel",
-                         F.coalesce("match_key", (F.col("customer_key") % 8 + 1).cast("int")).alias("channel_key"),
-                         F.col("match_key").isNull().alias("is_fallback"))
+    match = F.coalesce(*[F.when(F.lit(c[1].lower()).contains(F.col("preferred_channel")), F.lit(c[0])) for c in CHANNELS])
+    return star.customer().select("customer_key", "preferred_channel", match.alias("m")).select(
+        "customer_key", "preferred_channel", F.coalesce("m", (F.col("customer_key") % 8 + 1).cast("int")).alias("channel_key"),
+        F.col("m").isNull().alias("is_fallback"))
 
 
 def affinity(star: Star, customer_key: int | None = None) -> DataFrame:

@@ -131,9 +131,10 @@ def length_profile(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Character lengths with six exact percentiles."""
     lengths = df.where(F.col(text_col).isNotNull()).select(F.length(text_col).alias("len"))
     points = {"p25_chars": 0.25, "median_chars": 0.5, "p75_chars": 0.75, "p90_chars": 0.9, "p95_chars": 0.95, "p99_chars": 0.99}
-    rest = lengths.agg(F.count("*").alias("total_documents"), F.min("len").alias("min_chars"), F.max("len").alias("max_chars"),
-                       half_up(F.avg("len"), 0).alias("avg_chars"), F.lit(1).alias("one"))
-    return rest.join(exact_percentiles(lengths, "len", points).withColumn("one", F.lit(1)), "one").drop("one")
+    n = F.sum("_n")
+    return exact_percentiles(lengths, "len", points, extra={
+        "total_documents": n, "min_chars": F.min("len"), "max_chars": F.max("len"),
+        "avg_chars": half_up(F.sum(F.col("len") * F.col("_n")) / n, 0)})
 
 
 def tokens(length: Column) -> Column:
@@ -143,11 +144,12 @@ def tokens(length: Column) -> Column:
 def token_profile(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Estimated tokens and how many texts exceed the model's limits."""
     t = df.where(F.col(text_col).isNotNull()).select(tokens(F.length(text_col)).alias("tok"))
-    rest = t.agg(F.count("*").alias("total_docs"), F.min("tok").alias("min_tokens"), F.max("tok").alias("max_tokens"),
-                 half_up(F.avg("tok"), 0).alias("avg_tokens"), F.count(F.when(F.col("tok") > MAX_TOKENS, 1)).alias("exceeds_max"),
-                 F.count(F.when(F.col("tok") > SAFE_TOKENS, 1)).alias("exceeds_safe"), F.lit(1).alias("one"))
     points = {"median_tokens": 0.5, "p90_tokens": 0.9, "p95_tokens": 0.95, "p99_tokens": 0.99}
-    return rest.join(exact_percentiles(t, "tok", points).withColumn("one", F.lit(1)), "one").drop("one")
+    n, tok = F.col("_n"), F.col("tok")
+    over = lambda limit: F.sum(F.when(tok > limit, n).otherwise(F.lit(0)))
+    return exact_percentiles(t, "tok", points, extra={
+        "total_docs": F.sum(n), "min_tokens": F.min(tok), "max_tokens": F.max(tok), "avg_tokens": half_up(F.sum(tok * n) / F.sum(n), 0),
+        "exceeds_max": over(MAX_TOKENS), "exceeds_safe": over(SAFE_TOKENS)})
 
 
 DECISION = (f"case when max_tokens <= {MAX_TOKENS} then 'EMBED_FULL_TEXT' when exceeds_max * 1e2 / total_docs < 1 then 'EMBED_FULL_TEXT' "

@@ -60,10 +60,20 @@ def channel_table(star: Star) -> DataFrame:
       quantile_cont(ltv_cents, 0.5) / 1e2 as median_lifetime_value
     from customer_d group by 1, 2, 3, 4""")
 def segmentation(star: Star) -> DataFrame:
-    keys = list(customer_segmentation.dimensions)
-    rest = customer_segmentation.query().frame(star)
-    mid = exact_percentiles(star.customer().where("is_current"), "ltv_cents", {"m": 0.5}, keys)
-    return rest.join(mid, keys).withColumn("median_lifetime_value", F.col("m") / 100.0).drop("m")
+    """All measures from one histogram per group; a customer is one row of the dimension."""
+    people = star.customer().where("is_current")
+    return ltv_spread(people, list(customer_segmentation.dimensions), {
+        "customer_count": "n", "average_lifetime_value": "avg", "total_lifetime_value": "sum", "min_lifetime_value": "min",
+        "max_lifetime_value": "max", "median_lifetime_value": "median"})
+
+
+def ltv_spread(people: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    n, v = F.col("_n"), F.col("ltv_cents")
+    total = F.sum(v * n)
+    stats = exact_percentiles(people, "ltv_cents", {"median": 0.5}, keys, {
+        "n": F.sum(n), "avg": total / F.sum(n), "sum": total, "min": F.min(v), "max": F.max(v)})
+    money_of = lambda c: F.col(c) if c == "n" else F.col(c) / 100.0
+    return stats.select(*keys, *[money_of(c).alias(name) for name, c in names.items()])
 
 
 @query("Q01_lifetime_value_tiers", """
@@ -354,12 +364,8 @@ report("Q12_segment_value", Report("customer", BY_SEGMENT, {"avg_cltv": LTV, "cu
     select segment, count(*) as customer_count, avg(ltv_cents) / 1e2 as avg_cltv, min(ltv_cents) / 1e2 as min_cltv,
       max(ltv_cents) / 1e2 as max_cltv, quantile_cont(ltv_cents, 0.5) / 1e2 as median_cltv from customer_d group by 1""")
 def segment_spread(star: Star) -> DataFrame:
-    people = star.customer().where("is_current").select("segment", "ltv_cents")
-    rest = people.groupBy("segment").agg(
-        F.count("*").alias("customer_count"), (F.avg("ltv_cents") / 100.0).alias("avg_cltv"),
-        (F.min("ltv_cents") / 100.0).alias("min_cltv"), (F.max("ltv_cents") / 100.0).alias("max_cltv"))
-    mid = exact_percentiles(people, "ltv_cents", {"m": 0.5}, ["segment"]).select("segment", (F.col("m") / 100.0).alias("median_cltv"))
-    return rest.join(mid, "segment")
+    return ltv_spread(star.customer().where("is_current"), ["segment"], {
+        "customer_count": "n", "avg_cltv": "avg", "min_cltv": "min", "max_cltv": "max", "median_cltv": "median"})
 
 
 SOLD = "is_current and not is_return"
