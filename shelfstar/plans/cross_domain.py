@@ -191,18 +191,24 @@ def allocation_by_demand_pattern(star: Star) -> DataFrame:
       sum(cents) / 1e2 as total_segment_revenue, {r('avg(top) / 1e2', 3)} as avg_max_affinity
     from v join f using (customer_key) group by 1""")
 def omnichannel_fulfilment(star: Star) -> DataFrame:
-    """Cart and affinity rows enter as counts per customer (the weights of the published join)."""
+    """Cart and affinity rows enter as counts per customer (the weights of the published join).
+
+    Distinct counts are taken level by level (customer and order, customer and product), which needs
+    no row expansion: an order has one channel, and a product counts once per customer.
+    """
     kept = ~F.col("is_return")
-    s = star.sales().groupBy("customer_key").agg(
-        F.countDistinct("channel_key").alias("channels"), F.countDistinct(F.when(kept, F.col("transaction_id"))).alias("txns"),
-        F.sum(F.when(kept, F.col("net_cents"))).alias("cents"))
+    sales = star.sales()
+    orders = sales.groupBy("customer_key", "transaction_id").agg(
+        F.min("channel_key").alias("channel"), F.max(kept).alias("kept"), F.sum(F.when(kept, F.col("net_cents"))).alias("cents"))
+    s = orders.groupBy("customer_key").agg(
+        F.size(F.collect_set("channel")).alias("channels"), F.count(F.when(F.col("kept"), 1)).alias("txns"), F.sum("cents").alias("cents"))
     c = facts.carts(star).groupBy("customer_key").agg(F.count("*").alias("nc"))
     a = facts.affinity(star).groupBy("customer_key").agg(F.count("*").alias("na"), F.max("score_pct").alias("top"))
     walk = ledger.stock_walk(star).where("attempts > 0").select(*POS, "day", "stock_end")
-    p = F.col("product_key")
-    f = star.sales().join(walk, [*POS, "day"]).groupBy("customer_key").agg(
-        F.countDistinct(F.when(F.col("stock_end") > 0, p)).alias("ok"), F.countDistinct(p).alias("n"),
-        F.countDistinct(F.when(F.col("stock_end") == 0, p)).alias("outs"))
+    pairs = sales.join(walk, [*POS, "day"]).groupBy("customer_key", "product_key").agg(
+        F.max(F.col("stock_end") > 0).alias("some"), F.max(F.col("stock_end") == 0).alias("none"))
+    f = pairs.groupBy("customer_key").agg(
+        F.count(F.when(F.col("some"), 1)).alias("ok"), F.count("*").alias("n"), F.count(F.when(F.col("none"), 1)).alias("outs"))
     kind = (F.when(F.col("channels") >= 3, "Omnichannel").when(F.col("channels") == 2, "Multichannel").otherwise("Single Channel"))
     one = F.lit(1)
     v = (s.where(F.col("txns") > 0).join(c, "customer_key", "left").join(a, "customer_key", "left").join(f, "customer_key")

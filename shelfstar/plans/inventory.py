@@ -362,21 +362,25 @@ _MICRO = "cast(floor({} * 1e0 / count(*) * 1e6) as bigint)"
           from outs join product_d using (product_key) join location_d using (location_key) left join pre using (product_key, location_key)
           where product_active group by 1, 2, 3, 4, 5) t"""))
 def stockout_impact(star: Star) -> DataFrame:
-    """Stockout days come from the run-length states that touch the window; the sales rate before the
-    window is kept in millionths, so the totals are exact integer sums."""
+    """Stockout days come from the run-length states that touch the window and are counted per position
+    and quarter before anything is joined; the sales rate before the window is kept in millionths, so the
+    totals are exact integer sums."""
     first = star.days_back(90)
     outs = (ledger.intervals(star).where((F.col("stock") == 0) & (F.col("last_day") >= F.lit(first)))
-            .select(*POS, F.explode(F.sequence(F.greatest("first_day", F.lit(first)), "last_day")).alias("day")))
+            .select(*POS, F.explode(F.sequence(F.greatest("first_day", F.lit(first)), "last_day")).alias("day"))
+            .groupBy(*POS, F.expr(FISCAL_QUARTER).alias("fiscal_quarter")).agg(
+                F.count("*").alias("n"), F.count(F.when(F.weekday("day") >= 5, 1)).alias("weekend"),
+                F.count(F.when(F.expr(IS_HOLIDAY), 1)).alias("holiday")))
     pre = (star.lines(star.days_back(120), star.days_back(91)).where(~F.col("is_return")).groupBy(*POS).agg(
         F.expr(_MICRO.format("sum(quantity)")).alias("u"), F.expr(_MICRO.format("sum(net_cents)")).alias("c")))
     part = star.product().where("product_active").select("product_key", "category_level_2", "brand", "price_cents")
     loc = star.location().select("location_key", "location_type", "region")
     g = (outs.join(part, "product_key").join(loc, "location_key").join(pre, POS, "left")
-         .groupBy("category_level_2", "brand", "location_type", "region", F.expr(FISCAL_QUARTER).alias("fiscal_quarter")).agg(
-             F.count("*").alias("n"), F.countDistinct("product_key").alias("products"), F.countDistinct("location_key").alias("locs"),
-             F.countDistinct(*POS).alias("pairs"), F.count(F.when(F.weekday("day") >= 5, 1)).alias("weekend"),
-             F.count(F.when(F.expr(IS_HOLIDAY), 1)).alias("holiday"), F.coalesce(F.sum("u"), F.lit(0)).alias("u"),
-             F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum(F.col("u") * F.col("price_cents")), F.lit(0)).alias("retail")))
+         .groupBy("category_level_2", "brand", "location_type", "region", "fiscal_quarter").agg(
+             F.sum("n").alias("n"), F.countDistinct("product_key").alias("products"), F.countDistinct("location_key").alias("locs"),
+             F.count("*").alias("pairs"), F.sum("weekend").alias("weekend"), F.sum("holiday").alias("holiday"),
+             F.coalesce(F.sum(F.col("n") * F.col("u")), F.lit(0)).alias("u"), F.coalesce(F.sum(F.col("n") * F.col("c")), F.lit(0)).alias("c"),
+             F.coalesce(F.sum(F.col("n") * F.col("u") * F.col("price_cents")), F.lit(0)).alias("retail")))
     c, n = F.col, F.col("n")
     return g.select(
         "category_level_2", "location_type", "region", "fiscal_quarter", n.alias("stockout_days"), c("products").alias("products_with_stockouts"),

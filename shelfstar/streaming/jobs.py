@@ -63,35 +63,39 @@ POSITIONS = ("product_key long, location_key long, day date, transaction_id long
              "stock_before long, stock_after long")
 
 
-STOCK_STATE = "units long, due_days array<date>, due_units array<long>"
+STOCK_STATE = ("locations array<long>, units array<long>, due_locations array<long>, due_days array<date>, "
+               "due_units array<long>")
+SHARD = 64  # locations whose positions of one product share a state row
 
 
 def running_stock(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stock of one position; the state holds units on hand and returned units by due day.
+    """Stock of the positions of one product in one shard of locations.
 
-    Requests of one micro-batch are taken in day order; a return restocks what was allocated,
-    on its due day, before that day's requests. The size of a micro-batch is set at the source.
+    The state holds units on hand per location and returned units by due day. Requests of one
+    micro-batch are taken in day order; a return restocks what was allocated, on its due day,
+    before that day's requests. The size of a micro-batch is set at the source.
     """
-    batch = pd.concat(list(frames))
-    if len(batch) > 1:
-        batch = batch.sort_values(["day", "transaction_id", "line_number", "quantity", "net_cents"])
+    stock, due = {}, {}
     if state.exists:
-        stock, days, units = state.get
-        due = dict(zip(days, units))
-    else:
-        stock, due = int(batch["opening"].iloc[0]), {}
-    names = ["day", "transaction_id", "line_number", "quantity", "is_return", "delay"]
+        locations, units, due_locations, due_days, due_units = state.get
+        stock = dict(zip(locations, units))
+        for loc, day, n in zip(due_locations, due_days, due_units):
+            due.setdefault(loc, {})[day] = n
+    batch = pd.concat(list(frames)).sort_values(["day", "transaction_id", "line_number", "quantity", "net_cents"])
+    names = ["location_key", "day", "transaction_id", "line_number", "quantity", "is_return", "delay", "opening"]
     out = []
-    for day, txn, line, asked, is_return, delay in zip(*(batch[n] for n in names)):
-        for d in sorted(d for d in due if d <= day):
-            stock += due.pop(d)
-        take = min(int(asked), stock)
-        out.append((key[0], key[1], day, txn, line, asked, take, stock, stock - take))
-        stock -= take
+    for loc, day, txn, line, asked, is_return, delay, opening in zip(*(batch[n].tolist() for n in names)):
+        held, back = stock.get(loc, opening), due.setdefault(loc, {})
+        for d in [d for d in back if d <= day]:
+            held += back.pop(d)
+        take = min(asked, held)
+        out.append((key[0], loc, day, txn, line, asked, take, held, held - take))
+        stock[loc] = held - take
         if is_return and take:
-            d = day + dt.timedelta(days=int(delay))
-            due[d] = due.get(d, 0) + take
-    state.update((stock, list(due), list(due.values())))
+            d = day + dt.timedelta(days=delay)
+            back[d] = back.get(d, 0) + take
+    flat = [(loc, d, n) for loc, back in due.items() for d, n in back.items()]
+    state.update((list(stock), list(stock.values()), [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in POSITIONS.split(", ")])
 
 
@@ -105,7 +109,8 @@ def start_stock(requests: DataFrame, sink: str, checkpoint: str, trigger: dict =
     """Append each request's allocation to a parquet table; state lives in RocksDB."""
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
                                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = requests.groupBy("product_key", "location_key").applyInPandasWithState(
+    sharded = requests.withColumn("shard", F.floor(F.col("location_key") / SHARD))
+    out = sharded.groupBy("product_key", "shard").applyInPandasWithState(
         running_stock, POSITIONS, STOCK_STATE, "append", GroupStateTimeout.NoTimeout)
     return (out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
