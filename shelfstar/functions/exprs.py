@@ -44,3 +44,12 @@ def stddev_sql(x: str) -> str:
     """Sample standard deviation from exact integer sums (order independent)."""
     return (f"(case when count({x}) > 1 then sqrt(greatest(0e0, (sum({x} * {x}) - sum({x}) * 1e0 * sum({x}) "
             f"/ count({x})) / (count({x}) - 1))) end)")
+
+
+def steady_avg(x: Column) -> Column:
+    """Mean of doubles from integer millionths: independent of the order of addition."""
+    return F.avg(F.floor(x * 1e6 + 0.5)) / 1e6
+
+
+def steady_avg_sql(x: str) -> str:
+    return f"(avg(cast(floor(({x}) * 1e6 + 5e-1) as bigint)) / 1e6)"

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
+from shelfstar.functions.exprs import steady_avg
+from shelfstar.functions.exprs import steady_avg_sql as steady
 from shelfstar.operators import facts, ledger
 from shelfstar.plans.customer import pct
 from shelfstar.plans.inventory import POS, cols, ratio
@@ -120,7 +122,7 @@ def stock_aware_recommendations(star: Star, segment: str = "HOUSEHOLD", k: int =
         from sizefit join product_d using (product_key) group by 1, 2, 3),
     i as (select product_key, sum(quantity_on_hand) as q, sum({RETAIL}) as retail from inv join product_d using (product_key) group by 1)
     select category_level_2, ordered_size, cast(sum(orders) as bigint) as total_orders, cast(sum(returns) as bigint) as total_returns,
-      {pct('sum(returns)', 'sum(orders)', 1)} as return_rate, {r('avg(fit)', 4)} as avg_fit_score, cast(sum(q) as bigint) as current_inventory,
+      {pct('sum(returns)', 'sum(orders)', 1)} as return_rate, {r(steady('fit'), 4)} as avg_fit_score, cast(sum(q) as bigint) as current_inventory,
       sum(retail) / 1e2 as tied_up_capital, {r('sum(returns) * avg(retail) / nullif(sum(q), 0) / 1e2', 2)} as return_cost_impact
     from s join i using (product_key) group by 1, 2 having sum(orders) > 50""")
 def size_problems_and_stock(star: Star) -> DataFrame:
@@ -132,7 +134,7 @@ def size_problems_and_stock(star: Star) -> DataFrame:
     o, b, q = F.sum("orders"), F.sum("returns"), F.sum("q")
     return both.groupBy("category_level_2", "ordered_size").agg(
         o.alias("total_orders"), b.alias("total_returns"), half_up(ratio(b, o), 1).alias("return_rate"),
-        half_up(F.avg("fit"), 4).alias("avg_fit_score"), q.alias("current_inventory"), (F.sum("retail") / 100.0).alias("tied_up_capital"),
+        half_up(steady_avg(F.col("fit")), 4).alias("avg_fit_score"), q.alias("current_inventory"), (F.sum("retail") / 100.0).alias("tied_up_capital"),
         half_up(b * F.avg("retail") / F.nullif(q, F.lit(0)) / 100.0, 2).alias("return_cost_impact")).where("total_orders > 50")
 
 
@@ -140,7 +142,7 @@ _NEED = "avg_q * 30 * (1 + dev / avg_q)"
 
 
 @query("X05_allocation_by_demand_pattern", for_check(f"""
-    with d as (select location_key, category_level_2, avg(quantity) as avg_q, stddev_samp(quantity) as dev, avg(forecast_accuracy) as acc
+    with d as (select location_key, category_level_2, avg(quantity) as avg_q, stddev_samp(quantity) as dev, {steady('forecast_accuracy')} as acc
         from (select location_key, category_level_2, quantity from lines join product_d using (product_key) where day >= {{asof}} - 30) s
         join (select location_key, forecast_accuracy from forecast) f using (location_key) group by 1, 2),
     e as (select customer_key % 10 as location_key, count(distinct customer_key) as people from events_f group by 1),
@@ -158,7 +160,7 @@ def allocation_by_demand_pattern(star: Star) -> DataFrame:
     q = F.col("quantity")
     s = (star.lines(star.days_back(30)).join(part, "product_key").groupBy(*key).agg(
         F.count("*").alias("n"), F.sum(q).alias("sx"), F.sum(q * q).alias("sxx")))
-    f = facts.forecast(star).groupBy("location_key").agg(F.count("*").alias("k"), F.avg("forecast_accuracy").alias("acc"))
+    f = facts.forecast(star).groupBy("location_key").agg(F.count("*").alias("k"), steady_avg(F.col("forecast_accuracy")).alias("acc"))
     e = star.events().groupBy((F.col("customer_key") % 10).alias("location_key")).agg(F.countDistinct("customer_key").alias("people"))
     c = (ledger.positions(star).join(part, "product_key").groupBy(*key).agg(
         F.sum("quantity_on_hand").alias("q"), F.avg("days_of_supply").alias("supply"), F.count(F.when(F.col("is_stockout"), 1)).alias("outs"),
@@ -187,7 +189,7 @@ def allocation_by_demand_pattern(star: Star) -> DataFrame:
     f as (select customer_key, count(distinct case when stock_end > 0 then product_key end) as ok, count(distinct product_key) as n,
         count(distinct case when stock_end = 0 then product_key end) as outs from sales join walk using (product_key, location_key, day) group by 1)
     select channel_behavior, count(distinct customer_key) as customer_count, {r('avg(cents) / 1e2', 2)} as avg_customer_value, {r('avg(txns)', 1)} as avg_transactions,
-      {r('avg(ok * 1e2 / nullif(n, 0))', 1)} as fulfillment_rate, {r('avg(outs)', 1)} as avg_stockout_encounters,
+      {r(steady('ok * 1e2 / nullif(n, 0)'), 1)} as fulfillment_rate, {r('avg(outs)', 1)} as avg_stockout_encounters,
       sum(cents) / 1e2 as total_segment_revenue, {r('avg(top) / 1e2', 3)} as avg_max_affinity
     from v join f using (customer_key) group by 1""")
 def omnichannel_fulfilment(star: Star) -> DataFrame:
@@ -215,7 +217,7 @@ def omnichannel_fulfilment(star: Star) -> DataFrame:
          .withColumn("cents", F.col("cents") * F.coalesce("nc", one) * F.coalesce("na", one)))
     return v.groupBy(kind.alias("channel_behavior")).agg(
         F.countDistinct("customer_key").alias("customer_count"), half_up(F.avg("cents") / 100.0, 2).alias("avg_customer_value"),
-        half_up(F.avg("txns"), 1).alias("avg_transactions"), half_up(F.avg(ratio(F.col("ok"), F.col("n"))), 1).alias("fulfillment_rate"),
+        half_up(F.avg("txns"), 1).alias("avg_transactions"), half_up(steady_avg(ratio(F.col("ok"), F.col("n"))), 1).alias("fulfillment_rate"),
         half_up(F.avg("outs"), 1).alias("avg_stockout_encounters"), (F.sum("cents") / 100.0).alias("total_segment_revenue"),
         half_up(F.avg("top") / 100.0, 3).alias("avg_max_affinity"))
 
@@ -241,7 +243,7 @@ report("X08_products_to_rebalance", Report(
      "overstock_locations": count_if("is_overstock")}, having="stockout_locations > 0 and overstock_locations > 0"))
 report("X09_forecast_models_to_adjust", Report(
     "forecast product", cols("product_id", "product_name", "category_level_2"),
-    {"avg_accuracy": r("avg(forecast_accuracy)", 4), "avg_mape": r("avg(mape)", 4), "total_actual": "cast(sum(actual_quantity) as bigint)",
+    {"avg_accuracy": r(steady("forecast_accuracy"), 4), "avg_mape": r(steady("mape"), 4), "total_actual": "cast(sum(actual_quantity) as bigint)",
      "total_forecast": "cast(sum(forecast_quantity) as bigint)", "forecast_count": "count(*)"}, since=30, having="avg_accuracy < 8e1"))
 
 
@@ -270,5 +272,5 @@ report("X11_stock_health", Report("inv", {}, {
     "use_case": "max('Inventory Health')", "stockout_count": count_if("is_stockout"), "overstock_count": count_if("is_overstock"),
     "avg_days_supply": r("avg(days_of_supply)", 1), "products_tracked": "count(distinct product_key)", "locations_tracked": "count(distinct location_key)"}))
 report("X11_forecast_accuracy", Report("forecast", {}, {
-    "use_case": "max('Demand Forecast')", "forecasts_with_actuals": "count(*)", "avg_accuracy_pct": r("avg(forecast_accuracy)", 1),
-    "avg_mape": r("avg(mape)", 1), "products_forecasted": "count(distinct product_key)"}, "actual_quantity is not null"))
+    "use_case": "max('Demand Forecast')", "forecasts_with_actuals": "count(*)", "avg_accuracy_pct": r(steady("forecast_accuracy"), 1),
+    "avg_mape": r(steady("mape"), 1), "products_forecasted": "count(distinct product_key)"}, "actual_quantity is not null"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
-from shelfstar.functions.exprs import money, sum_long
+from shelfstar.functions.exprs import money, steady_avg, sum_long
+from shelfstar.functions.exprs import steady_avg_sql as steady
 from shelfstar.functions.ranking import exact_percentiles, ntile
 from shelfstar.operators import facts
 from shelfstar.plans.metric_views import LOYALTY, count_if, customer_segmentation
@@ -76,7 +77,7 @@ def ltv_spread(people: DataFrame, keys: list[str], names: dict[str, str]) -> Dat
     return stats.select(*keys, *[money_of(c).alias(name) for name, c in names.items()])
 
 
-@query("Q01_lifetime_value_tiers", """
+@query("Q01_lifetime_value_tiers", f"""
     with m as (select customer_key, segment, ltv_cents, count(distinct transaction_id) as orders, sum(net_cents) as spent,
         avg(net_cents) / 1e2 as basket, date_diff('day', min(day), max(day)) as lifespan,
         count(*) filter (where is_return) * 1e2 / count(*) as return_rate
@@ -86,8 +87,8 @@ def ltv_spread(people: DataFrame, keys: list[str], names: dict[str, str]) -> Dat
     select case when ltv_cents >= d then 'VIP (Top 10%)' when ltv_cents >= c then 'High Value (75-90%)'
         when ltv_cents >= b then 'Mid Value (50-75%)' when ltv_cents >= a then 'Low Value (25-50%)'
         else 'Entry Level (Bottom 25%)' end as value_tier, segment, count(*) as customer_count, avg(orders) as avg_orders,
-      avg(spent) / 1e2 as avg_revenue, floor(avg(basket) * 1e4 + 5e-1) / 1e4 as avg_basket_size, avg(lifespan) as avg_lifespan_days,
-      floor(avg(return_rate) * 1e4 + 5e-1) / 1e4 as avg_return_rate
+      avg(spent) / 1e2 as avg_revenue, {r(steady('basket'), 4)} as avg_basket_size, avg(lifespan) as avg_lifespan_days,
+      {r(steady('return_rate'), 4)} as avg_return_rate
     from m cross join p group by 1, 2""")
 def lifetime_value_tiers(star: Star) -> DataFrame:
     """Cut-offs are four exact percentiles (one row), used as literals."""
@@ -103,8 +104,8 @@ def lifetime_value_tiers(star: Star) -> DataFrame:
     return (people.join(bought, "customer_key", "left").groupBy(tier.alias("value_tier"), "segment").agg(
         F.count("*").alias("customer_count"), F.avg(F.coalesce("orders", F.lit(0))).alias("avg_orders"),
         (F.avg("spent") / 100.0).alias("avg_revenue"),
-        half_up(F.avg(F.col("spent") / F.col("n") / 100.0), 4).alias("avg_basket_size"),
-        F.avg("lifespan").alias("avg_lifespan_days"), half_up(F.avg(rate), 4).alias("avg_return_rate")))
+        half_up(steady_avg(F.col("spent") / F.col("n") / 100.0), 4).alias("avg_basket_size"),
+        F.avg("lifespan").alias("avg_lifespan_days"), half_up(steady_avg(rate), 4).alias("avg_return_rate")))
 
 
 @query("Q02_channel_journey", """
@@ -150,7 +151,7 @@ RFM_LABEL = """case when r_score >= 4 and f_score >= 4 and m_score >= 4 then 'Ch
     s as (select *, ntile(5) over (order by recency desc, customer_key) as r_score, ntile(5) over (order by frequency, customer_key) as f_score,
         ntile(5) over (order by monetary, customer_key) as m_score from c)
     select {RFM_LABEL} as rfm_segment, count(*) as customer_count, avg(frequency) as avg_frequency, avg(recency) as avg_recency_days,
-      avg(monetary) / 1e2 as avg_monetary, floor(avg(cycle) * 1e4 + 5e-1) / 1e4 as avg_purchase_cycle_days
+      avg(monetary) / 1e2 as avg_monetary, {r(steady('cycle'), 4)} as avg_purchase_cycle_days
     from s group by 1""")
 def rfm_scores(star: Star) -> DataFrame:
     """Mean gap between purchases telescopes to (last - first) / (lines - 1); tiles are ranked block-wise."""
@@ -165,7 +166,7 @@ def rfm_scores(star: Star) -> DataFrame:
     return c.groupBy(F.expr(RFM_LABEL).alias("rfm_segment")).agg(
         F.count("*").alias("customer_count"), F.avg("frequency").alias("avg_frequency"),
         F.avg(-F.col("freshness")).alias("avg_recency_days"), (F.avg("monetary") / 100.0).alias("avg_monetary"),
-        half_up(F.avg("cycle"), 4).alias("avg_purchase_cycle_days"))
+        half_up(steady_avg(F.col("cycle")), 4).alias("avg_purchase_cycle_days"))
 
 
 def category_pairs(star: Star) -> DataFrame:
@@ -216,7 +217,7 @@ def co_purchase(star: Star) -> DataFrame:
     select channel_category, count(distinct customer_key) as unique_visitors, cast(sum(v) as bigint) as total_product_views,
       cast(sum(c) as bigint) as total_add_to_carts, cast(sum(p) as bigint) as total_purchases,
       {pct('sum(c)', 'sum(v)', 2)} as view_to_cart_pct, {pct('sum(p)', 'sum(c)', 2)} as cart_to_purchase_pct,
-      {pct('sum(p)', 'sum(v)', 2)} as overall_conversion_pct, {r('avg(t)', 0)} as avg_seconds_engaged
+      {pct('sum(p)', 'sum(v)', 2)} as overall_conversion_pct, {r(steady('t'), 0)} as avg_seconds_engaged
     from (select customer_key, event_type, channel_key, channel_category, count(*) filter (where event_type = 'product_view') as v,
             count(*) filter (where event_type = 'add_to_cart') as c, count(*) filter (where event_type = 'checkout_complete') as p,
             avg(time_on_page) as t
@@ -236,7 +237,7 @@ def channel_funnel(star: Star) -> DataFrame:
     return per.groupBy("channel_category").agg(
         F.countDistinct("customer_key").alias("unique_visitors"), v.alias("total_product_views"), c.alias("total_add_to_carts"),
         p.alias("total_purchases"), rate(c, v).alias("view_to_cart_pct"), rate(p, c).alias("cart_to_purchase_pct"),
-        rate(p, v).alias("overall_conversion_pct"), half_up(F.avg("t"), 0).alias("avg_seconds_engaged"))
+        rate(p, v).alias("overall_conversion_pct"), half_up(steady_avg(F.col("t")), 0).alias("avg_seconds_engaged"))
 
 
 report("Q06_abandonment_recovery", Report(
@@ -252,8 +253,8 @@ report("Q06_abandonment_recovery", Report(
 
 @query("Q07_personalization_effect", f"""
     select segment, preferred_category, count(*) as customer_count, {r('avg(products)', 1)} as avg_products_interested,
-      {r('avg(score)', 3)} as avg_affinity_score, {r('avg(bought)', 1)} as avg_purchases, {r('avg(viewed)', 1)} as avg_product_views,
-      {r('avg(conv) * 1e2', 2)} as conversion_rate_pct, {r('avg(impact)', 2)} as predicted_cltv_impact
+      {r(steady('score'), 3)} as avg_affinity_score, {r('avg(bought)', 1)} as avg_purchases, {r('avg(viewed)', 1)} as avg_product_views,
+      {r(steady('conv') + ' * 1e2', 2)} as conversion_rate_pct, {r(steady('impact'), 2)} as predicted_cltv_impact
     from (select customer_key, segment, preferred_category, count(distinct product_key) as products, avg(score_pct) / 1e2 as score,
             sum(purchase_count) as bought, sum(view_count) as viewed,
             avg(floor(view_to_purchase_ratio * 1e4 + 5e-1)) / 1e4 as conv, avg(predicted_cents) / 1e2 as impact
@@ -266,9 +267,9 @@ def personalization_effect(star: Star) -> DataFrame:
     who = star.customer().where("is_current").select("customer_key", "segment", "preferred_category")
     return per.join(who, "customer_key").groupBy("segment", "preferred_category").agg(
         F.count("*").alias("customer_count"), half_up(F.avg("products"), 1).alias("avg_products_interested"),
-        half_up(F.avg("score"), 3).alias("avg_affinity_score"), half_up(F.avg("bought"), 1).alias("avg_purchases"),
-        half_up(F.avg("viewed"), 1).alias("avg_product_views"), half_up(F.avg("conv") * 100.0, 2).alias("conversion_rate_pct"),
-        half_up(F.avg("impact"), 2).alias("predicted_cltv_impact"))
+        half_up(steady_avg(F.col("score")), 3).alias("avg_affinity_score"), half_up(F.avg("bought"), 1).alias("avg_purchases"),
+        half_up(F.avg("viewed"), 1).alias("avg_product_views"), half_up(steady_avg(F.col("conv")) * 100.0, 2).alias("conversion_rate_pct"),
+        half_up(steady_avg(F.col("impact")), 2).alias("predicted_cltv_impact"))
 
 
 DIVERSITY = ("case when l2 >= 5 then 'Highly Diverse' when l2 >= 3 then 'Moderately Diverse' when l2 = 2 then 'Limited Diversity' "
@@ -277,7 +278,7 @@ DIVERSITY = ("case when l2 >= 5 then 'Highly Diverse' when l2 >= 3 then 'Moderat
 
 @query("Q08_category_diversity", f"""
     select {DIVERSITY} as customer_diversity, count(*) as customer_count, avg(l1) as avg_l1_categories, avg(l2) as avg_l2_categories,
-      avg(bought) as avg_purchases, avg(rev) / 1e2 as avg_revenue, {r('avg(top) * 1e2', 4)} as avg_revenue_concentration_pct
+      avg(bought) as avg_purchases, avg(rev) / 1e2 as avg_revenue, {r(steady('top') + ' * 1e2', 4)} as avg_revenue_concentration_pct
     from (select customer_key, count(distinct category_level_1) as l1, count(distinct category_level_2) as l2, sum(n) as bought,
             sum(rev) as rev, max(rev) / nullif(sum(rev), 0) as top
           from (select customer_key, category_level_1, category_level_2, count(distinct transaction_id) as n, sum(net_cents) as rev
@@ -293,7 +294,7 @@ def category_diversity(star: Star) -> DataFrame:
     return per.groupBy(F.expr(DIVERSITY).alias("customer_diversity")).agg(
         F.count("*").alias("customer_count"), F.avg("l1").alias("avg_l1_categories"), F.avg("l2").alias("avg_l2_categories"),
         F.avg("bought").alias("avg_purchases"), (F.avg("rev") / 100.0).alias("avg_revenue"),
-        half_up(F.avg("top") * 100.0, 4).alias("avg_revenue_concentration_pct"))
+        half_up(steady_avg(F.col("top")) * 100.0, 4).alias("avg_revenue_concentration_pct"))
 
 
 @query("Q09_cohort_retention", f"""
@@ -328,9 +329,9 @@ STATUS = ("case when idle <= 30 then 'Active' when idle <= 90 then 'Cooling' whe
 
 @query("Q10_reactivation", f"""
     select {STATUS} as customer_status, segment, count(*) as customer_count, avg(ltv_cents) / 1e2 as avg_ltv, avg(orders) as avg_total_orders,
-      avg(spent) / 1e2 as avg_total_spent, {r('avg(basket)', 4)} as avg_basket_size, avg(idle) as avg_days_inactive,
+      avg(spent) / 1e2 as avg_total_spent, {r(steady('basket'), 4)} as avg_basket_size, avg(idle) as avg_days_inactive,
       sum(ltv_cents) / 1e2 as total_ltv_at_risk,
-      {r('avg(orders * 3e1 / nullif(age, 0))', 4)} as avg_expected_monthly_orders
+      {r(steady('orders * 3e1 / nullif(age, 0)'), 4)} as avg_expected_monthly_orders
     from (select customer_key, segment, ltv_cents, date_diff('day', max(day), (select d from horizon)) as idle,
             date_diff('day', (select d0 from horizon), max(day)) as age,
             count(distinct transaction_id) as orders, sum(net_cents) as spent, avg(net_cents) / 1e2 as basket
@@ -343,9 +344,9 @@ def reactivation(star: Star) -> DataFrame:
     who = star.customer().where("is_current").select("customer_key", "segment", "ltv_cents")
     return per.join(who, "customer_key").groupBy(F.expr(STATUS).alias("customer_status"), "segment").agg(
         F.count("*").alias("customer_count"), (F.avg("ltv_cents") / 100.0).alias("avg_ltv"), F.avg("orders").alias("avg_total_orders"),
-        (F.avg("spent") / 100.0).alias("avg_total_spent"), half_up(F.avg("basket"), 4).alias("avg_basket_size"),
+        (F.avg("spent") / 100.0).alias("avg_total_spent"), half_up(steady_avg(F.col("basket")), 4).alias("avg_basket_size"),
         F.avg("idle").alias("avg_days_inactive"), (F.sum("ltv_cents") / 100.0).alias("total_ltv_at_risk"),
-        half_up(F.avg(F.col("orders") * 30.0 / F.nullif("age", F.lit(0))), 4).alias("avg_expected_monthly_orders"))
+        half_up(steady_avg(F.col("orders") * 30.0 / F.nullif("age", F.lit(0))), 4).alias("avg_expected_monthly_orders"))
 
 
 report("Q11_size_fit_returns", Report(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
-from shelfstar.functions.exprs import money, stddev_sql, sum_long
+from shelfstar.functions.exprs import money, stddev_sql, steady_avg, sum_long
+from shelfstar.functions.exprs import steady_avg_sql as steady
 from shelfstar.functions.ranking import percent_rank
 from shelfstar.operators import facts, ledger
 from shelfstar.plans.customer import pct
@@ -66,7 +67,7 @@ _ABC = [band("rp", "A - High Revenue", "B - Medium Revenue", "C - Low Revenue"),
         percent_rank() over (order by turns desc) as tp from k)
     select {_ABC[0]} as abc_revenue_class, {_ABC[1]} as velocity_class, {_ABC[2]} as investment_class, count(*) as product_count,
       sum(rev) / 1e2 as total_revenue, sum(cost) / 1e2 as total_investment, cast(sum(sold) as bigint) as total_units_sold,
-      cast(sum(units) as bigint) as total_units_on_hand, {r('avg(turns)', 6)} as avg_turnover_ratio, {r('avg(velocity)', 6)} as avg_velocity,
+      cast(sum(units) as bigint) as total_units_on_hand, {r(steady('turns'), 6)} as avg_turnover_ratio, {r(steady('velocity'), 6)} as avg_velocity,
       {r('sum(rev) * 1e2 / sum(sum(rev)) over ()', 2)} as revenue_share_pct,
       {r('sum(cost) * 1e2 / sum(sum(cost)) over ()', 2)} as investment_share_pct
     from p group by 1, 2, 3"""))
@@ -93,7 +94,7 @@ def abc_classification(star: Star) -> DataFrame:
     return ranked.groupBy(*[F.expr(e).alias(n) for e, n in zip(_ABC, ("abc_revenue_class", "velocity_class", "investment_class"))]).agg(
         F.count("*").alias("product_count"), (F.sum("rev") / 100.0).alias("total_revenue"), (F.sum("cost") / 100.0).alias("total_investment"),
         F.sum("sold").alias("total_units_sold"), F.sum("units").alias("total_units_on_hand"),
-        half_up(F.avg("turns"), 6).alias("avg_turnover_ratio"), half_up(F.avg("velocity"), 6).alias("avg_velocity"),
+        half_up(steady_avg(F.col("turns")), 6).alias("avg_turnover_ratio"), half_up(steady_avg(F.col("velocity")), 6).alias("avg_velocity"),
         half_up(F.sum("rev") * 100.0 / F.lit(total.rev), 2).alias("revenue_share_pct"),
         half_up(F.sum("cost") * 100.0 / F.lit(total.cost), 2).alias("investment_share_pct"))
 
@@ -112,7 +113,7 @@ _FLOW = """case when from_location_type is null then 'External' else from_locati
       left join location_d b on to_location_key = b.location_key where day >= {{asof}} - 90
       group by 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
     select movement_type, movement_reason, {_FLOW}, category_level_1, price_tier, cast(sum(n) as bigint) as total_movements,
-      cast(sum(units) as bigint) as total_units, sum(cents) / 1e2 as total_value, {r('avg(size)', 1)} as avg_units_per_movement,
+      cast(sum(units) as bigint) as total_units, sum(cents) / 1e2 as total_value, {r(steady('size'), 1)} as avg_units_per_movement,
       {r('sum(units) * 1e0 / nullif(sum(n), 0)', 1)} as units_per_transaction,
       {r('sum(cents) / 1e2 / nullif(sum(units), 0)', 2)} as avg_unit_value
     from g group by 1, 2, 3, 4, 5, 6 having sum(n) > 5 order by total_value desc, 1, 2, 3, 4, 5, 6 limit 250"""))
@@ -136,7 +137,7 @@ def movement_flow(star: Star) -> DataFrame:
     n, u, c = F.sum("n"), F.sum("units"), F.sum("cents")
     return (per.withColumn("movement_flow", flow).withColumn("region_flow", regions).groupBy(*keys).agg(
         n.alias("total_movements"), u.alias("total_units"), (c / 100.0).alias("total_value"),
-        half_up(F.avg("size"), 1).alias("avg_units_per_movement"), half_up(ratio(u, n, 1.0), 1).alias("units_per_transaction"),
+        half_up(steady_avg(F.col("size")), 1).alias("avg_units_per_movement"), half_up(ratio(u, n, 1.0), 1).alias("units_per_transaction"),
         half_up(c / 100.0 / F.nullif(u, F.lit(0)), 2).alias("avg_unit_value"))
         .where("total_movements > 5").orderBy(F.desc("total_value"), *keys).limit(250))
 
@@ -255,9 +256,9 @@ _DIST = Report(
           "imbalance": "(sqrt(" + " + ".join(f"(r{i} - total / 5e0) * (r{i} - total / 5e0)" for i in range(5)) + ") / (total / 5e0))",
           "coverage": pct("stocked", "locations", 1), "concentration": pct("top", "total", 1)})
 _DIST_AGG = {"product_count": "count(*)", "total_units": sum_long("total"), "total_value": money("retail"),
-             "avg_store_pct": r("avg(store_pct)", 1), "avg_warehouse_pct": r("avg(warehouse_pct)", 1), "avg_dc_pct": r("avg(dc_pct)", 1),
-             "avg_location_coverage_pct": r("avg(coverage)", 1), "avg_regional_imbalance": r("avg(imbalance)", 2),
-             "avg_max_concentration_pct": r("avg(concentration)", 1), "low_coverage_products": count_if("coverage < 50"),
+             "avg_store_pct": r(steady("store_pct"), 1), "avg_warehouse_pct": r(steady("warehouse_pct"), 1), "avg_dc_pct": r(steady("dc_pct"), 1),
+             "avg_location_coverage_pct": r(steady("coverage"), 1), "avg_regional_imbalance": r(steady("imbalance"), 2),
+             "avg_max_concentration_pct": r(steady("concentration"), 1), "low_coverage_products": count_if("coverage < 50"),
              "high_concentration_products": count_if("concentration > 50"), "imbalanced_products": count_if("imbalance > 1.5e0")}
 
 
@@ -275,8 +276,8 @@ report("I07_forecast_accuracy", Report(
     {"forecast_count": "count(*)", "forecasts_with_actuals": "count(actual_quantity)", "total_forecasted": sum_long("forecast_quantity"),
      "total_actual": sum_long("actual_quantity"),
      "total_bias_pct": r("(sum(forecast_quantity) - sum(actual_quantity)) * 1e2 / nullif(sum(actual_quantity), 0)", 1),
-     "mae": r(f"avg(abs({GAP}))", 2), "mean_bias": r("avg(bias)", 2), "mape_pct": r("avg(mape)", 1),
-     "rmse": r(f"sqrt(avg({GAP} * {GAP}))", 2), "avg_accuracy_pct": r("avg(forecast_accuracy)", 1),
+     "mae": r(f"avg(abs({GAP}))", 2), "mean_bias": r(steady("bias"), 2), "mape_pct": r(steady("mape"), 1),
+     "rmse": r(f"sqrt(avg({GAP} * {GAP}))", 2), "avg_accuracy_pct": r(steady("forecast_accuracy"), 1),
      "ci_hit_rate_pct": r(f"{count_if('actual_quantity between confidence_lower and confidence_upper')} * 1e2 / count(*)", 1),
      "directional_accuracy_pct": r(f"{count_if('(forecast_quantity > 0) = (actual_quantity > 0)')} * 1e2 / count(*)", 1)},
     "actual_quantity is not null", since=90, having="forecasts_with_actuals >= 5"))
