@@ -11,7 +11,7 @@ from shelfstar.functions.exprs import date_key
 from shelfstar.operators import facts, ledger
 from shelfstar.star import SEASON_OF_DAY, Star, nth
 
-SOURCES = {"sales": "OMS_POS_SHOPIFY", "inventory": "WMS_ERP", "carts": "WEB_ANALYTICS", "stockouts": "INVENTORY_LEDGER"}
+SOURCES = {"sales": "OMS_POS", "inventory": "WMS_ERP", "carts": "WEB_ANALYTICS", "stockouts": "INVENTORY_LEDGER"}
 
 
 def _str(x) -> Column:

@@ -13,6 +13,7 @@ from shelfstar.functions.exprs import money, stddev_sql, steady_avg, sum_long
 from shelfstar.functions.exprs import steady_avg_sql as steady
 from shelfstar.functions.ranking import percent_rank
 from shelfstar.operators import facts, ledger
+from shelfstar.operators.calendar import HOLIDAYS
 from shelfstar.plans.customer import pct
 from shelfstar.plans.metric_views import ACTIVE, COST, DUE, RETAIL, count_if
 from shelfstar.plans.registry import query, report
@@ -335,10 +336,6 @@ def _split(text: str) -> list[str]:
     return out + [cur]
 
 
-# Holidays of the retail calendar as (month, day).
-HOLIDAYS = {"New Year": (1, 1), "Valentine's Day": (2, 14), "Easter": (4, 15), "Memorial Day": (5, 30), "Independence Day": (7, 4),
-            "Labor Day": (9, 5), "Halloween": (10, 31), "Black Friday": (11, 25), "Thanksgiving": (11, 24), "Christmas": (12, 25),
-            "Boxing Day": (12, 26)}
 IS_HOLIDAY = "(month(day) * 100 + dayofmonth(day)) in (" + ", ".join(str(m * 100 + d) for m, d in HOLIDAYS.values()) + ")"
 FISCAL_QUARTER = "cast((month(day) + 10) % 12 div 3 + 1 as int)"
 _MICRO = "cast(floor({} * 1e0 / count(*) * 1e6) as bigint)"

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfstar.config import MONTH_FACTOR, SEGMENT_RULES
-from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
 from shelfstar.functions.exprs import money, sum_long
 from shelfstar.operators import facts, ledger

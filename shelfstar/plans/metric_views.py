@@ -6,12 +6,11 @@ from shelfstar.functions.exprs import half_up_sql as r2
 from shelfstar.functions.exprs import money, sum_long
 from shelfstar.plans.registry import report
 from shelfstar.plans.report import MetricView
+from shelfstar.star import SEASON_OF_DAY as SEASON
 
 ACTIVE = "location_active and product_active"
 COST, RETAIL = "quantity_on_hand * unit_cost_cents", "quantity_on_hand * price_cents"
 CATEGORY = {"location_name": "location_name", "region": "region", "product_category": "category_level_1"}
-SEASON = ("case when month(day) in (3, 4, 5) then 'Spring' when month(day) in (6, 7, 8) then 'Summer' "
-          "when month(day) in (9, 10, 11) then 'Fall' else 'Winter' end")
 PEAK = "case when month(day) in (11, 12, 3, 4) then 'Peak Season' else 'Regular Season' end"
 CALENDAR = {"calendar_date": "day", "month_name": "MONTHNAME(day)", "year": "year(day)"}
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
-from shelfstar.functions.exprs import sum_long
 from shelfstar.operators import text as ops
 from shelfstar.plans.ctes import TABLES, pick
 from shelfstar.plans.inventory import cols

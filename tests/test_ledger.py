@@ -68,10 +68,6 @@ def test_exact_replay_matches_a_loop(small_star, lines):
     assert all(v[0] == v[1] for k, v in got.items() if k not in days)
 
 
-def states(star):
-    return {(r.product_key, r.location_key): [] for r in ledger.intervals(star).collect()}
-
-
 def test_intervals_cover_each_day_once_and_agree_with_totals(small_star):
     dense = pd.DataFrame([r.asDict() for r in ledger.snapshot(small_star, small_star.first_day, small_star.as_of).collect()])
     n = (small_star.as_of - small_star.first_day).days + 1
