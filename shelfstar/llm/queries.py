@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfstar.llm import chat, mixing, quality_rules, simhash
+from shelfstar.llm import ann, bpe, chat, mixing, quality_rules, simhash, url_filter
 from shelfstar.llm.common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,13 @@ def sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+@query("op1_learned_partitions")
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose vec_id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 20 == 0).alias("asks"))
+    return ann.nearest(rows, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query("op3_source_mix")
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
@@ -38,6 +45,20 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op4_tree_bpe")
+def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text decoded from them."""
+    path = tokenizer_file()
+    got = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                      sha256(bpe.decode(path, F.col("ids"))).alias("decoded_sha256"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint over four-word shingles and its component."""
@@ -45,6 +66,53 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+RULES = [url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+         url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
+ROUNDS = 10
+
+
+def _rank_sql(rounds: int, damping: float) -> str:
+    """The rounds of trust and distrust, one table each."""
+    out = [f"p0 AS (SELECT host, {1 - damping} * s_trust AS trust, {1 - damping} * s_distrust AS distrust FROM seeds)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""p{i} AS (SELECT s.host, {1 - damping} * s_trust + {damping} * coalesce(t, 0) AS trust, {1 - damping} * s_distrust + {damping} * coalesce(d, 0) AS distrust
+FROM seeds s LEFT JOIN (SELECT dst AS host, sum(weight / leaving * trust) AS t FROM shares JOIN p{i - 1} ON src = host GROUP BY dst) a USING (host)
+LEFT JOIN (SELECT src AS host, sum(weight / coming * distrust) AS d FROM shares JOIN p{i - 1} ON dst = host GROUP BY src) b USING (host))""")
+    return ",\n".join(out)
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{r.name}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+    return rf"""
+WITH urls AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(name, h, p, v) AS (VALUES {rules}),
+judged AS (
+  SELECT page_id, html, host, path, (SELECT max_by(name, length(name)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM urls),
+ruled AS (SELECT j.*, v FROM judged j LEFT JOIN rules ON rule = name),
+links AS (
+  SELECT src, dst, count(*)::DOUBLE AS weight
+  FROM (SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1))),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM urls)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+shares AS (SELECT *, sum(weight) OVER (PARTITION BY src) AS leaving, sum(weight) OVER (PARTITION BY dst) AS coming FROM links),
+seeds AS (
+  SELECT host, coalesce(good / greatest(sum(good) OVER (), 1), 0) AS s_trust, coalesce(bad / greatest(sum(bad) OVER (), 1), 0) AS s_distrust
+  FROM (SELECT host, sum(g) AS good, sum(b) AS bad FROM (
+    SELECT host, CASE WHEN v = 'allow' THEN 1.0::DOUBLE ELSE 0 END AS g, CASE WHEN v = 'block' THEN 1.0::DOUBLE ELSE 0 END AS b FROM ruled WHERE host <> ''
+    UNION ALL SELECT src, 0, 0 FROM links UNION ALL SELECT dst, 0, 0 FROM links) GROUP BY host)),
+{_rank_sql(ROUNDS, 0.85)}
+SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN p{ROUNDS} q ON r.host = q.host"""
+
+
+@query("op8_url_trust", _url_sql())
+def op8_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule that fits it and the verdict."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES, rounds=ROUNDS).select("page_id", "host", "path", "rule", "verdict")
+
+
 def with_tricky(spark: SparkSession, turns: DataFrame) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
