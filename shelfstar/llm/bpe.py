@@ -12,11 +12,12 @@ only if each adjacent pair is (a property of BPE), and pairs across the window's
 
 from __future__ import annotations
 
-import os
+import json
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +25,65 @@ from shelfstar.llm.common import digest
 
 #: Bytes of the longest piece that is encoded at once, and of the first window on each side of a join.
 LEAF, WINDOW = 32768, 64
-_BATCH = 1 << 20
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+#: Fixed value: how byte-level tokenizers split a text into words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level vocabularies write a printable byte as its character, the others as characters from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Codec:
+    """A byte-level BPE tokenizer file (``tokenizers`` JSON), run by a faster library with the same results.
+
+    The file must merge in the order of its ids, split by PATTERN and change nothing else; others are refused.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = (model["type"] == "BPE" and not spec["normalizer"] and not model.get("dropout") and before.get("type") == "ByteLevel"
+                 and before.get("use_regex", True) and not before.get("add_prefix_space"))
+        byte = _bytes_of_characters()
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+        ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if not plain or ids != sorted(ids) or len(ranks) != len(model["vocab"]):
+            raise ValueError(f"not a plain byte-level BPE file: {path}")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.lengths = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.special.items())]:
+            self.lengths[i] = len(token)
+        self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.word = regex.compile(PATTERN)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.bpe.decode_bytes(ids).decode("utf-8", "replace")
+
+    def word_starts(self, text: str) -> np.ndarray:
+        """Places in bytes where words and special tokens of ``text`` start."""
+        sizes, at = [], 0
+        for m in [*(self.cut.finditer(text) if self.cut else ()), None]:
+            sizes += [len(w.encode()) for w in self.word.findall(text[at:m.start() if m else len(text)])]
+            if m:
+                sizes.append(len(m[0].encode()))
+                at = m.end()
+        return np.cumsum([0, *sizes[:-1]], dtype=np.int64)
 
 
 @lru_cache(maxsize=4)
-def _byte_lengths(path: str) -> np.ndarray:
-    """Bytes of each token: byte-level tokens have a character per byte, special ones stand for themselves."""
-    t = tokenizer(path)
-    out = np.zeros(t.get_vocab_size(with_added_tokens=True) + 1, np.int64)
-    for token, i in t.get_vocab(with_added_tokens=False).items():
-        out[i] = len(token)
-    for i, token in t.get_added_tokens_decoder().items():
-        out[i] = len(token.content.encode())
-    return out
+def codec(path: str) -> Codec:
+    return Codec(path)
 
 
 class Piece:
@@ -65,10 +102,10 @@ class Piece:
 
 
 def encode_piece(path: str, data: bytes) -> Piece:
-    e = tokenizer(path).encode(data.decode(), add_special_tokens=False)
-    ids = np.array(e.ids, np.int64)
-    words = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], np.int64)
-    return Piece(data, ids, _byte_lengths(path)[ids].cumsum(), np.r_[True, np.diff(words) != 0][:len(ids)])
+    c, text = codec(path), data.decode()
+    ids = c.encode(text)
+    ends = c.lengths[ids].cumsum()
+    return Piece(data, ids, ends, np.isin(np.r_[0, ends[:-1]][:len(ids)], c.word_starts(text)))
 
 
 def halves(data: bytes, leaf: int) -> list[bytes]:
@@ -121,18 +158,16 @@ def join_all(path: str, pieces: list[Piece]) -> Piece:
     return pieces[0]
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as a list column, without a Python object for each element."""
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
+
+
 def _encode_whole(path: str):
     @F.arrow_udf("array<int>")
     def run(text: pa.Array) -> pa.Array:
-        t, out, some, held = tokenizer(path), [], [], 0
-        for x in text:
-            some.append(x.as_py() or "")
-            held += len(some[-1])
-            if held > _BATCH:
-                out += [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
-                some, held = [], 0
-        out += [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)] if some else []
-        return pa.array(out, pa.list_(pa.int32()))
+        return _lists([codec(path).encode(x.as_py()) for x in text], pa.int32())
 
     return run
 
@@ -146,8 +181,8 @@ def _split(leaf: int):
                 rows += [r] * len(found)
                 at += range(len(found))
                 parts += found
-            b = b.select(["k1", "k2", "row"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array(parts, pa.binary())], ["k1", "k2", "row", "at", "part"])
+            b = b.select(["k1", "k2"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array(parts, pa.binary())], ["k1", "k2", "at", "part"])
 
     return run
 
@@ -158,24 +193,23 @@ def _encode_parts(path: str):
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
                 done = [encode_piece(path, x.as_py()) for x in some.column("part")]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([p.ids.astype(np.int32) for p in done], pa.list_(pa.int32())),
-                                                  pa.array([p.first for p in done], pa.list_(pa.bool_()))], [*some.schema.names, "ids", "first"])
+                yield pa.RecordBatch.from_arrays([*some.columns, _lists([p.ids for p in done], pa.int32()), _lists([p.first for p in done], pa.bool_())],
+                                                 [*some.schema.names, "ids", "first"])
 
     return run
 
 
 def _join_text(path: str):
     def run(t: pa.Table) -> pa.Table:
-        """Rows: the encoded pieces of one text, once for every row with that text."""
+        """Rows: the encoded pieces of one text."""
         t = t.sort_by("at")
-        at, row = t.column("at").to_pylist(), t.column("row").to_pylist()
         pieces = {}
-        for n, part, ids, first in zip(at, t.column("part"), t.column("ids"), t.column("first")):
+        for n, part, ids, first in zip(t.column("at").to_pylist(), t.column("part"), t.column("ids"), t.column("first")):
             if n not in pieces:
-                ids = ids.values.to_numpy().astype(np.int64)
-                pieces[n] = Piece(part.as_py(), ids, _byte_lengths(path)[ids].cumsum(), first.values.to_numpy(zero_copy_only=False))
-        ids = join_all(path, [pieces[n] for n in sorted(pieces)]).ids.astype(np.int32)
-        return pa.table({"k1": t.column("k1")[:1], "k2": t.column("k2")[:1], "ids": pa.array([ids], pa.list_(pa.int32()))}) if row else t
+                ids = ids.values.to_numpy()
+                pieces[n] = Piece(part.as_py(), ids, codec(path).lengths[ids].cumsum(), first.values.to_numpy(zero_copy_only=False))
+        ids = join_all(path, [pieces[n] for n in sorted(pieces)]).ids
+        return pa.table({"k1": t.column("k1")[:1], "k2": t.column("k2")[:1], "ids": _lists([ids], pa.int32())})
 
     return run
 
@@ -194,10 +228,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lea
     short = docs.where(size <= leaf).select(*rest, _encode_whole(path)(t).alias(ids))
     k1, k2 = digest(t)
     long = docs.where(size > leaf)
-    whole = long.select(k1.alias("k1"), k2.alias("k2"), F.lit(0).alias("row"), t.alias("text"))
-    parts = whole.mapInArrow(_split(leaf), "k1 long, k2 long, row int, at int, part binary")
+    whole = long.select(k1.alias("k1"), k2.alias("k2"), t.alias("text"))
+    parts = whole.mapInArrow(_split(leaf), "k1 long, k2 long, at int, part binary")
     parts = parts.dropDuplicates(["k1", "k2", "at"])  # deals the pieces of a text to different tasks
-    done = parts.mapInArrow(_encode_parts(path), "k1 long, k2 long, row int, at int, part binary, ids array<int>, first array<boolean>")
+    done = parts.mapInArrow(_encode_parts(path), "k1 long, k2 long, at int, part binary, ids array<int>, first array<boolean>")
     joined = done.groupBy("k1", "k2").applyInArrow(_join_text(path), "k1 long, k2 long, ids array<int>").select(
         F.struct("k1", "k2").alias("_of"), F.col("ids").alias("_ids"))
     own = long.select(F.struct(*rest).alias("_row"), F.struct(k1.alias("k1"), k2.alias("k2")).alias("_key")) if rest else \
@@ -207,13 +241,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lea
     return short.unionByName(both)
 
 
-def decode(path: str, ids: Column, skip_special_tokens: bool = False) -> Column:
-    """The text of token ids; null ids give an empty text."""
+def decode(path: str, ids: Column) -> Column:
+    """The text of token ids, special tokens included; null ids give an empty text."""
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
-        t, out = tokenizer(path), []
-        for at in range(0, len(col), 64):
-            out += t.decode_batch([x or [] for x in col.slice(at, 64).to_pylist()], skip_special_tokens=skip_special_tokens)
-        return pa.array(out, pa.string())
+        return pa.array([codec(path).decode(x.as_py() or []) for x in col], pa.string())
 
     return run(ids)

@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     graph, so the number of rounds is logarithmic in practice. Loops and repeated edges do no harm; an
     empty table gives an empty result. Each round ends in a reliable checkpoint.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = reliable_checkpoint(edges.select("a", "b"))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = reliable_checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     now = reliable_checkpoint(both.where("a <> b").distinct())
     while not now.isEmpty():
