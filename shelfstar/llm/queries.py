@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfstar.llm import ann, bpe, chat, mixing, quality_rules, simhash, url_filter
+from shelfstar.llm import ann, bpe, chat, mixing, quality_rules, simhash, suffix_dedup, url_filter
 from shelfstar.llm.common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,16 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of it without repeated strings of 200 bytes."""
+    marked, spans = suffix_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), suffix_dedup.Params(length=200))
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return marked.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size(spans).cast("long").alias("n_spans"),
+                         F.sha2(suffix_dedup.remaining(data, F.col(spans)), 256).alias("kept_sha256"))
+
+
 @query("op3_source_mix")
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
