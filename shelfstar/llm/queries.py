@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfstar.llm import ann, bpe, chat, mixing, quality_rules, simhash, suffix_dedup, url_filter
+from shelfstar.llm import ann, bpe, chat, mixing, ngram_lm, quality_rules, simhash, suffix_dedup, url_filter
 from shelfstar.llm.common import table
 
 QUERIES: dict = {}
@@ -76,6 +76,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op7_stupid_backoff", r"""
+WITH w AS (SELECT doc_id, row, unnest(range(1, len(l) + 1)) AS i, l FROM (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS l FROM documents)),
+pos AS (SELECT doc_id, row, i, l[i] AS w, CASE WHEN i > 1 THEN l[i - 1] END AS v FROM w),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, row) AS c1, count(*) OVER () - count(*) OVER (PARTITION BY row) AS rest,
+         CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY v, w, row) END AS c2 FROM pos),
+with_context AS (SELECT *, lag(c1) OVER (PARTITION BY row ORDER BY i) AS cv FROM counted),
+steps AS (
+  SELECT *, CASE WHEN c2 > 0 THEN ln(c2 / cv) ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.4 END / greatest(rest, 1)) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END AS step
+  FROM with_context),
+sums AS (SELECT row, count(*) AS n_words, sum((c2 > 0)::INT)::BIGINT AS n_known_pairs, sum(step) AS log_score FROM steps GROUP BY row)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_known_pairs, 0) AS n_known_pairs, round(coalesce(log_score, 0), 3) AS log_score
+FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) LEFT JOIN sums USING (row)""")
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the counts of all other documents."""
+    got = ngram_lm.scores(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_known_pairs", F.round("log_score", 3).alias("log_score"))
+
+
 RULES = [url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
          url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
 ROUNDS = 10

@@ -267,7 +267,7 @@ def _windows(p: Params):
 def _segments(texts: DataFrame, p: Params) -> DataFrame:
     """Segments round the anchors that occur more than once in the distinct texts (k1, k2, text: binary)."""
     long = texts.where(F.octet_length("text") >= p.length).select("k1", "k2", "text")
-    found = long.mapInArrow(_emit_anchors(p), "anchor long, k1 long, k2 long, n long")
+    found = cut(long.mapInArrow(_emit_anchors(p), "anchor long, k1 long, k2 long, n long"), "anchors")
     often = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("anchor").alias("a"), (F.col("n") > p.in_task).alias("hot"))
     asked = (found.join(often, F.col("anchor") == F.col("a")).groupBy(F.col("k1").alias("x1"), F.col("k2").alias("x2"))
              .agg(F.collect_set(F.struct("anchor", "hot")).alias("asked")))
