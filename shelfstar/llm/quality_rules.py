@@ -29,7 +29,7 @@ RULES = [
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfstar.llm import ann, bpe, chat, mixing, ngram_lm, quality_rules, simhash, suffix_dedup, url_filter
+from shelfstar.llm import ann, bpe, chat, licenses, mixing, ngram_lm, quality_rules, simhash, suffix_dedup, url_filter
 from shelfstar.llm.common import table
 
 QUERIES: dict = {}
@@ -76,6 +76,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence families that its paragraphs state."""
+    docs = table(spark, sf_dir, "documents")
+    model = licenses.fit(spark, docs.select(F.explode(licenses.paragraphs_of(F.col("text"))).alias("text")))
+    return licenses.scan(docs, model).withColumn("licenses", F.array_join("licenses", ","))
+
+
 @query("op7_stupid_backoff", r"""
 WITH w AS (SELECT doc_id, row, unnest(range(1, len(l) + 1)) AS i, l FROM (
   SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -192,7 +200,7 @@ measured AS (
   FROM split LEFT JOIN hits USING (row) LEFT JOIN lines USING (row)),
 quality AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS more_failed
+         word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines AS more_failed
   FROM measured)"""
 
 
