@@ -3,7 +3,7 @@
 The corpus is dealt into blocks of documents. A block's distinct unigrams and bigrams go, with their counts,
 to shards by hash: the count tables. Each shard sums the counts of equal n-grams and joins the totals back to
 the blocks that asked; there they meet the documents again, and a document's scores are summed. An n-gram
-of any frequency is one entry per block, and rows hold sorted arrays of hashes instead of one n-gram each.
+of any frequency is one entry per block, and a row holds a block's part of a shard, sorted and packed.
 
 A document is scored by the counts of all other documents (its own are taken off), so that backoff matters:
 score(w | v) = c(v w) / c(v) if the others have v w, else alpha c(w) / N, else alpha^2 / N.
@@ -25,8 +25,8 @@ class Params:
     """``alpha``: backoff factor; ``block_bytes``: text of a block; ``blocks_per_shard``: blocks whose n-grams a shard gets."""
 
     alpha: float = 0.4
-    block_bytes: int = 8 << 20
-    blocks_per_shard: float = 2.0
+    block_bytes: int = 4 << 20
+    blocks_per_shard: float = 4.0
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -62,18 +62,25 @@ class Block:
         return np.r_[np.searchsorted(self.grams, np.array(edges, np.uint64)), len(self.grams)]
 
 
-def pack(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences of as many bytes as the largest needs."""
-    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    width = max(1, (int(steps.max(initial=np.uint64(0))).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers (uint64) in as many bytes each as the largest needs."""
+    width = max(1, (int(values.max(initial=np.uint64(0))).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :data[0]] = raw
-    return steps.reshape(-1).view("<u8").cumsum(dtype=np.uint64)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :data[0]] = raw
+    return whole.reshape(-1).view("<u8")
+
+
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    return pack(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return unpack(data).cumsum(dtype=np.uint64)
 
 
 def _count(shards: int):
@@ -82,29 +89,28 @@ def _count(shards: int):
         cuts = b.cuts(shards)
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({"shard": pa.array(full.astype(np.int32)), "block": pa.array(np.full(len(full), t.column("block")[0].as_py(), np.int32)),
-                         "grams": pa.array([pack(b.grams[cuts[s]:cuts[s + 1]]) for s in full], pa.binary()),
-                         "counts": pa.array([b.counts[cuts[s]:cuts[s + 1]].astype(np.int64) for s in full], pa.list_(pa.int64()))})
+                         "grams": pa.array([pack_sorted(b.grams[cuts[s]:cuts[s + 1]]) for s in full], pa.binary()),
+                         "counts": pa.array([pack(b.counts[cuts[s]:cuts[s + 1]]) for s in full], pa.binary())})
 
     return run
 
 
 def _total(t: pa.Table) -> pa.Table:
     """A shard: the corpus count of every n-gram, sent back to each block in the order it asked."""
-    asked = [unpack(x.as_py()) for x in t.column("grams")]
+    asked = [unpack_sorted(x.as_py()) for x in t.column("grams")]
     grams, place = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = t.column("counts").combine_chunks().flatten().to_numpy()
     total = np.zeros(len(grams), np.int64)
-    np.add.at(total, place, counts)
+    np.add.at(total, place, np.concatenate([unpack(x.as_py()) for x in t.column("counts")]).astype(np.int64))
     ends = np.cumsum([len(a) for a in asked])
     return pa.table({"shard": t.column("shard"), "block": t.column("block"),
-                     "totals": pa.array([total[place[e - len(a):e]] for a, e in zip(asked, ends)], pa.list_(pa.int64()))})
+                     "totals": pa.array([pack(total[place[e - len(a):e]]) for a, e in zip(asked, ends)], pa.binary())})
 
 
 def _score(alpha: float):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         b = Block(docs.column("text"))
         back = back.sort_by("shard")
-        totals = back.column("totals").combine_chunks().flatten().to_numpy() if len(back) else np.zeros(0, np.int64)
+        totals = np.concatenate([np.zeros(0, np.uint64), *[unpack(x.as_py()) for x in back.column("totals")]]).astype(np.int64)
         words, pairs = b.place[1:1 + len(b.words)], b.place[1 + len(b.words):]
 
         def others(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -143,7 +149,7 @@ def scores(docs: DataFrame, p: Params | None = None) -> DataFrame:
     blocks = max(1, -(-size // p.block_bytes))
     shards = max(1, round(blocks / p.blocks_per_shard))
     dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_count(shards), "shard int, block int, grams binary, counts array<long>")
-    back = asked.groupBy("shard").applyInArrow(_total, "shard int, block int, totals array<long>")
+    asked = dealt.groupBy("block").applyInArrow(_count(shards), "shard int, block int, grams binary, counts binary")
+    back = asked.groupBy("shard").applyInArrow(_total, "shard int, block int, totals binary")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
         _score(p.alpha), "doc_id long, n_words long, n_known_pairs long, log_score double, mean_log_score double")
