@@ -214,15 +214,16 @@ def _route(w: np.ndarray | None, held: np.ndarray, probes: int, enough: int):
     return run
 
 
-_FOUND = "k1 long, k2 long, score double, id long"
+_FOUND = "k1 long, k2 long, hits array<struct<s:double,id:long>>"
 
 
 def _search(keep: int):
-    """One block of members against one block of queries: the ``keep`` best ids of each query, ties to smaller ids."""
+    """One block of members against one block of queries: a row for each query with its ``keep`` best ids (s is the
+    negative score), ties to smaller ids."""
     def run(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy()
         q, m = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         if len(q) and len(m):
             x, y = _matrix(q.column("vector")), _matrix(m.column("vector"))
             ids = m.column("ids").to_pylist()
@@ -237,9 +238,10 @@ def _search(keep: int):
                     exact = (y[near] * x[i]).sum(axis=1)  # the same sum wherever the row lies in a block
                     order = np.lexsort((first[near], -exact))[:many]
                     best = sorted((-exact[o], j) for o in order for j in ids[near[o]])[:keep]
-                    for column, value in zip(out, ([k1[i]] * len(best), [k2[i]] * len(best), [-s for s, _ in best], [j for _, j in best])):
-                        column += value
-        return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in zip(("k1", "k2", "score", "id"), out)})
+                    for column, value in zip(out, (k1[i], k2[i], [{"s": float(s), "id": j} for s, j in best])):
+                        column.append(value)
+        hit = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("k1", "k2", "hits"), out, (pa.int64(), pa.int64(), hit))})
 
     return run
 
@@ -278,7 +280,7 @@ def nearest(vectors: DataFrame, k: int, p: Params | None = None) -> DataFrame:
 
     grid = deal(index, "m", "q", False).unionByName(deal(routed, "q", "m", True))
     hits = grid.groupBy("part", "m", "q").applyInArrow(_search(keep), _FOUND)
-    best = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), "id")).alias("hits"))
+    best = hits.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     best = best.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.slice(F.sort_array("hits"), 1, keep).alias("hits"))
     asking = rows.where("asks and id is not null and vector is not null").select(
         F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("v")).select(
