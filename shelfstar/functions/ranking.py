@@ -108,10 +108,10 @@ def _prefix(hist: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str
 
 
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """(rows strictly before) / (rows - 1), ties share a rank."""
-    before = value_counts_before(df, value)
+    """(rows strictly before) / (rows - 1), ties share a rank; rows without a value stay and have none."""
+    before = value_counts_before(df.where(F.col(value).isNotNull()), value)
     rank = F.when(F.col("_n_all") > 1, F.col("_n_before") / (F.col("_n_all") - 1)).otherwise(F.lit(0.0))
-    return df.join(before.select(value, rank.alias(out)), value)
+    return df.join(before.select(value, rank.alias(out)), value, "left")
 
 
 def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], keys: Sequence[str] = (),

@@ -296,7 +296,7 @@ def movements(star: Star) -> DataFrame:
                         .when(F.col("movement_type") == "transfer", "transfer").otherwise("adjustment")))
 
 
-def replay_allocated_returns(star: Star, max_rounds: int = 10_000) -> DataFrame:
+def replay_allocated_returns(star: Star) -> DataFrame:
     """L05 exact form: a return restocks the units that were allocated, not those requested.
 
     What comes back then depends on the walk itself. Delays are at least one day, so the
@@ -324,7 +324,7 @@ def replay_allocated_returns(star: Star, max_rounds: int = 10_000) -> DataFrame:
             F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempts").alias("attempts")))
 
     settled, still_open = None, returns
-    for _ in range(max_rounds):
+    while True:
         start = walk(requests.join(still_open.select(*POSITION).distinct(), POSITION, "left_semi"), still_open)
         got = F.least(F.col("quantity"), F.greatest(F.lit(0), F.col("stock_start") - F.col("ahead"))).cast("long")
         step = reliable_checkpoint(
@@ -337,13 +337,13 @@ def replay_allocated_returns(star: Star, max_rounds: int = 10_000) -> DataFrame:
             return walk(requests, settled)
         still_open = (step.join(moving, POSITION, "left_semi").withColumn("back", F.col("got"))
                       .drop("stock_start", "got", "moved"))
-    raise RuntimeError("the replay did not settle")
 
 
 def allocation_statistics(alloc: DataFrame) -> DataFrame:
-    """Totals, constrained and failed shares."""
+    """Totals, and shares of constrained lines (filled in part) and failed ones (not filled)."""
     n = F.count("*")
-    bad, failed = F.sum(F.col("is_constrained").cast("long")), F.sum((F.col("allocated") == 0).cast("long"))
+    part = (F.col("allocated") > 0) & (F.col("allocated") < F.col("quantity"))
+    bad, failed = F.sum(part.cast("long")), F.sum((F.col("allocated") == 0).cast("long"))
     return alloc.agg(n.alias("total_allocations"), bad.alias("constrained_allocations"), failed.alias("failed_allocations"),
                      half_up(bad * 100.0 / F.nullif(n, F.lit(0)), 2).alias("constrained_pct"),
                      half_up(failed * 100.0 / F.nullif(n, F.lit(0)), 2).alias("failed_pct"),

@@ -251,17 +251,17 @@ report("X09_forecast_models_to_adjust", Report(
     with g as (select product_id, product_name, ordered_size, kept_size, fit_description, count(*) as n, count(*) filter (where is_returned) as b,
         sum(fit_score) as fit from sizefit join product_d using (product_key) group by 1, 2, 3, 4, 5),
     h as (select product_id, product_name, ordered_size, kept_size, cast(sum(n) as bigint) as order_count, cast(sum(b) as bigint) as return_count,
-        {r('sum(fit) / sum(n)', 4)} as avg_fit_score, arg_max(fit_description, n * 10 + length(fit_description)) as most_common_feedback from g group by 1, 2, 3, 4)
+        {r('sum(fit) / sum(n)', 4)} as avg_fit_score, arg_max(fit_description, row(n, length(fit_description), fit_description)) as most_common_feedback from g group by 1, 2, 3, 4)
     select * from h where order_count > 10 and return_count > order_count * 3e-1""")
 def size_fit_patterns(star: Star) -> DataFrame:
-    """Most frequent feedback from counts per value (longer text wins a tie), in two small aggregations."""
+    """Most frequent feedback from counts per value (longer text, then the later one, wins a tie), in two small aggregations."""
     keys = ["product_id", "product_name", "ordered_size", "kept_size"]
     per = facts.size_fit(star).groupBy("product_key", "ordered_size", "kept_size", "fit_description").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("is_returned"), 1)).alias("b"), F.sum("fit_score").alias("fit"))
     named = per.join(star.product().select("product_key", "product_id", "product_name"), "product_key")
     return named.groupBy(*keys).agg(
         F.sum("n").alias("order_count"), F.sum("b").alias("return_count"), half_up(F.sum("fit") / F.sum("n"), 4).alias("avg_fit_score"),
-        F.max_by("fit_description", F.col("n") * 10 + F.length("fit_description")).alias("most_common_feedback")).where(
+        F.max_by("fit_description", F.struct("n", F.length("fit_description"), "fit_description")).alias("most_common_feedback")).where(
             "order_count > 10 and return_count > order_count * 3e-1")
 
 

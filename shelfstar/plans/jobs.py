@@ -247,8 +247,8 @@ report("L13_stock_statistics", Report("inv", {}, {
 
 
 @query("L14_allocation_statistics", f"""
-    select count(*) as total_allocations, count(*) filter (where is_constrained) as constrained_allocations, count(*) filter (where allocated = 0) as failed_allocations,
-      {pct('count(*) filter (where is_constrained)', 'count(*)', 2)} as constrained_pct, {pct('count(*) filter (where allocated = 0)', 'count(*)', 2)} as failed_pct,
+    select count(*) as total_allocations, count(*) filter (where allocated > 0 and allocated < quantity) as constrained_allocations, count(*) filter (where allocated = 0) as failed_allocations,
+      {pct('count(*) filter (where allocated > 0 and allocated < quantity)', 'count(*)', 2)} as constrained_pct, {pct('count(*) filter (where allocated = 0)', 'count(*)', 2)} as failed_pct,
       cast(sum(quantity) as bigint) as units_requested, cast(sum(allocated) as bigint) as units_allocated from alloc""")
 def allocation_statistics(star: Star) -> DataFrame:
     return ledger.allocation_statistics(ledger.allocations(star))

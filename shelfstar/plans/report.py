@@ -29,7 +29,7 @@ def _dated(fn: Callable[[Star], DataFrame]):
 
 
 def _events_sales(star: Star, since) -> DataFrame:
-    s = (star.sales(star.days_back(90)).groupBy("customer_key", "day")
+    s = (star.sales(since).groupBy("customer_key", "day")
          .agg(F.max((~F.col("is_return")).cast("int")).alias("kept")))
     joined = star.events(since).join(s, ["customer_key", "day"], "left")
     return joined.withColumn("has_any_sale", F.col("kept").isNotNull()).withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,22 +134,29 @@ def load_summary(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 class StageLog:
     """Append-only log of pipeline stages; a resumed run skips stages that are done."""
 
-    SCHEMA = "stage string, status string, message string, at timestamp"
+    SCHEMA = "stage string, status string, message string, at timestamp, number long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def mark(self, stage: str, status: str, message: str = "") -> None:
         row = self.spark.range(1).select(F.lit(stage).alias("stage"), F.lit(status).alias("status"),
-                                         F.lit(message).alias("message"), F.current_timestamp().alias("at"))
+                                         F.lit(message).alias("message"), F.current_timestamp().alias("at"),
+                                         F.lit(self._rows().count()).cast("long").alias("number"))
         row.write.mode("append").parquet(self.path)
 
-    def latest(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         try:
-            log = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception:
-            log = self.spark.createDataFrame([], self.SCHEMA)
-        return log.groupBy("stage").agg(F.max_by("status", "at").alias("status"), F.max_by("message", "at").alias("message"),
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def latest(self) -> DataFrame:
+        """The last entry of each stage by its number in the log; clocks may be equal or askew."""
+        log, order = self._rows(), F.struct("number", "at")
+        return log.groupBy("stage").agg(F.max_by("status", order).alias("status"), F.max_by("message", order).alias("message"),
                                         F.max("at").alias("at"))
 
     def run(self, stage: str, fn, resume: bool = True):
@@ -158,7 +166,7 @@ class StageLog:
         try:
             out = fn()
         except Exception as e:
-            self.mark(stage, "failed", str(e)[:500])
+            self.mark(stage, "failed", str(e))
             raise
         self.mark(stage, "done")
         return out

@@ -153,9 +153,9 @@ class SyncedTable:
         return self.spark.read.parquet(*[p for _, p in newest.values()]).where(~F.col("_gone")).drop("_gone")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """Upsert inserts and updates, drop deletes; the newest version of a key wins."""
+        """Upsert inserts and updates, drop deletes; the newest version of a key wins, of equal versions the largest row."""
         rest = [c for c in changes.columns if c != self.key]
-        latest = changes.groupBy(self.key).agg(F.max_by(F.struct(*rest), self.version).alias("r")).select(self.key, "r.*")
+        latest = changes.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct(self.version, F.struct(*rest))).alias("r")).select(self.key, "r.*")
         old = self.read(before=batch)
         live = latest.withColumn("_gone", F.col("change_type") == "delete").drop("change_type")
         if old is not None:

@@ -62,3 +62,9 @@ def test_rank_within_a_key_over_blocks(spark):
     df = spark.createDataFrame(rows, "k long, s long, i long").withColumn("_b", F.col("s"))
     got = sorted((r.k, r.s, r.i, r.n) for r in ranking.row_number_in_blocks(df, ["k"], ["_b"], [F.col("s"), F.col("i")], "n").collect())
     assert got == [(1, 1, 2, 1), (1, 1, 5, 2), (1, 2, 3, 3), (1, 3, 0, 4), (1, 3, 1, 5), (1, 3, 4, 6), (2, 9, 0, 1)]
+
+
+def test_percent_rank_keeps_rows_without_a_value(spark):
+    from shelfstar.functions.ranking import percent_rank
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 7.0), (4, 5.0)], "id long, v double")
+    assert {r["id"]: r["r"] for r in percent_rank(df, "v", "r").collect()} == {1: 0.0, 2: None, 3: 1.0, 4: 0.0}

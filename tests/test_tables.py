@@ -99,3 +99,11 @@ def test_config_rejects(bad):
 def test_config_keeps_unknown_keys():
     c = Config.from_dict({"historical_days": 5, "site": "x"})
     assert c.historical_days == 5 and c.extra == {"site": "x"}
+
+
+def test_stage_log_keeps_order_and_whole_messages(spark, tmp_path):
+    log, text = tables.StageLog(spark, str(tmp_path / "log")), "x" * 2000
+    for status in ("started", "failed", "started", "done"):
+        log.mark("a", status, text)
+    r = log.latest().first()
+    assert r["status"] == "done" and r["message"] == text
