@@ -133,9 +133,9 @@ def _smallest_ids(keep: int):
     def run(batches):
         for b in batches:
             df = b.to_pandas()
-            df = df.sort_values("id").groupby(["k1", "k2"], sort=False)
+            df = df.sort_values("id").drop_duplicates(["k1", "k2", "id", "asks"]).groupby(["k1", "k2"], sort=False)
             first = df["vector"].first().reset_index()
-            first["ids"] = df["id"].apply(lambda s: s.iloc[:keep].tolist()).to_numpy()
+            first["ids"] = df["id"].apply(lambda s: s.drop_duplicates().iloc[:keep].tolist()).to_numpy()
             first["asks"] = df["asks"].max().to_numpy()
             yield pa.RecordBatch.from_pandas(first, preserve_index=False)
 
@@ -154,7 +154,7 @@ def members(vectors: DataFrame, keep: int) -> DataFrame:
     most = v.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     v = v.where(F.size("vector") == (most["d"] if most else 0)).withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.xxhash64(F.lit("v"), "vector"))
     part = v.mapInArrow(_smallest_ids(keep), "k1 long, k2 long, vector array<float>, ids array<long>, asks boolean")
-    least = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")
+    least = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
     for salt in (["s"], []):  # copies of one vector meet in two steps, with ``keep`` ids each
         part = part.withColumn("s", F.pmod(F.hash("ids"), F.lit(64))) if salt else part
         part = part.groupBy("k1", "k2", *salt).agg(F.any_value("vector").alias("vector"), least, F.max("asks").alias("asks"))
@@ -280,7 +280,7 @@ def nearest(vectors: DataFrame, k: int, p: Params | None = None) -> DataFrame:
 
     grid = deal(index, "m", "q", False).unionByName(deal(routed, "q", "m", True))
     hits = grid.groupBy("part", "m", "q").applyInArrow(_search(keep), _FOUND)
-    best = hits.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    best = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     best = best.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.slice(F.sort_array("hits"), 1, keep).alias("hits"))
     asking = rows.where("asks and id is not null and vector is not null").select(
         F.col("id").alias("query_id"), F.col("vector").cast("array<float>").alias("v")).select(
