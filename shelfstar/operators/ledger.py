@@ -5,9 +5,16 @@ requests), partial fills make the stock a walk reflected at zero:
 
     level_d = A + x_1 + .. + x_d        stock_d = level_d - least(0, min(level_1..level_d))
 
+A return puts back what was allocated to its line, so restocks depend on the walk itself. They
+are known without it wherever requests so far do not exceed the opening stock; a position that
+has returns beyond that point is folded day by day, over day records only. What comes back
+never exceeds what went out, so no stock ever exceeds its opening: in a day, only lines
+with fewer units than that ahead of them can get anything.
+
 Sale lines are first summed per position and day (partial sums happen before the shuffle),
 so a position that holds a third of all lines reaches the window as at most one row per
-calendar day. Single lines are then allocated inside their day, from the day's own stock.
+calendar day. Single lines are then allocated inside their day, from the day's own stock;
+a day that holds a third of all lines is dealt over parts first.
 """
 
 from __future__ import annotations
@@ -18,10 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import date_key, half_up
-from shelfstar.sources.tables import reliable_checkpoint
 from shelfstar.star import OPENING, Star
 
 POSITION = ["product_key", "location_key"]
+#: The order of lines within a day, and the parts over which the lines of a day are dealt.
+LINE_ORDER = ["transaction_id", "line_number", "quantity", "net_cents", "discount_cents", "tax_cents", "is_return"]
+PARTS = 256
 
 
 def opening_positions(star: Star) -> DataFrame:
@@ -34,27 +43,116 @@ def return_delay(txn: Column, bounds: tuple[int, int]) -> Column:
     return (lo + txn % (hi - lo + 1)).cast("int")
 
 
-def daily_ledger(star: Star, probes: DataFrame | None = None) -> DataFrame:
-    """Restocked and requested units per position and day, from one scan of the lines.
-
-    ``probes`` are extra (product, location, day) points at which the stock is wanted; they
-    join the ledger as days without change.
-    """
+def requested_ledger(star: Star) -> DataFrame:
+    """L05 short form, per position and day: every return puts back the units requested, whether allocated or not."""
     due = F.date_add("day", return_delay(F.col("transaction_id"), star.config.return_delay_days))
     zero, q = F.lit(0), F.col("quantity")
     sale = F.struct(F.col("day").alias("day"), zero.alias("restock"), q.alias("request"), F.lit(1).alias("attempt"))
     back = F.struct(due.alias("day"), q.alias("restock"), zero.alias("request"), zero.alias("attempt"))
     steps = F.when(F.col("is_return"), F.array(sale, back)).otherwise(F.array(sale))
-    ledger = star.lines().select(*POSITION, F.inline(steps))
-    if probes is not None:
-        wanted = probes.select(*POSITION, "day").distinct()
-        ledger = ledger.join(wanted.select(*POSITION).distinct(), POSITION, "left_semi")
-        ledger = ledger.unionByName(wanted.select(*POSITION, "day", zero.alias("restock"), zero.alias("request"),
-                                                  zero.alias("attempt")))
-    return ledger.groupBy(*POSITION, "day").agg(
+    return star.lines().select(*POSITION, F.inline(steps)).groupBy(*POSITION, "day").agg(
         F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempt").alias("attempts"))
 
 
+def units_ahead(lines: DataFrame, order: list, quantity: str, limit: Column) -> DataFrame:
+    """Adds ``ahead``: units asked for by earlier lines of the position and day, or null where they reach ``limit``.
+
+    Each day is dealt over parts by a hash of the line. A line with ``limit`` units ahead of it in its own part
+    is settled there; the others, at most ``limit`` of a part, meet in the window of the day. Lines settled
+    before leave the sums of the others as they are, or at ``limit`` or more.
+    """
+    def before(*keys) -> Column:
+        run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(quantity).over(run), F.lit(0))
+
+    day = [*POSITION, "day"]
+    part = F.pmod(F.xxhash64(*[c for c in lines.columns if c not in day]), F.lit(PARTS))
+    dealt = lines.withColumn("part", part).repartition(*day, "part").withColumn("ahead", before(*day, "part"))
+    near = dealt.where(F.col("ahead") < limit).withColumn("ahead", before(*day))
+    far = dealt.where(F.col("ahead") >= limit).withColumn("ahead", F.lit(None).cast("long"))
+    return near.withColumn("ahead", F.when(F.col("ahead") < limit, F.col("ahead"))).unionByName(far).drop("part")
+
+
+def sale_days(star: Star, keys: DataFrame | None = None) -> DataFrame:
+    """Requests per position and day, returned units by delay, and where the returns depend on the walk.
+
+    ``is_short``: the day has returns and requests so far exceed the opening stock. ``is_open``: the position has such a day.
+    """
+    lo, hi = star.config.return_delay_days
+    delay = return_delay(F.col("transaction_id"), (lo, hi))
+    back = [F.sum(F.when(F.col("is_return") & (delay == k), F.col("quantity")).otherwise(0)) for k in range(lo, hi + 1)]
+    p = Window.partitionBy(*POSITION)
+    run = p.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = star.lines() if keys is None else star.lines().join(keys, POSITION, "left_semi")
+    days = lines.groupBy(*POSITION, "day").agg(F.sum("quantity").alias("request"), F.count("*").alias("attempts"),
+                                               F.array(*back).alias("back"))
+    short = (F.sum("request").over(run) > F.expr(OPENING)) & (F.array_max("back") > 0)
+    return days.withColumn("is_short", short).withColumn("is_open", F.max("is_short").over(p))
+
+
+def folded_returns(star: Star, days: DataFrame) -> DataFrame:
+    """Restocks of the open positions, from one fold per position over its days (at most one record per calendar day).
+
+    Days that are not short give back all that their returns asked for. A short day carries its return lines with the
+    units ahead of them; lines with the whole opening stock ahead of them get nothing and are left out.
+    """
+    lo, hi = star.config.return_delay_days
+    zero, day = F.lit(0).cast("long"), [*POSITION, "day"]
+    short = days.where("is_short").select(*day)
+    lines = star.lines().select(*day, *LINE_ORDER).join(short, day, "left_semi")
+    asked = (units_ahead(lines, LINE_ORDER, "quantity", F.expr(OPENING)).where("is_return and ahead is not null")
+             .groupBy(*day).agg(F.collect_list(F.struct("ahead", F.col("quantity").cast("long").alias("quantity"), return_delay(
+                 F.col("transaction_id"), (lo, hi)).alias("delay"))).alias("asked")))
+    record = F.struct("day", "request", "is_short", "back", "asked")
+    histories = (days.where("is_open").join(asked, day, "left").groupBy(*POSITION)
+                 .agg(F.sort_array(F.collect_list(record)).alias("days")))
+
+    def total(steps: Column, units) -> Column:
+        return F.coalesce(F.aggregate(steps, zero, lambda a, x: a + units(x)), zero)
+
+    def one_day(state: Column, d: Column) -> Column:
+        start = state["stock"] + total(F.filter(state["due"], lambda x: x["day"] <= d["day"]), lambda x: x["restock"])
+
+        def back(k: int) -> Column:
+            got = total(F.filter(d["asked"], lambda r: r["delay"] == k),
+                        lambda r: F.least(r["quantity"], F.greatest(zero, start - r["ahead"])))
+            units = F.when(d["is_short"], got).otherwise(d["back"][k - lo])
+            return F.struct(F.date_add(d["day"], k).alias("day"), units.alias("restock"))
+
+        new = F.filter(F.array(*[back(k) for k in range(lo, hi + 1)]), lambda x: x["restock"] > 0)
+        later = F.filter(state["due"], lambda x: x["day"] > d["day"])
+        return F.struct(F.greatest(zero, start - d["request"]).alias("stock"), F.concat(later, new).alias("due"),
+                        F.concat(state["all"], new).alias("all"))
+
+    none = F.array().cast("array<struct<day:date,restock:bigint>>")
+    begin = F.struct(F.expr(OPENING).alias("stock"), none.alias("due"), none.alias("all"))
+    return histories.select(*POSITION, F.inline(F.aggregate("days", begin, one_day, lambda state: state["all"])))
+
+
+def daily_ledger(star: Star, probes: DataFrame | None = None) -> DataFrame:
+    """Restocked and requested units per position and day; a return puts back the units allocated to it.
+
+    ``probes`` are extra (product, location, day) points at which the stock is wanted; they
+    join the ledger as days without change, and only their positions are computed.
+    """
+    lo, hi = star.config.return_delay_days
+    zero = F.lit(0).cast("long")
+    wanted = None if probes is None else probes.select(*POSITION, "day").distinct()
+    days = star.cut("sale_days", lambda: sale_days(star)) if wanted is None else (
+        sale_days(star, wanted.select(*POSITION).distinct()))
+    request = F.struct("day", zero.alias("restock"), "request", "attempts")
+    backs = F.array(*[F.struct(F.date_add("day", k).alias("day"), F.col("back")[k - lo].alias("restock"), zero.alias("request"),
+                               zero.alias("attempts")) for k in range(lo, hi + 1)])
+    full = F.filter(backs, lambda x: ~F.col("is_open") & (x["restock"] > 0))
+    ledger = days.select(*POSITION, F.inline(F.concat(F.array(request), full)))
+    none = [zero.alias("request"), zero.alias("attempts")]
+    ledger = ledger.unionByName(folded_returns(star, days).select(*POSITION, "day", "restock", *none))
+    if wanted is not None:
+        ledger = ledger.unionByName(wanted.select(*POSITION, "day", zero.alias("restock"), *none))
+    return ledger.groupBy(*POSITION, "day").agg(
+        F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempts").alias("attempts"))
+
+
 def reflected_walk(ledger: DataFrame) -> DataFrame:
     """Start and end stock per position and day, by the closed form above."""
     p = Window.partitionBy(*POSITION)
@@ -83,16 +181,12 @@ def stock_as_of(star: Star, probes: DataFrame) -> DataFrame:
 def allocations(star: Star) -> DataFrame:
     """Units given to each line, in order of (transaction, line) within its day."""
     days = stock_walk(star).where(F.col("attempts") > 0).select(*POSITION, "day", "stock_start")
-    tie = ["transaction_id", "line_number", "quantity", "net_cents", "discount_cents", "tax_cents", "is_return"]
-    run = (Window.partitionBy(*POSITION, "day").orderBy(*tie)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = F.sum("quantity").over(run)
-    lines = star.lines()
-    return (lines.join(days, [*POSITION, "day"]).withColumn("cum", cum)
-            .withColumn("stock_before", F.greatest(F.lit(0), F.col("stock_start") - F.col("cum") + F.col("quantity")))
-            .withColumn("allocated", F.least(F.col("quantity"), F.col("stock_before")))
-            .withColumn("is_constrained", F.col("allocated") < F.col("quantity"))
-            .drop("cum", "stock_start"))
+    lines = units_ahead(star.lines(), LINE_ORDER, "quantity", F.expr(OPENING))
+    left = F.greatest(F.lit(0).cast("long"), F.col("stock_start") - F.col("ahead"))
+    near = lines.where("ahead is not null").join(days, [*POSITION, "day"]).withColumn("stock_before", left).drop("stock_start")
+    far = lines.where("ahead is null").withColumn("stock_before", F.lit(0).cast("long"))
+    return (near.unionByName(far).withColumn("allocated", F.least(F.col("quantity"), F.col("stock_before")))
+            .withColumn("is_constrained", F.col("allocated") < F.col("quantity")).drop("ahead"))
 
 
 def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_priority: bool = False) -> DataFrame:
@@ -104,12 +198,10 @@ def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_p
     m = (F.col("request_id") * 7919 + seed * 104729) % 1000003
     mix = m * m % 1000003  # squaring, or the seed would only shift the order
     order = ([F.col("priority").desc()] if by_priority else []) + [mix, F.col("request_id"), F.col("requested")]
-    run = Window.partitionBy(*POSITION, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (requests.join(stock, [*POSITION, "day"])
-            .withColumn("cum", F.sum("requested").over(run))
-            .withColumn("allocated", F.least(F.col("cum"), F.col("stock_start"))
-                        - F.least(F.col("cum") - F.col("requested"), F.col("stock_start")))
-            .withColumn("is_constrained", F.col("allocated") < F.col("requested")).drop("cum"))
+    asked = units_ahead(requests.join(stock, [*POSITION, "day"]), order, "requested", F.col("stock_start"))
+    left = F.coalesce(F.greatest(F.lit(0), F.col("stock_start") - F.col("ahead")), F.lit(0))
+    return (asked.withColumn("allocated", F.least(F.col("requested"), left))
+            .withColumn("is_constrained", F.col("allocated") < F.col("requested")).drop("ahead"))
 
 
 def positions(star: Star) -> DataFrame:
@@ -296,49 +388,6 @@ def movements(star: Star) -> DataFrame:
                         .when(F.col("movement_type") == "transfer", "transfer").otherwise("adjustment")))
 
 
-def replay_allocated_returns(star: Star) -> DataFrame:
-    """L05 exact form: a return restocks the units that were allocated, not those requested.
-
-    What comes back then depends on the walk itself. Delays are at least one day, so the
-    walk is fixed by its own past: start from the requested amounts, compute the walk, put
-    in the amounts really allocated, and repeat. Every round settles at least one more day of
-    each open position, and a position whose returns did not change is final (the only fixed
-    point is the sequential answer). Rounds work on daily totals of the open positions only.
-    """
-    order = ["transaction_id", "line_number", "quantity", "net_cents", "discount_cents", "tax_cents", "is_return"]
-    before = (Window.partitionBy(*POSITION, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    due = F.date_add("day", return_delay(F.col("transaction_id"), star.config.return_delay_days))
-    lines = star.lines().select(*POSITION, "day", *order)
-    requests = reliable_checkpoint(lines.groupBy(*POSITION, "day").agg(
-        F.sum("quantity").alias("request"), F.count("*").alias("attempts")))
-    returns = reliable_checkpoint(
-        lines.withColumn("ahead", F.coalesce(F.sum("quantity").over(before), F.lit(0))).where("is_return")
-        .select(*POSITION, "day", due.alias("due"), "quantity", "ahead", F.col("quantity").cast("long").alias("back")))
-
-    def walk(req: DataFrame, ret: DataFrame) -> DataFrame:
-        zero = F.lit(0).cast("long")
-        steps = req.select(*POSITION, "day", zero.alias("restock"), "request", "attempts").unionByName(
-            ret.select(*POSITION, F.col("due").alias("day"), F.col("back").alias("restock"), zero.alias("request"),
-                       zero.alias("attempts")))
-        return reflected_walk(steps.groupBy(*POSITION, "day").agg(
-            F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempts").alias("attempts")))
-
-    settled, still_open = None, returns
-    while True:
-        start = walk(requests.join(still_open.select(*POSITION).distinct(), POSITION, "left_semi"), still_open)
-        got = F.least(F.col("quantity"), F.greatest(F.lit(0), F.col("stock_start") - F.col("ahead"))).cast("long")
-        step = reliable_checkpoint(
-            still_open.join(start.select(*POSITION, "day", "stock_start"), [*POSITION, "day"])
-            .withColumn("got", got).withColumn("moved", F.col("got") != F.col("back")))
-        moving = step.where("moved").select(*POSITION).distinct()
-        done = step.join(moving, POSITION, "left_anti").drop("stock_start", "got", "moved")
-        settled = done if settled is None else settled.unionByName(done)
-        if moving.isEmpty():
-            return walk(requests, settled)
-        still_open = (step.join(moving, POSITION, "left_semi").withColumn("back", F.col("got"))
-                      .drop("stock_start", "got", "moved"))
-
-
 def allocation_statistics(alloc: DataFrame) -> DataFrame:
     """Totals, and shares of constrained lines (filled in part) and failed ones (not filled)."""
     n = F.count("*")

@@ -1,8 +1,8 @@
 """The star as ANSI SQL common table expressions, used only to check results.
 
 A check query names the tables it needs; ``with_tables`` puts their definitions in front.
-The stock walk is written here at sale-line grain with running windows, while the Spark
-jobs work from daily totals, so the two derivations check each other.
+The stock walk is written here as a recursion over the sale lines of a position, while the
+Spark jobs work from daily totals, so the two derivations check each other.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ TABLES: dict[str, str] = {
           case when event_type = 'view' then 5 + event_id % 296 else 0 end as time_on_page,
           event_type = 'purchase' as conversion_flag
         from events""",
-    "ledger": """
+    "requested": """
         select product_key, location_key, day, 1 as kind, transaction_id, line_number, quantity, net_cents,
                discount_cents, tax_cents, is_return, 0 as restock, quantity as request, -quantity as x from lines
         union all
@@ -114,26 +114,48 @@ TABLES: dict[str, str] = {
         select *, {OPENING} as opening,
           {OPENING} + sum(x) over w as level,
           row_number() over w as seq
-        from ledger
+        from requested
         window w as (partition by product_key, location_key order by day, kind, {_line_order}
                      rows unbounded preceding)""",
     "line_walk": """
         select *, cast(level - least(0, min(level) over (partition by product_key, location_key order by seq
                   rows unbounded preceding)) as bigint) as stock_after
         from line_sum""",
-    "alloc_all": """
-        select *, coalesce(lag(stock_after) over (partition by product_key, location_key order by seq), opening)
-                  as stock_before
-        from line_walk""",
-    "alloc": """
-        select transaction_id, line_number, product_key, location_key, day, quantity, net_cents, is_return,
-          stock_before, least(request, stock_before) as allocated, least(request, stock_before) < request as is_constrained
-        from alloc_all where kind = 1""",
-    "walk0": """
+    "requested_days": """
         select product_key, location_key, day, any_value(opening) as opening, cast(sum(restock) as bigint) as restock,
           cast(sum(request) as bigint) as request, count(*) filter (where kind = 1) as attempts,
           arg_max(stock_after, seq) as stock_end
         from line_walk group by 1, 2, 3""",
+    "requested_walk": """
+        select *, coalesce(lag(stock_end) over (partition by product_key, location_key order by day), opening) + restock as stock_start
+        from requested_days""",
+    "numbered": f"""
+        select *, {OPENING} as opening, day + cast(1 + transaction_id % 3 as int) as due,
+          row_number() over (partition by product_key, location_key order by day, {_line_order}) as n
+        from lines""",
+    "replay": """
+        select product_key, location_key, n, opening as stock_before, least(quantity, opening) as allocated,
+          opening - least(quantity, opening) as stock,
+          case when is_return then [{'due': due, 'back': least(quantity, opening)}] else [] end as owed
+        from numbered where n = 1
+        union all
+        select product_key, location_key, n, s, least(quantity, s), s - least(quantity, s),
+          list_concat(later, case when is_return then [{'due': due, 'back': least(quantity, s)}] else [] end)
+        from (select m.*, list_filter(owed, lambda x: x.due > m.day) as later,
+                cast(stock + coalesce(list_sum([x.back for x in owed if x.due <= m.day]), 0) as bigint) as s
+              from replay r join numbered m on m.product_key = r.product_key and m.location_key = r.location_key and m.n = r.n + 1) t""",
+    "alloc": """
+        select transaction_id, line_number, product_key, location_key, day, due, quantity, net_cents, is_return, opening,
+          stock_before, allocated, allocated < quantity as is_constrained
+        from numbered join replay using (product_key, location_key, n)""",
+    "walk0": """
+        select *, cast(opening + sum(restock - given) over (partition by product_key, location_key order by day) as bigint) as stock_end
+        from (select product_key, location_key, day, any_value(opening) as opening, cast(sum(restock) as bigint) as restock,
+                cast(sum(request) as bigint) as request, cast(sum(attempt) as bigint) as attempts, sum(given) as given
+              from (select product_key, location_key, opening, day, 0 as restock, quantity as request, 1 as attempt, allocated as given from alloc
+                    union all
+                    select product_key, location_key, opening, due, allocated, 0, 0, 0 from alloc where is_return and allocated > 0) e
+              group by 1, 2, 3) t""",
     "walk": """
         select *, coalesce(lag(stock_end) over w, opening) as stock_prev,
           coalesce(lag(stock_end) over w, opening) + restock as stock_start,
@@ -323,5 +345,5 @@ def with_tables(sql: str) -> str:
     if not parts:
         return text
     if text.lower().startswith("with "):
-        return "with " + ",\n".join(parts) + ",\n" + text[5:]
-    return "with " + ",\n".join(parts) + "\n" + text
+        return "with recursive " + ",\n".join(parts) + ",\n" + text[5:]
+    return "with recursive " + ",\n".join(parts) + "\n" + text

@@ -176,17 +176,20 @@ def batch_priority(star: Star) -> DataFrame:
     return ledger.batch_allocation(*_requests(star), by_priority=True)
 
 
-@query("L05_restock_of_returns", """
-    select product_key, location_key, day, restock, request, attempts, cast(stock_start as bigint) as stock_start, stock_end from walk""")
+_LEDGER = "select product_key, location_key, day, restock, request, attempts, cast(stock_start as bigint) as stock_start, stock_end from "
+_LEDGER_COLUMNS = [*POS, "day", "restock", "request", "attempts", "stock_start", "stock_end"]
+
+
+@query("L05_restock_of_returns", _LEDGER + "requested_walk")
 def restock(star: Star) -> DataFrame:
-    """Requested quantities come back 1-3 days after the return."""
-    return ledger.stock_walk(star).select(*POS, "day", "restock", "request", "attempts", "stock_start", "stock_end")
+    """Short form: requested quantities come back 1-3 days after the return. No other query rests on it."""
+    return ledger.reflected_walk(ledger.requested_ledger(star)).select(*_LEDGER_COLUMNS)
 
 
-@query("L05_restock_allocated_exact")
+@query("L05_restock_allocated_exact", _LEDGER + "walk")
 def restock_exact(star: Star) -> DataFrame:
-    """Only the allocated quantities come back; settled by rounds over open positions."""
-    return ledger.replay_allocated_returns(star).select(*POS, "day", "restock", "request", "attempts", "stock_start", "stock_end")
+    """The ledger of all stock queries: only the allocated quantities come back."""
+    return ledger.stock_walk(star).select(*_LEDGER_COLUMNS)
 
 
 @query("L06_low_stock_flag", "select customer_key, product_key, location_key, day, stock, stock <= 5 as is_low_inventory from cart_stock")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfstar.config import Config
 from shelfstar.functions.exprs import date_key, truncated_cents
+from shelfstar.sources.tables import reliable_checkpoint
 
 # The eight sales channels.
 CHANNELS = [
@@ -73,6 +74,7 @@ class Star:
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None):
         self.spark, self.dir, self.config = spark, sf_dir.rstrip("/"), (config or Config()).validate()
         self._raw: dict[str, DataFrame] = {}
+        self._cuts: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -83,6 +85,12 @@ class Star:
             self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._raw[name]
 
+    def cut(self, name: str, build) -> DataFrame:
+        """A table that several parts of a query use: computed once, then read from the shared folder."""
+        if name not in self._cuts:
+            self._cuts[name] = reliable_checkpoint(build())
+        return self._cuts[name]
+
     @cached_property
     def _span(self) -> tuple[dt.date, dt.date]:
         """First and latest sale date: one row, read once, then literals that scans can prune on."""

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import make_lines, write_star
 from shelfstar.operators import ledger
 
 ORDER = ["transaction_id", "line_number", "quantity", "net_cents", "discount_cents", "tax_cents", "is_return"]
@@ -19,15 +20,16 @@ def opening(p, s):
     return 20 + mix % 81 if s % 13 < 10 else 100 + mix * 4 if s % 13 < 12 else 10 + mix % 41
 
 
-def loop(lines: pd.DataFrame, restock_allocated: bool):
+def loop(lines: pd.DataFrame, restock_allocated: bool, delays=(1, 3)):
     """Sequential replay: day rows and line rows per position."""
     days, rows = {}, []
+    delay = lambda txn: dt.timedelta(days=delays[0] + txn % (delays[1] - delays[0] + 1))
     for (p, s), g in lines.groupby(["product_key", "location_key"]):
         stock, due = opening(p, s), defaultdict(int)
         if not restock_allocated:
             for r in g.itertuples():
                 if r.is_return:
-                    due[r.day + dt.timedelta(days=1 + r.transaction_id % 3)] += r.quantity
+                    due[r.day + delay(r.transaction_id)] += r.quantity
         by_day = {d: x.sort_values(ORDER) for d, x in g.groupby("day")}
         todo = set(by_day) | set(due)
         while todo:
@@ -39,8 +41,8 @@ def loop(lines: pd.DataFrame, restock_allocated: bool):
                 take = min(r.quantity, stock)
                 rows.append((p, s, d, r.transaction_id, r.line_number, r.quantity, stock, take))
                 stock -= take
-                if restock_allocated and r.is_return:
-                    back = r.day + dt.timedelta(days=1 + r.transaction_id % 3)
+                if restock_allocated and r.is_return and take:
+                    back = r.day + delay(r.transaction_id)
                     due[back] += take
                     todo.add(back)
             days[(p, s, d)] = (start, stock)
@@ -52,20 +54,63 @@ def lines(small_star):
     return pd.DataFrame([r.asDict() for r in small_star.lines().collect()])
 
 
-def test_walk_and_allocations_match_a_loop(small_star, lines):
-    days, rows = loop(lines, restock_allocated=False)
-    walk = {(r.product_key, r.location_key, r.day): (r.stock_start, r.stock_end) for r in ledger.stock_walk(small_star).collect()}
-    assert walk == days
-    got = ledger.allocations(small_star).collect()
+def states(walk):
+    return {(r.product_key, r.location_key, r.day): (r.stock_start, r.stock_end) for r in walk.collect()}
+
+
+def same_lines(star, rows):
+    got = ledger.allocations(star).collect()
     assert sorted((r.product_key, r.location_key, r.day, r.transaction_id, r.line_number, r.quantity, r.stock_before, r.allocated) for r in got) == rows
     assert any(r.is_constrained for r in got) and all(r.is_constrained == (r.allocated < r.quantity) for r in got)
 
 
-def test_exact_replay_matches_a_loop(small_star, lines):
-    days, _ = loop(lines, restock_allocated=True)
-    got = {(r.product_key, r.location_key, r.day): (r.stock_start, r.stock_end) for r in ledger.replay_allocated_returns(small_star).collect()}
-    assert {k: v for k, v in got.items() if k in days} == days
-    assert all(v[0] == v[1] for k, v in got.items() if k not in days)
+def test_walk_and_allocations_match_a_loop(small_star, lines):
+    days, rows = loop(lines, restock_allocated=True)
+    assert states(ledger.stock_walk(small_star)) == days
+    same_lines(small_star, rows)
+
+
+def test_short_form_matches_a_loop(small_star, lines):
+    days, _ = loop(lines, restock_allocated=False)
+    assert states(ledger.reflected_walk(ledger.requested_ledger(small_star))) == days
+    assert days != loop(lines, restock_allocated=True)[0]
+
+
+def test_no_stock_exceeds_its_opening(small_star):
+    assert all(r.stock_start <= r.opening for r in ledger.stock_walk(small_star).collect())
+
+
+@pytest.mark.parametrize("delays", [(1, 1), (2, 6)])
+def test_delays_follow_the_configuration(spark, tmp_path, delays):
+    from shelfstar.config import Config
+    from shelfstar.star import Star
+    star = Star(spark, write_star(tmp_path, make_lines(200, 2, 2, 40, seed=3)), Config(return_delay_days=delays))
+    lines = pd.DataFrame([r.asDict() for r in star.lines().collect()])
+    assert states(ledger.stock_walk(star)) == loop(lines, True, delays)[0]
+
+
+def test_a_day_with_most_lines_is_dealt_over_parts(spark, tmp_path, monkeypatch):
+    """Half of all lines fall on one position and day; only lines with less than the opening ahead in their part meet."""
+    from shelfstar.star import Star
+    monkeypatch.setattr(ledger, "PARTS", 4)
+    raw = make_lines(600, 3, 2, 30, seed=11)
+    hot = raw.index % 2 == 0
+    raw.loc[hot, ["l_partkey", "l_suppkey"]] = [2, 1]
+    raw.loc[hot, "l_shipdate"] = dt.datetime(1995, 1, 9)
+    raw["l_linenumber"] = range(len(raw))
+    star = Star(spark, write_star(tmp_path, raw))
+    lines = pd.DataFrame([r.asDict() for r in star.lines().collect()])
+    days, rows = loop(lines, restock_allocated=True)
+    assert states(ledger.stock_walk(star)) == days
+    same_lines(star, rows)
+    ahead = ledger.units_ahead(star.lines(), ledger.LINE_ORDER, "quantity", F.expr(ledger.OPENING)).where("product_key = 2 and location_key = 1")
+    assert ahead.where("ahead is not null").count() < ahead.where("ahead is null").count()
+    req = star.lines().select(*ledger.POSITION, "day", F.col("transaction_id").alias("request_id"), F.col("quantity").alias("requested"),
+                              F.col("line_number").alias("priority"))
+    stock = ledger.stock_walk(star).where("attempts > 0").select(*ledger.POSITION, "day", "stock_start")
+    given = ledger.batch_allocation(req, stock, by_priority=True).groupBy(*ledger.POSITION, "day").agg(
+        F.sum("allocated").alias("a"), F.sum("requested").alias("q"), F.first("stock_start").alias("s"), F.count("*").alias("n")).collect()
+    assert all(r.a == min(r.q, r.s) for r in given) and sum(r.n for r in given) == len(raw)
 
 
 def test_intervals_cover_each_day_once_and_agree_with_totals(small_star):
@@ -88,10 +133,12 @@ def test_current_positions_are_the_last_state(small_star):
 
 
 def test_stockout_periods_are_the_zero_runs(small_star, lines):
-    days, _ = loop(lines, restock_allocated=False)
+    days, rows = loop(lines, restock_allocated=True)
+    returned = {(r.product_key, r.location_key, r.transaction_id, r.line_number, r.quantity, r.day) for r in lines[lines.is_return].itertuples()}
     restock = defaultdict(set)
-    for r in lines[lines.is_return].itertuples():
-        restock[(r.product_key, r.location_key)].add(r.day + dt.timedelta(days=1 + r.transaction_id % 3))
+    for p, s, d, txn, line, q, _, take in rows:
+        if take and (p, s, txn, line, q, d) in returned:
+            restock[(p, s)].add(d + dt.timedelta(days=1 + txn % 3))
     want = set()
     for (p, s, d), (start, end) in days.items():
         if start > 0 and end == 0:

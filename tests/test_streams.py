@@ -40,7 +40,7 @@ def test_running_stock_equals_the_exact_replay(small_star, spark, tmp_path):
         jobs.start_stock(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == lines.count()
-    exact = ledger.replay_allocated_returns(small_star).where("attempts > 0")
+    exact = ledger.stock_walk(small_star).where("attempts > 0")
     per_day = got.groupBy("product_key", "location_key", "day").agg(F.sum("allocated").alias("a"), F.min("stock_after").alias("end"))
     both = exact.join(per_day, ["product_key", "location_key", "day"], "full")
     assert both.where("not (stock_start - stock_end <=> a) or not (stock_end <=> end)").count() == 0
