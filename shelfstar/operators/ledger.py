@@ -138,15 +138,19 @@ def daily_ledger(star: Star, probes: DataFrame | None = None) -> DataFrame:
     lo, hi = star.config.return_delay_days
     zero = F.lit(0).cast("long")
     wanted = None if probes is None else probes.select(*POSITION, "day").distinct()
-    days = star.cut("sale_days", lambda: sale_days(star)) if wanted is None else (
-        sale_days(star, wanted.select(*POSITION).distinct()))
+    if wanted is None:
+        days = star.cut("sale_days", lambda: sale_days(star))
+        returns = star.cut("folded_returns", lambda: folded_returns(star, days))
+    else:
+        days = sale_days(star, wanted.select(*POSITION).distinct())
+        returns = folded_returns(star, days)
     request = F.struct("day", zero.alias("restock"), "request", "attempts")
     backs = F.array(*[F.struct(F.date_add("day", k).alias("day"), F.col("back")[k - lo].alias("restock"), zero.alias("request"),
                                zero.alias("attempts")) for k in range(lo, hi + 1)])
     full = F.filter(backs, lambda x: ~F.col("is_open") & (x["restock"] > 0))
     ledger = days.select(*POSITION, F.inline(F.concat(F.array(request), full)))
     none = [zero.alias("request"), zero.alias("attempts")]
-    ledger = ledger.unionByName(folded_returns(star, days).select(*POSITION, "day", "restock", *none))
+    ledger = ledger.unionByName(returns.select(*POSITION, "day", "restock", *none))
     if wanted is not None:
         ledger = ledger.unionByName(wanted.select(*POSITION, "day", zero.alias("restock"), *none))
     return ledger.groupBy(*POSITION, "day").agg(
