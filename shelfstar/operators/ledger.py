@@ -20,6 +20,7 @@ a day that holds a third of all lines is dealt over parts first.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,9 +74,11 @@ def units_ahead(lines: DataFrame, order: list, quantity: str, limit: Column) ->
     return near.withColumn("ahead", F.when(F.col("ahead") < limit, F.col("ahead"))).unionByName(far).drop("part")
 
 
-def sale_days(star: Star, keys: DataFrame | None = None) -> DataFrame:
+def sale_days(star: Star, *keys: DataFrame) -> DataFrame:
     """Requests per position and day, returned units by delay, and where the returns depend on the walk.
 
+    ``keys`` are tables of product or location keys; only positions found in all of them are computed.
+
     ``is_short``: the day has returns and requests so far exceed the opening stock. ``is_open``: the position has such a day.
     """
     lo, hi = star.config.return_delay_days
@@ -83,7 +86,9 @@ def sale_days(star: Star, keys: DataFrame | None = None) -> DataFrame:
     back = [F.sum(F.when(F.col("is_return") & (delay == k), F.col("quantity")).otherwise(0)) for k in range(lo, hi + 1)]
     p = Window.partitionBy(*POSITION)
     run = p.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = star.lines() if keys is None else star.lines().join(keys, POSITION, "left_semi")
+    lines = star.lines()
+    for k in keys:
+        lines = lines.join(k, k.columns, "left_semi")
     days = lines.groupBy(*POSITION, "day").agg(F.sum("quantity").alias("request"), F.count("*").alias("attempts"),
                                                F.array(*back).alias("back"))
     short = (F.sum("request").over(run) > F.expr(OPENING)) & (F.array_max("back") > 0)
@@ -129,20 +134,20 @@ def folded_returns(star: Star, days: DataFrame) -> DataFrame:
     return histories.select(*POSITION, F.inline(F.aggregate("days", begin, one_day, lambda state: state["all"])))
 
 
-def daily_ledger(star: Star, probes: DataFrame | None = None) -> DataFrame:
+def daily_ledger(star: Star, probes: DataFrame | None = None, keys: Sequence[DataFrame] = ()) -> DataFrame:
     """Restocked and requested units per position and day; a return puts back the units allocated to it.
 
     ``probes`` are extra (product, location, day) points at which the stock is wanted; they
-    join the ledger as days without change, and only their positions are computed.
+    join the ledger as days without change, and only their positions are computed. ``keys`` as in ``sale_days``.
     """
     lo, hi = star.config.return_delay_days
     zero = F.lit(0).cast("long")
     wanted = None if probes is None else probes.select(*POSITION, "day").distinct()
-    if wanted is None:
+    if wanted is None and not keys:
         days = star.cut("sale_days", lambda: sale_days(star))
         returns = star.cut("folded_returns", lambda: folded_returns(star, days))
     else:
-        days = sale_days(star, wanted.select(*POSITION).distinct())
+        days = sale_days(star, *keys, *([] if wanted is None else [wanted.select(*POSITION).distinct()]))
         returns = folded_returns(star, days)
     request = F.struct("day", zero.alias("restock"), "request", "attempts")
     backs = F.array(*[F.struct(F.date_add("day", k).alias("day"), F.col("back")[k - lo].alias("restock"), zero.alias("request"),
@@ -167,13 +172,14 @@ def reflected_walk(ledger: DataFrame) -> DataFrame:
          .withColumn("stock_prev", F.coalesce(F.lag("stock_end").over(p.orderBy("day")), F.col("opening")))
          .withColumn("stock_start", F.col("stock_prev") + F.col("restock"))
          .withColumn("next_day", F.lead("day").over(p.orderBy("day")))
+         .withColumn("attempts_total", F.sum("attempts").over(p))
          .withColumn("units_total", F.sum("request").over(p))
          .withColumn("selling_days", F.count(F.when(F.col("request") > 0, 1)).over(p)))
     return w.drop("level")
 
 
-def stock_walk(star: Star, probes: DataFrame | None = None) -> DataFrame:
-    return reflected_walk(daily_ledger(star, probes))
+def stock_walk(star: Star, probes: DataFrame | None = None, keys: Sequence[DataFrame] = ()) -> DataFrame:
+    return reflected_walk(daily_ledger(star, probes, keys))
 
 
 def stock_as_of(star: Star, probes: DataFrame) -> DataFrame:
@@ -208,12 +214,12 @@ def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_p
             .withColumn("is_constrained", F.col("allocated") < F.col("requested")).drop("ahead"))
 
 
-def positions(star: Star) -> DataFrame:
-    """One row per position at ``as_of``: stock, supply, reorder fields, replenishment dates."""
+def positions(star: Star, *keys: DataFrame) -> DataFrame:
+    """One row per position at ``as_of``: stock, supply, reorder fields, replenishment dates (L07, L11); ``keys`` as in ``sale_days``."""
     d = F.lit(star.as_of)
     seen, stock0 = F.col("day") <= d, F.col("stock_end")
     fell = seen & (F.col("stock_start") > 0) & (stock0 == 0) & (F.col("request") > 0)
-    flat = stock_walk(star).groupBy(*POSITION).agg(
+    flat = stock_walk(star, keys=keys).groupBy(*POSITION).agg(
         F.max_by("stock_end", F.when(seen, F.col("day"))).alias("stock"),
         F.coalesce(F.sum(F.when(~seen, F.col("restock"))), F.lit(0)).alias("in_transit"),
         F.max(F.when(fell, F.col("day"))).alias("since"),
@@ -302,7 +308,7 @@ def stockout_periods(star: Star) -> DataFrame:
     next_restock = F.min(F.when(F.col("restock") > 0, F.col("day"))).over(after)
     return (stock_walk(star).withColumn("end_day", next_restock)
             .where((F.col("stock_start") > 0) & (F.col("stock_end") == 0) & (F.col("request") > 0))
-            .select(*POSITION, F.col("day").alias("start_day"), "end_day", "units_total", "selling_days"))
+            .select(*POSITION, F.col("day").alias("start_day"), "end_day", "attempts_total", "units_total", "selling_days"))
 
 
 def zero_days_until(star: Star, probes: DataFrame) -> DataFrame:
@@ -346,10 +352,9 @@ def touches_months(start: Column, end: Column, months: tuple[int, ...]) -> Colum
 def stockout_events(star: Star) -> DataFrame:
     """Closed periods with the sales they lost; half as much again in peak months."""
     from shelfstar.config import PEAK_STOCKOUT_MONTHS
-    closed = stockout_periods(star).drop("units_total", "selling_days").where(F.col("end_day") <= F.lit(star.as_of))
+    closed = stockout_periods(star).where(F.col("end_day") <= F.lit(star.as_of))
     days = F.datediff("end_day", "start_day") + 1
-    e = (closed.join(average_daily_sales(star), POSITION)
-         .join(star.product().select("product_key", "price_cents"), "product_key", "left")
+    e = (closed.join(star.product().select("product_key", "price_cents"), "product_key", "left")
          .withColumn("days", days)
          .withColumn("peak", touches_months(F.col("start_day"), F.col("end_day"), PEAK_STOCKOUT_MONTHS))
          .withColumn("a", F.expr("attempts_total * days div selling_days"))
@@ -365,8 +370,12 @@ def stockout_events(star: Star) -> DataFrame:
                     boosted("a").alias("lost_attempts"), boosted("u").alias("lost_units"), boosted("c").alias("lost_cents"))
 
 
-def movements(star: Star) -> DataFrame:
-    """Typed stock movements: sales, returns, the transfers that restock them, counts, receipts."""
+def movements(star: Star, since: dt.date | None = None) -> DataFrame:
+    """Typed stock movements: sales, returns, the transfers that restock them, counts, receipts.
+
+    With ``since`` the scan is bounded by that day less the longest delay of a return. Receipts are all of the first
+    day, so they are left out where ``since`` lies behind it.
+    """
     unit = F.expr("cost_cents div quantity")
     loc, none, txn = F.col("location_key"), F.lit(None).cast("long"), F.col("transaction_id")
     due = F.date_add("day", return_delay(txn, star.config.return_delay_days))
@@ -380,13 +389,22 @@ def movements(star: Star) -> DataFrame:
         F.when(F.col("is_return"), step("return", none, loc, F.col("day"), F.col("quantity"))),
         F.when(F.col("is_return"), step("transfer", 10 + F.col("product_key") % 2, loc, due, F.col("quantity"))),
         F.when(txn % 50 == 0, step("adjustment", loc, loc, F.col("day"), F.lit(1))))
-    moved = star.lines().select("product_key", unit.alias("unit_cents"), "transaction_id",
-                                F.inline(F.filter(steps, lambda s: s.isNotNull())))
+    lines = star.lines(None if since is None else since - dt.timedelta(days=star.config.return_delay_days[1]))
+    moved = lines.select("product_key", unit.alias("unit_cents"), "transaction_id", F.inline(F.filter(steps, lambda s: s.isNotNull())))
+    if since is not None:
+        moved = moved.where(F.col("day") >= F.lit(since))
+        if since > star.first_day:
+            return _described(moved)
     first = star.lines().groupBy(*POSITION).agg(F.min(unit).alias("unit_cents"), F.min(txn).alias("transaction_id"))
     receipts = first.select("product_key", "unit_cents", "transaction_id", F.lit("receipt").alias("movement_type"),
                             none.alias("from_location_key"), loc.alias("to_location_key"),
                             F.lit(star.first_day).alias("day"), F.expr(OPENING).alias("quantity"))
-    return (moved.unionByName(receipts).withColumn("total_cents", F.col("unit_cents") * F.col("quantity"))
+    return _described(moved.unionByName(receipts))
+
+
+def _described(moved: DataFrame) -> DataFrame:
+    txn = F.col("transaction_id")
+    return (moved.withColumn("total_cents", F.col("unit_cents") * F.col("quantity"))
             .withColumn("movement_reason", F.concat("movement_type", F.lit("_reason_"), (txn % 5 + 1).cast("string")))
             .withColumn("reference_type", F.when(F.col("movement_type") == "sale", "order")
                         .when(F.col("movement_type") == "transfer", "transfer").otherwise("adjustment")))

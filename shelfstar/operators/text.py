@@ -69,7 +69,7 @@ def reviews(star: Star) -> DataFrame:
     base = F.when(rating.isin(1, 5), k % 51).otherwise(k % 21)
     r = topic_tags(d).select(
         F.concat(F.lit("REV_"), k.cast("string")).alias("review_id"), k, k.alias("customer_key"),
-        F.when(k % 5 != 0, k * 7 % 200).alias("product_key"), F.date_sub(F.lit(star.as_of), (k % 365).cast("int")).alias("review_date"),
+        F.when(k % 5 != 0, k * 7 % max(1, star.product_count)).alias("product_key"), F.date_sub(F.lit(star.as_of), (k % 365).cast("int")).alias("review_date"),
         rating.alias("rating"), kind.alias("review_type"), "text", (k % 10 != 0).alias("verified_purchase"),
         (base + length_bonus(F.length("text"))).cast("long").alias("helpful_votes"), F.col("source").alias("source_channel"), "lang",
         *TOPICS, "word_count", sentiment(rating).alias("sentiment_score"))

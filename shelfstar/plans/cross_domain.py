@@ -45,7 +45,7 @@ def trending_fulfilment(star: Star) -> DataFrame:
     hot = (week.withColumn("growth", growth).where("growth > 0.5")
            .join(facts.affinity(star).select("product_key").distinct(), "product_key", "left_semi"))
     at = star.location().select("location_key", "location_channel")
-    stock = ledger.positions(star).join(hot, "product_key").join(at, "location_key").groupBy("product_key", "growth", "cur").agg(
+    stock = ledger.positions(star, hot.select("product_key")).join(hot, "product_key").join(at, "location_key").groupBy("product_key", "growth", "cur").agg(
         F.sum(F.when(F.col("location_channel") == "physical", F.col("quantity_available")).otherwise(F.lit(0))).alias("store_inventory"),
         F.sum(F.when(F.col("location_channel") == "digital", F.col("quantity_available")).otherwise(F.lit(0))).alias("warehouse_inventory"),
         F.avg("days_of_supply").alias("avg_days_supply"))
@@ -230,7 +230,7 @@ def omnichannel_fulfilment(star: Star) -> DataFrame:
 def recommendations_for(star: Star, customer_key: int = 1, min_score: float = 0.04, k: int = 10) -> DataFrame:
     """What to offer one customer from current stock; the customer's rows are cut out at the scans."""
     mine = facts.affinity(star, customer_key).where(F.col("score_pct") > int(min_score * 100))
-    stock = ledger.positions(star).where("quantity_available > 0").select(*POS, "quantity_available")
+    stock = ledger.positions(star, mine.select("product_key")).where("quantity_available > 0").select(*POS, "quantity_available")
     return (mine.join(star.product(), "product_key").join(stock, "product_key")
             .orderBy(F.desc("score_pct"), "product_key", "location_key").limit(k).selectExpr(
                 "customer_key", "product_name", "category_level_2", "price_cents / 1e2 as base_price", "score_pct / 1e2 as affinity_score",

@@ -126,7 +126,7 @@ def movement_flow(star: Star) -> DataFrame:
     def side(prefix: str) -> DataFrame:
         return loc.select(*[F.col(c).alias(f"{prefix}_{c}") for c in loc.columns])
 
-    per = (ledger.movements(star).where(F.col("day") >= F.lit(star.days_back(90)))
+    per = (ledger.movements(star, star.days_back(90))
            .join(part, "product_key").join(side("from"), "from_location_key", "left").join(side("to"), "to_location_key", "left")
            .groupBy("movement_type", "movement_reason", F.month("day").alias("m"), "from_location_type", "from_region", "to_location_type",
                     "to_region", "category_level_1", "category_level_2", "price_tier")
@@ -174,7 +174,7 @@ def supply_chain_efficiency(star: Star) -> DataFrame:
     def units(k: str):
         return F.sum(F.when(kind == k, F.abs(q)))
 
-    m = (ledger.movements(star).where(F.col("day") >= F.lit(star.days_back(90))).join(part, "product_key").join(to, "to_location_key", "left")
+    m = (ledger.movements(star, star.days_back(90)).join(part, "product_key").join(to, "to_location_key", "left")
          .groupBy("category_level_1", "category_level_2", "brand", "location_type", "region").agg(
              count("receipt").alias("receipts_count"), units("receipt").alias("total_received_units"),
              count("transfer").alias("transfers_count"), units("transfer").alias("total_transferred_units"),
@@ -222,7 +222,7 @@ def location_performance(star: Star) -> DataFrame:
         F.countDistinct("transaction_id").alias("txns"), F.sum("net_cents").alias("rev"), F.sum("quantity").alias("sold"),
         F.countDistinct("customer_key").alias("people"))
     to, src, q = F.col("to_location_key"), F.col("from_location_key"), F.col("quantity")
-    m = (ledger.movements(star).where(F.col("day") >= F.lit(star.days_back(30)))
+    m = (ledger.movements(star, star.days_back(30))
          .groupBy(F.coalesce(to, src).alias("location_key")).agg(
              (F.count(to) + F.count(src)).alias("moves"),
              F.sum(F.when(to.isNotNull(), q).otherwise(F.lit(0)) + F.when(src.isNotNull(), q).otherwise(F.lit(0))).alias("moved")))
@@ -492,15 +492,20 @@ report("I12_out_longer_than_7_days", Report("inv product location", {**NAMES, "s
        "is_stockout and stockout_days > 7"))
 
 
-def one_position(product_name: str = "small ring", location_name: str = "Supplier#000000007") -> Report:
-    """Position of a product at a location, by name."""
-    quoted = [x.replace("'", "''") for x in (product_name, location_name)]
-    return Report("inv product location", {**NAMES, **cols("quantity_on_hand", "quantity_available", "quantity_reserved",
-                  "quantity_in_transit", "quantity_damaged", "is_stockout")}, {},
-                  f"product_name = '{quoted[0]}' and location_name = '{quoted[1]}'")
+_ONE_POSITION = [*NAMES, "quantity_on_hand", "quantity_available", "quantity_reserved", "quantity_in_transit", "quantity_damaged", "is_stockout"]
+
+
+@query("I13_position_of_one_product", f"""
+    select {', '.join(_ONE_POSITION)} from inv join product_d using (product_key) join location_d using (location_key)
+    where product_name = 'small ring' and location_name = 'Supplier#000000007'""")
+def one_position(star: Star, product_name: str = "small ring", location_name: str = "Supplier#000000007") -> DataFrame:
+    """Position of a product at a location, by name; only its lines are replayed."""
+    p = star.product().where(F.col("product_name") == F.lit(product_name)).select("product_key", "product_name")
+    at = star.location().where(F.col("location_name") == F.lit(location_name)).select("location_key", "location_name")
+    found = ledger.positions(star, p.select("product_key"), at.select("location_key"))
+    return found.join(p, "product_key").join(at, "location_key").select(*_ONE_POSITION)
 
 
-report("I13_position_of_one_product", one_position())
 VALUES = {"total_inventory_value_cost": money(COST), "total_inventory_value_retail": money(RETAIL)}
 report("I14_levels_by_category", Report("inv product", cols("category_level_1"), {
     "product_count": "count(distinct product_key)", "total_quantity_on_hand": sum_long("quantity_on_hand"),
@@ -518,6 +523,11 @@ def best_sellers(star: Star, k: int = 20) -> DataFrame:
     return F.broadcast(sold.orderBy(F.desc("total_sold"), "product_key").limit(k))
 
 
+def best_positions(star: Star) -> DataFrame:
+    best = best_sellers(star)
+    return ledger.positions(star, best.select("product_key")).join(best, "product_key")
+
+
 _BEST = for_check("""(select product_key, cast(sum(quantity) as bigint) as total_sold from lines where not is_return and day >= {asof} - 90
     group by 1 order by 2 desc, 1 limit 20)""")
 
@@ -527,7 +537,7 @@ _BEST = for_check("""(select product_key, cast(sum(quantity) as bigint) as total
       case when days_of_supply <= 3 then 'High Risk' when days_of_supply <= 7 then 'Medium Risk' else 'Low Risk' end as risk_level
     from inv join {_BEST} b using (product_key) join product_d using (product_key) join location_d using (location_key)""")
 def best_seller_risk(star: Star) -> DataFrame:
-    return relation(star, "inv").join(best_sellers(star), "product_key").join(star.product(), "product_key").join(star.location(), "location_key").selectExpr(
+    return best_positions(star).join(star.product(), "product_key").join(star.location(), "location_key").selectExpr(
         "product_name", "location_name", "quantity_available", "days_of_supply", "reorder_point", "total_sold",
         "case when days_of_supply <= 3 then 'High Risk' when days_of_supply <= 7 then 'Medium Risk' else 'Low Risk' end as risk_level")
 
@@ -537,7 +547,7 @@ def best_seller_risk(star: Star) -> DataFrame:
       case when days_of_supply <= 3 then 'Critical' when days_of_supply <= 7 then 'Low' when days_of_supply <= 14 then 'Adequate' else 'High' end as supply_status
     from inv join {_BEST} b using (product_key) join product_d using (product_key) join location_d using (location_key)""")
 def best_seller_supply(star: Star) -> DataFrame:
-    return relation(star, "inv").join(best_sellers(star), "product_key").join(star.product(), "product_key").join(star.location(), "location_key").selectExpr(
+    return best_positions(star).join(star.product(), "product_key").join(star.location(), "location_key").selectExpr(
         "product_name", "location_name", "quantity_available", "days_of_supply", "stock_cover_days", "reorder_point", "reorder_quantity",
         "case when days_of_supply <= 3 then 'Critical' when days_of_supply <= 7 then 'Low' when days_of_supply <= 14 then 'Adequate' "
         "else 'High' end as supply_status")
@@ -571,8 +581,7 @@ report("I21_movements_last_month", Report("moves", cols("movement_type"), {
     where movement_type in ('receipt', 'transfer') and day >= {asof} - 30 and day < {asof}"""))
 def receipts_last_month(star: Star) -> DataFrame:
     """Incoming stock: first receipts and restocks."""
-    m = ledger.movements(star).where((F.col("day") >= F.lit(star.days_back(30))) & (F.col("day") < F.lit(star.as_of))
-                                     & F.col("movement_type").isin("receipt", "transfer"))
+    m = ledger.movements(star, star.days_back(30)).where((F.col("day") < F.lit(star.as_of)) & F.col("movement_type").isin("receipt", "transfer"))
     to = star.location().select(F.col("location_key").alias("to_location_key"), "location_name")
     return m.join(star.product().select("product_key", "product_name"), "product_key").join(to, "to_location_key").select(
         "product_name", "location_name", F.col("day").alias("calendar_date"), F.col("quantity").alias("replenishment_quantity"), "movement_type")

@@ -45,9 +45,7 @@ def _rfm(star: Star, since) -> DataFrame:
 
 def _moves_to(star: Star, since) -> DataFrame:
     to = star.location().select(F.col("location_key").alias("to_location_key"), "location_name", "region")
-    m = ledger.movements(star)
-    m = m if since is None else m.where(F.col("day") >= F.lit(since))
-    return m.join(to, "to_location_key", "left")
+    return ledger.movements(star, since).join(to, "to_location_key", "left")
 
 
 BASE: dict[str, Callable[[Star, object], DataFrame]] = {
@@ -60,7 +58,7 @@ BASE: dict[str, Callable[[Star, object], DataFrame]] = {
     "walk": _dated(ledger.stock_walk),
     "inv_daily": _dated(ledger.daily_totals),
     "stockouts": _dated(ledger.stockout_events),
-    "moves": _dated(ledger.movements),
+    "moves": ledger.movements,
     "moves_to": _moves_to,
     "carts": _dated(facts.carts),
     "forecast": _dated(facts.forecast),

@@ -13,16 +13,17 @@ from shelfstar.streaming import jobs
 
 @query("Z01_hourly_events", """
     select cast(date_trunc('hour', ts) as timestamp) as hour, event_type, count(*) as events, cast(sum(cast(floor(value * 100) as bigint)) as bigint) as event_cents
-    from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minute from events) group by 1, 2""")
+    from events where event_id is not null and ts is not null group by 1, 2""")
 def hourly_events(star: Star) -> DataFrame:
-    """Hours that the watermark has closed."""
+    """Every hour of the backlog, the open ones included."""
     out = scratch(star.spark, "events")
-    q = jobs.start_events(jobs.read_events(star.spark, f"{star.dir}/events.parquet"), f"{out}/gold", f"{out}/state")
-    q.awaitTermination()
-    return star.spark.read.parquet(f"{out}/gold")
+    layers = jobs.EventLayers(star.spark, out)
+    jobs.start_events(jobs.read_events(star.spark, f"{star.dir}/events.parquet"), layers, f"{out}/state").awaitTermination()
+    return layers.hours()
 
 
-@query("Z02_running_stock")
+@query("Z02_running_stock", """select product_key, location_key, day, transaction_id, line_number, quantity as requested, allocated, stock_before,
+    stock_before - allocated as stock_after from alloc""")
 def running_stock(star: Star) -> DataFrame:
     """Allocations of all sale lines as a stream of requests."""
     out = scratch(star.spark, "stock")

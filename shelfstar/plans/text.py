@@ -24,7 +24,7 @@ TABLES["reviews"] = f"""
     select 'REV_' || doc_id as review_id, doc_id, doc_id as customer_key, r.product_key, cast((select d from horizon) - cast(doc_id % 365 as int) as date) as review_date, rating,
       review_type, text, verified_purchase, helpful_votes, source as source_channel, lang, {', '.join(ops.TOPICS)}, word_count, (rating - 3) / 2e0 as sentiment_score,
       category_level_1 as product_category, brand as product_brand, segment as customer_segment
-    from (select *, case when doc_id % 5 <> 0 then doc_id * 7 % 200 end as product_key,
+    from (select *, case when doc_id % 5 <> 0 then doc_id * 7 % (select greatest(1, count(*)) from part) end as product_key,
             case doc_id % 5 when 0 then 'purchase_experience' when 1 then 'return_feedback' else 'product_review' end as review_type, doc_id % 10 <> 0 as verified_purchase,
             case when rating in (1, 5) then doc_id % 51 else doc_id % 21 end + least(10, length(text) // 100) as helpful_votes from review_0) r
     left join product_d p on p.product_key = r.product_key left join customer_d c on c.customer_key = doc_id"""

@@ -106,6 +106,10 @@ class Star:
     def as_of(self) -> dt.date:
         return self._span[1]
 
+    @cached_property
+    def product_count(self) -> int:
+        return self.raw("part").count()
+
     def days_back(self, n: int) -> dt.date:
         return self.as_of - dt.timedelta(days=n)
 

@@ -11,50 +11,82 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfstar.star import OPENING
 
 ONCE = {"availableNow": True}
-WATERMARK = "10 minutes"
 
 
 # -- Z01: bronze -> silver -> gold ------------------------------------------------------------
 
 def read_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Raw event files as a stream; the schema is that of the files, read once."""
-    schema = spark.read.parquet(path).schema
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+    files = spark.read.parquet(path)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", max_files)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    if not all(f.rstrip("/").endswith("/" + name) for f in files.inputFiles()):
         return stream.parquet(path)
-    folder, name = path.rsplit("/", 1)  # a file source watches a folder
-    return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.option("pathGlobFilter", name).parquet(folder)  # a single file: the source watches its folder
 
 
-def silver(bronze: DataFrame) -> DataFrame:
-    """Typed events without duplicates; an id may repeat only within the watermark."""
-    typed = bronze.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("customer_key"), "event_type",
-                          F.floor(F.col("value") * 100).alias("event_cents"),
-                          F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("product_key"))
-    ok = typed.where(F.col("event_id").isNotNull() & F.col("ts").isNotNull())
-    return ok.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
+def typed(bronze: DataFrame) -> DataFrame:
+    """Raw events with their types, and the day they belong to."""
+    return bronze.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("customer_key"), "event_type",
+                         F.floor(F.col("value") * 100).alias("event_cents"),
+                         F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("product_key"),
+                         F.to_date("ts").alias("day"))
 
 
-def gold(clean: DataFrame) -> DataFrame:
-    """Hourly counts and value by type."""
-    return (clean.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-            .agg(F.count("*").alias("events"), F.sum("event_cents").alias("event_cents"))
-            .select(F.col("w.start").alias("hour"), "event_type", "events", "event_cents"))
+class EventLayers:
+    """Silver (events without duplicates) and gold (hourly counts and value by type), kept by batches.
 
+    A row may come however late: a batch adds to the silver days it touches and computes the gold of these days
+    again, so no row is dropped and open hours show what has come so far. A batch writes its rows into a folder of
+    its own and reads only folders of earlier batches beside it, so a repeated batch overwrites itself. An event that
+    is sent again keeps its time, hence an id counts once a day. Rows without id or time go to ``rejected``.
+    """
 
-def start_events(events: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Append closed hours to a parquet table."""
-    return (gold(silver(events)).writeStream.format("parquet").outputMode("append").option("path", sink)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.silver, self.gold, self.rejected = spark, f"{path}/silver", f"{path}/gold", f"{path}/rejected"
+
+    def _read(self, path: str, schema) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def apply(self, bronze: DataFrame, batch: int) -> None:
+        rows = typed(bronze)
+        ok = F.col("event_id").isNotNull() & F.col("ts").isNotNull()
+        rows.where(~ok).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch}")
+        rest = [c for c in rows.columns if c not in ("event_id", "day")]
+        new = (rows.where(ok).groupBy("event_id", "day").agg(F.min(F.struct(*rest)).alias("r"))
+               .select("event_id", "r.*", "day"))
+        days = [r[0] for r in rows.where(ok).select("day").distinct().collect()]  # at most one per calendar day
+        schema = T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])
+        old = self._read(self.silver, schema).where((F.col("batch") < batch) & F.col("day").isin(days))
+        (new.join(old.select("event_id", "day"), ["event_id", "day"], "left_anti").write.mode("overwrite").partitionBy("day")
+         .parquet(f"{self.silver}/batch={batch}"))
+        clean = self._read(self.silver, schema).where((F.col("batch") <= batch) & F.col("day").isin(days))
+        hours = clean.groupBy("day", F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(
+            F.count("*").alias("events"), F.sum("event_cents").alias("event_cents"))
+        hours.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.gold)
+
+    def hours(self) -> DataFrame:
+        return self.spark.read.parquet(self.gold).select("hour", "event_type", "events", "event_cents")
+
+
+def start_events(events: DataFrame, layers: EventLayers, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Keep both layers up to date from raw events."""
+    return (events.writeStream.foreachBatch(layers.apply).option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 # -- Z02: running stock position ----------------------------------------------------------------

@@ -15,19 +15,22 @@ def write_events(spark, folder, rows, name):
     df.to_parquet(folder / f"{name}.parquet", index=False)
 
 
-def test_events_drop_duplicates_and_late_rows(spark, tmp_path):
+def test_events_count_late_rows_open_hours_and_repeats_once(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 10, 0)
     e = lambda i, m, kind="view": (i, t + dt.timedelta(minutes=m), 1, kind, 2.5, '{"k": 4}')
-    src = tmp_path / "in"
-    run = lambda: jobs.start_events(jobs.read_events(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    src, layers = tmp_path / "in", jobs.EventLayers(spark, str(tmp_path / "out"))
+    run = lambda: jobs.start_events(jobs.read_events(spark, str(src)), layers, str(tmp_path / "ck")).awaitTermination()
     write_events(spark, src, [e(1, 1), e(1, 1), e(2, 5), e(3, 50, "click")], "a")
     run()
-    write_events(spark, src, [e(4, 200), e(5, 201)], "b")  # moves the watermark far ahead
+    write_events(spark, src, [e(4, 200), e(5, 201), e(8, 3000)], "b")  # two days on
     run()
-    write_events(spark, src, [e(6, 2), e(7, 400)], "c")  # event 6 is later than the watermark
+    write_events(spark, src, [e(6, 2), e(1, 1), (7, None, 1, "view", 2.5, "")], "c")  # long after its hour, a repeat, no time
     run()
-    got = {(r.hour.hour, r.event_type): (r.events, r.event_cents) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(10, "view"): (2, 500), (10, "click"): (1, 250), (13, "view"): (2, 500)}
+    got = {(r.hour.day, r.hour.hour, r.event_type): (r.events, r.event_cents) for r in layers.hours().collect()}
+    assert got == {(1, 10, "view"): (3, 750), (1, 10, "click"): (1, 250), (1, 13, "view"): (2, 500), (3, 12, "view"): (1, 250)}
+    assert [r.event_id for r in spark.read.parquet(layers.rejected).collect()] == [7]
+    layers.apply(spark.read.parquet(str(src / "c.parquet")), 2)  # a batch delivered twice
+    assert {(r.hour.day, r.hour.hour, r.event_type): (r.events, r.event_cents) for r in layers.hours().collect()} == got
 
 
 def test_running_stock_equals_the_exact_replay(small_star, spark, tmp_path):
