@@ -39,14 +39,10 @@ class Config:
     historical_days: int = 90
     low_stock_threshold: int = 5
     overstock_days: int = 60
-    target_low_share: int = 10
     return_delay_days: tuple[int, int] = (1, 3)
-    default_daily_attempts: float = 2.0
-    default_daily_units: float = 2.5
     default_price: float = 50.0
     default_forecast_units: int = 25
     price_cuts: tuple[float, float, float] = (975.0, 950.0, 925.0)
-    affinity_cut: float = 0.05
     event_shift_days: int = 8123
     write_mode: str = "overwrite"
     table_prefix: str = ""
@@ -61,11 +57,9 @@ class Config:
         need(self.historical_days >= 1, "historical_days must be at least 1")
         need(self.low_stock_threshold >= 0, "low_stock_threshold must not be negative")
         need(self.overstock_days > 0, "overstock_days must be positive")
-        need(0 <= self.target_low_share <= 100, "target_low_share is a percentage")
         lo, hi = self.return_delay_days
         need(1 <= lo <= hi <= 30, "return_delay_days must rise within 1..30")
         need(self.price_cuts[0] > self.price_cuts[1] > self.price_cuts[2] > 0, "price_cuts must fall")
-        need(0.0 <= self.affinity_cut <= 1.0, "affinity_cut lies in 0..1")
         need(0.0 <= self.count_tolerance < 1.0, "count_tolerance lies in 0..1")
         need(self.write_mode in ("overwrite", "append", "errorifexists", "ignore"), "unknown write_mode")
         return self

@@ -19,12 +19,16 @@ ROWS_PER_BLOCK = 200_000
 MAX_BLOCKS = 2_048
 
 
-def boundaries(df: DataFrame, column: str, rows: int | None = None) -> list[float]:
-    """Approximate quantiles of a column as literal cut points (one job, <= MAX_BLOCKS values)."""
+def boundaries_of(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, list[float]]:
+    """Approximate quantiles of some columns as literal cut points (one job, <= MAX_BLOCKS values each)."""
     rows = df.count() if rows is None else rows
     blocks = max(8, min(MAX_BLOCKS, rows // ROWS_PER_BLOCK))
-    cuts = df.approxQuantile(column, [i / blocks for i in range(1, blocks)], 0.25 / blocks)
-    return sorted(set(cuts))
+    cuts = df.approxQuantile(list(columns), [i / blocks for i in range(1, blocks)], 0.25 / blocks)
+    return {c: sorted(set(found)) for c, found in zip(columns, cuts)}
+
+
+def boundaries(df: DataFrame, column: str, rows: int | None = None) -> list[float]:
+    return boundaries_of(df, [column], rows)[column]
 
 
 def block_of(value: Column, cuts: Sequence[float]) -> Column:
@@ -56,28 +60,27 @@ def row_number_in_blocks(df: DataFrame, keys: Sequence[str], blocks: Sequence[st
 
 
 def global_row_number(df: DataFrame, value: str, tie: str, out: str, base: DataFrame | None = None,
-                      rows: int | None = None) -> DataFrame:
+                      rows: int | None = None, cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """1-based position of each row when the whole table is ordered by (value, tie).
 
     ``base`` is a table with the same (value, tie) pairs that is cheap to read twice, such as
-    a checkpoint; boundaries and the row count are taken from it.
+    a checkpoint; boundaries and the row count are taken from it, unless ``cuts`` gives the boundaries.
     """
     base = df if base is None else base
-    rows = base.count() if rows is None else rows
-    cuts, ties = boundaries(base, value, rows), boundaries(base, tie, rows)
-    b = block_of(F.col(value), cuts)
+    cuts = cuts or boundaries_of(base, [value, tie], rows)
+    b = block_of(F.col(value), cuts[value])
     blocked = (df.withColumn("_b", b)
-               .withColumn("_t", F.when(F.col("_b") % 2 == 1, block_of(F.col(tie), ties)).otherwise(F.lit(0))))
+               .withColumn("_t", F.when(F.col("_b") % 2 == 1, block_of(F.col(tie), cuts[tie])).otherwise(F.lit(0))))
     ranked = row_number_in_blocks(blocked, [], ["_b", "_t"], [F.col(value), F.col(tie)], out)
     return ranked.drop("_b", "_t")
 
 
 def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, base: DataFrame | None = None,
-          rows: int | None = None) -> DataFrame:
+          rows: int | None = None, cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """ntile over the whole table; ``tie`` makes the order total."""
     rows = (df if base is None else base).count() if rows is None else rows
     q, r = divmod(rows, tiles)
-    ranked = global_row_number(df, value, tie, "_rn", base, rows)
+    ranked = global_row_number(df, value, tie, "_rn", base, rows, cuts)
     zero = F.col("_rn") - 1
     big = r * (q + 1)
     tile = F.when(zero < big, F.floor(zero / (q + 1)) + 1)
@@ -85,11 +88,11 @@ def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, base: DataF
     return ranked.withColumn(out, tile.cast("int")).drop("_rn")
 
 
-def value_counts_before(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
-    """One row per distinct value with rows (and weight) that sort strictly before it."""
+def value_counts_before(df: DataFrame, value: str, weight: str | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
+    """One row per distinct value with rows (and weight) that sort strictly before it; ``cuts`` as found by ``boundaries``."""
     sums = [F.count("*").alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     hist = df.groupBy(value).agg(*sums)
-    return _prefix(hist.withColumn("_b", block_of(F.col(value), boundaries(hist, value))), [], value,
+    return _prefix(hist.withColumn("_b", block_of(F.col(value), boundaries(hist, value) if cuts is None else cuts)), [], value,
                    ["_n"] + (["_w"] if weight else []))
 
 
@@ -107,9 +110,13 @@ def _prefix(hist: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str
     return out.drop(*[f"{c}_off" for c in cols], "_b")
 
 
-def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """(rows strictly before) / (rows - 1), ties share a rank; rows without a value stay and have none."""
-    before = value_counts_before(df.where(F.col(value).isNotNull()), value)
+def percent_rank(df: DataFrame, value: str, out: str, base: DataFrame | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
+    """(rows strictly before) / (rows - 1), ties share a rank; rows without a value stay and have none.
+
+    ``base`` as in ``global_row_number``, ``cuts`` as in ``value_counts_before``.
+    """
+    base = df if base is None else base
+    before = value_counts_before(base.where(F.col(value).isNotNull()), value, cuts=cuts)
     rank = F.when(F.col("_n_all") > 1, F.col("_n_before") / (F.col("_n_all") - 1)).otherwise(F.lit(0.0))
     return df.join(before.select(value, rank.alias(out)), value, "left")
 

@@ -9,7 +9,7 @@ from shelfstar.config import (DIGITAL_RETURN_FACTOR, MONTH_FACTOR, SEGMENT_RULES
 from shelfstar.functions.exprs import date_key
 from shelfstar.functions.ranking import block_of, boundaries, row_number_in_blocks
 from shelfstar.operators import ledger
-from shelfstar.star import CHANNELS, SEASON_OF_DAY, TOP_SIZES, Star, nth
+from shelfstar.star import CHANNELS, SEASON_OF_DAY, TOP_SIZES, Star, nth, stored
 
 REASONS = ["high_shipping", "price_concern", "comparison_shopping", "technical_issue", "payment_issue"]
 KEPT_REASONS = ["changed_mind", "found_better_price", "quality_issue"]
@@ -80,12 +80,15 @@ def preferred_channel_match(star: Star) -> DataFrame:
         F.col("m").isNull().alias("is_fallback"))
 
 
+@stored
 def affinity(star: Star, customer_key: int | None = None) -> DataFrame:
     """A01 without the rank: purchases full-outer-joined with views and cart adds on one key.
 
     With ``customer_key`` both sides are cut to that customer before the join.
     """
     mine = F.lit(True) if customer_key is None else F.col("customer_key") == customer_key
+    if star.has("affinity"):
+        return star.written("affinity").where(mine)
     bought = (star.sales().where(~F.col("is_return") & mine).groupBy("customer_key", "product_key")
               .agg(F.countDistinct("transaction_id").alias("p"), F.sum("net_cents").alias("spent"), F.max("day").alias("sd")))
     seen = (star.events().where(mine).groupBy("customer_key", "product_key")
@@ -112,7 +115,7 @@ def ranked_affinity(star: Star) -> DataFrame:
     The rank is built per (customer, score, product range), so a customer with very many
     products is ranked by many tasks.
     """
-    a = affinity(star)
+    a = star.cut("affinity", lambda: affinity(star))
     products = star.product().select("product_key")
     cut = boundaries(products, "product_key")
     blocked = a.withColumn("_s", -F.col("score_pct")).withColumn("_t", block_of(F.col("product_key"), cut))
@@ -150,6 +153,7 @@ def cart_item_stock(star: Star) -> DataFrame:
     return ledger.stock_as_of(star, items)
 
 
+@stored
 def carts(star: Star) -> DataFrame:
     """Sessions with a cart and no purchase, the low-stock trigger and the recovery funnel."""
     add, u = F.col("event_type") == "add_to_cart", F.col("customer_key")
@@ -183,6 +187,7 @@ def carts(star: Star) -> DataFrame:
         .otherwise(nth(REASONS, (u + n) % 5)).alias("suspected_reason"))
 
 
+@stored
 def forecast(star: Star) -> DataFrame:
     """Trailing mean of the position as forecast, with accuracy once the day has been sold.
 
@@ -216,6 +221,7 @@ def accuracy_columns(df: DataFrame) -> DataFrame:
             .withColumn("bias", F.when(known, F.when(a == 0, F.lit(0.0)).otherwise((f - a) / safe * 100.0))))
 
 
+@stored
 def size_fit(star: Star) -> DataFrame:
     """Ordered, kept and recommended size; one size up or down, clamped to the range."""
     part = star.raw("part").select(F.col("p_partkey").alias("product_key"), (F.col("p_size") % 6).alias("ix"))

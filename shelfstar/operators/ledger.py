@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfstar.functions.exprs import date_key, half_up
-from shelfstar.star import OPENING, Star
+from shelfstar.star import OPENING, Star, stored
 
 POSITION = ["product_key", "location_key"]
 #: The order of lines within a day, and the parts over which the lines of a day are dealt.
@@ -178,6 +178,7 @@ def reflected_walk(ledger: DataFrame) -> DataFrame:
     return w.drop("level")
 
 
+@stored
 def stock_walk(star: Star, probes: DataFrame | None = None, keys: Sequence[DataFrame] = ()) -> DataFrame:
     return reflected_walk(daily_ledger(star, probes, keys))
 
@@ -188,6 +189,7 @@ def stock_as_of(star: Star, probes: DataFrame) -> DataFrame:
     return probes.join(walk, [*POSITION, "day"])
 
 
+@stored
 def allocations(star: Star) -> DataFrame:
     """Units given to each line, in order of (transaction, line) within its day."""
     days = stock_walk(star).where(F.col("attempts") > 0).select(*POSITION, "day", "stock_start")
@@ -214,8 +216,14 @@ def batch_allocation(requests: DataFrame, stock: DataFrame, seed: int = 42, by_p
             .withColumn("is_constrained", F.col("allocated") < F.col("requested")).drop("ahead"))
 
 
+@stored
 def positions(star: Star, *keys: DataFrame) -> DataFrame:
     """One row per position at ``as_of``: stock, supply, reorder fields, replenishment dates (L07, L11); ``keys`` as in ``sale_days``."""
+    if star.has("positions"):
+        found = star.written("positions")
+        for k in keys:
+            found = found.join(k, k.columns, "left_semi")
+        return found
     d = F.lit(star.as_of)
     seen, stock0 = F.col("day") <= d, F.col("stock_end")
     fell = seen & (F.col("stock_start") > 0) & (stock0 == 0) & (F.col("request") > 0)
@@ -245,26 +253,66 @@ def positions(star: Star, *keys: DataFrame) -> DataFrame:
         "units_total", "selling_days")
 
 
+@stored
 def intervals(star: Star) -> DataFrame:
-    """L07 in run-length form: each state of a position with its first and last day, whole history."""
-    walk = stock_walk(star).where(F.col("day") <= F.lit(star.as_of))
+    """L07 in run-length form: each state of a position with its first and last day, whole history.
+
+    ``since`` is the day on which a sale emptied a position that still has no stock.
+    """
+    run = Window.partitionBy(*POSITION).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fell = (F.col("stock_start") > 0) & (F.col("stock_end") == 0) & (F.col("request") > 0)
+    since = F.when(F.col("stock_end") == 0, F.max(F.when(fell, F.col("day"))).over(run))
+    walk = stock_walk(star).withColumn("since", since).where(F.col("day") <= F.lit(star.as_of))
     end = F.coalesce(F.date_sub("next_day", 1), F.lit(star.as_of))
     changed = walk.select(*POSITION, F.col("day").alias("first_day"),
                           F.least(end, F.lit(star.as_of)).alias("last_day"), F.col("stock_end").alias("stock"),
-                          "units_total", "selling_days")
+                          "since", "units_total", "selling_days")
     opening = walk.groupBy(*POSITION).agg(
         F.lit(star.first_day).alias("first_day"), F.date_sub(F.min("day"), 1).alias("last_day"),
-        F.max("opening").alias("stock"), F.max("units_total").alias("units_total"),
+        F.max("opening").alias("stock"), F.lit(None).cast("date").alias("since"), F.max("units_total").alias("units_total"),
         F.max("selling_days").alias("selling_days")).where(F.col("first_day") <= F.col("last_day"))
     return changed.unionByName(opening)
 
 
-def snapshot(star: Star, first: dt.date, last: dt.date) -> DataFrame:
-    """L07 in dense form: position x day for a reporting period."""
+def snapshot(star: Star, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """L07 in dense form: position x day for a reporting period, by default the whole history."""
+    first, last = first or star.first_day, last or star.as_of
     lo, hi = F.greatest("first_day", F.lit(first)), F.least("last_day", F.lit(last))
     held = intervals(star).where((F.col("first_day") <= F.lit(last)) & (F.col("last_day") >= F.lit(first)))
-    return held.select(*POSITION, F.explode(F.sequence(lo, hi)).alias("day"), F.col("stock").alias("quantity_on_hand"),
-                       (F.col("stock") == 0).alias("is_stockout"))
+    zero = F.lit(0).cast("long")
+    return (held.select(*POSITION, "stock", "since", F.explode(F.sequence(lo, hi)).alias("day"))
+            .select(*POSITION, "day", F.col("stock").alias("quantity_on_hand"), F.col("stock").alias("quantity_available"),
+                    zero.alias("quantity_reserved"), zero.alias("quantity_damaged"), (F.col("stock") == 0).alias("is_stockout"),
+                    F.coalesce(F.datediff("day", "since"), F.lit(0)).alias("stockout_days")))
+
+
+def location_days(star: Star) -> DataFrame:
+    """L07 per location and day over the whole history, from the changes of state and without position x day."""
+    def at(day: Column, sign: int) -> Column:
+        n = F.lit(sign).cast("long")
+        return F.struct(day.alias("day"), n.alias("positions"), (n * F.col("stock")).alias("quantity_on_hand"),
+                        F.when(F.col("stock") == 0, n).otherwise(0).alias("stockouts"))
+
+    steps = F.array(at(F.col("first_day"), 1), at(F.date_add("last_day", 1), -1))
+    names = ["positions", "quantity_on_hand", "stockouts"]
+    per_day = intervals(star).select("location_key", F.inline(steps)).groupBy("location_key", "day").agg(*[F.sum(c).alias(c) for c in names])
+    at_location = Window.partitionBy("location_key").orderBy("day")
+    run = at_location.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = per_day.select("location_key", "day", F.lead("day").over(at_location).alias("until"), *[F.sum(c).over(run).alias(c) for c in names])
+    return levels.where("until is not null and positions > 0").select(
+        "location_key", F.explode(F.sequence("day", F.date_sub("until", 1))).alias("day"), *names)
+
+
+def history_check(star: Star) -> DataFrame:
+    """The snapshot over the whole history as a contract: every position has each day once, and never less than no stock."""
+    at_position = Window.partitionBy(*POSITION).orderBy("first_day")
+    gap = F.datediff("first_day", F.lag("last_day").over(at_position)) - 1
+    days = F.datediff("last_day", "first_day") + 1
+    s = intervals(star).withColumns({"days": days.cast("long"), "gap": gap})
+    none = F.lit(0).cast("long")
+    return s.agg(F.coalesce(F.sum("days"), none).alias("position_days"),
+                 F.coalesce(F.sum(F.when(F.col("stock") < 0, F.col("days"))), none).alias("negative_days"),
+                 F.coalesce(F.sum(F.when(F.col("gap") != 0, F.abs("gap").cast("long"))), none).alias("missing_or_double_days"))
 
 
 def daily_totals(star: Star) -> DataFrame:
@@ -349,6 +397,7 @@ def touches_months(start: Column, end: Column, months: tuple[int, ...]) -> Colum
     return hit
 
 
+@stored
 def stockout_events(star: Star) -> DataFrame:
     """Closed periods with the sales they lost; half as much again in peak months."""
     from shelfstar.config import PEAK_STOCKOUT_MONTHS
@@ -370,6 +419,7 @@ def stockout_events(star: Star) -> DataFrame:
                     boosted("a").alias("lost_attempts"), boosted("u").alias("lost_units"), boosted("c").alias("lost_cents"))
 
 
+@stored
 def movements(star: Star, since: dt.date | None = None) -> DataFrame:
     """Typed stock movements: sales, returns, the transfers that restock them, counts, receipts.
 
@@ -389,6 +439,8 @@ def movements(star: Star, since: dt.date | None = None) -> DataFrame:
         F.when(F.col("is_return"), step("return", none, loc, F.col("day"), F.col("quantity"))),
         F.when(F.col("is_return"), step("transfer", 10 + F.col("product_key") % 2, loc, due, F.col("quantity"))),
         F.when(txn % 50 == 0, step("adjustment", loc, loc, F.col("day"), F.lit(1))))
+    if since is not None and star.has("movements"):
+        return star.written("movements").where(F.col("day") >= F.lit(since))
     lines = star.lines(None if since is None else since - dt.timedelta(days=star.config.return_delay_days[1]))
     moved = lines.select("product_key", unit.alias("unit_cents"), "transaction_id", F.inline(F.filter(steps, lambda s: s.isNotNull())))
     if since is not None:

@@ -198,13 +198,15 @@ GRADE = ("case when is_text then 'EMBEDDING' when distinct_count = total_rows th
 
 
 def cardinality(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct values of every column in one aggregation, graded as filter candidates."""
-    cols = df.columns
-    one = df.agg(F.count("*").alias("total_rows"), *[F.countDistinct(c).alias(f"_d{i}") for i, c in enumerate(cols)])
-    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").alias("distinct_count"), F.lit(c == text_col).alias("is_text"))
-                      for i, c in enumerate(cols)])
-    flat = one.select("total_rows", F.inline(items))
-    return flat.select("column_name", "distinct_count", (F.col("distinct_count") / F.nullif("total_rows", F.lit(0))).alias("cardinality_ratio"),
+    """Distinct values of every column, by 128 bits of hash, graded as filter candidates; an empty table has no columns to grade."""
+    def item(c: str) -> Column:
+        value = F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
+        return F.struct(F.lit(c).alias("column_name"), value.alias("value"))
+
+    seen = df.select(F.inline(F.array(*[item(c) for c in df.columns]))).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    flat = seen.groupBy("column_name").agg(F.count("value").alias("distinct_count"), F.sum("n").alias("total_rows"))
+    flat = flat.withColumn("is_text", F.col("column_name") == text_col)
+    return flat.select("column_name", "distinct_count", (F.col("distinct_count") / F.col("total_rows")).alias("cardinality_ratio"),
                        F.expr(GRADE).alias("recommendation"))
 
 
@@ -233,55 +235,47 @@ def source_check(df: DataFrame, key: str, text_col: str, filters: list[str]) ->
         ((F.col("row_count") > 0) & F.lit(not missing)).alias("is_ready"))
 
 
-QUERY_BATCH = 1024
+QUERY_BLOCK, VECTOR_BLOCK, STEP = 1024, 65_536, 8192
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | str | None = None, key: str = "vec_id",
            column: str = "embedding") -> DataFrame:
     """K nearest vectors by cosine for each query, exact.
 
-    ``queries`` (query_id, embedding) travel to the tasks in groups of at most QUERY_BATCH vectors,
-    whatever their number. A task scores a batch with one matrix product and keeps a running top k over
-    its whole partition, so k rows per query and partition are shuffled. Filters run before scoring.
+    Queries (query_id, embedding) and vectors are dealt over blocks by hash, of about QUERY_BLOCK and VECTOR_BLOCK
+    rows, and every pair of blocks meets in one task: matrix products over STEP vectors at a time, k rows kept per
+    query and block. Both tables are scanned once however many queries there are. Filters run before scoring.
     """
-    pool = vectors.where(where) if where is not None else vectors
-    pool = pool.select(key, column)
-    rows = queries.select("query_id", F.col(column).alias("q")).orderBy("query_id").toLocalIterator()
-    parts, group = [], []
-    for row in rows:
-        group.append(row)
-        if len(group) == QUERY_BATCH:
-            parts.append(_scan(pool, group, k, key, column))
-            group = []
-    if group:
-        parts.append(_scan(pool, group, k, key, column))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _scan(pool: DataFrame, group: list, k: int, key: str, column: str) -> DataFrame:
-    ids = np.array([g.query_id for g in group], dtype="int64")
-    q = np.array([g.q for g in group], dtype="float64")
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(ids), 0), 0.0)
-        best_k = np.zeros((len(ids), 0), dtype="int64")
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            e = np.vstack(pdf[column].to_numpy()).astype("float64")
-            e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
-            s = np.concatenate([best_s, q @ e.T], axis=1)
-            names = np.concatenate([best_k, np.broadcast_to(pdf[key].to_numpy("int64"), (len(ids), len(pdf)))], axis=1)
+    pool = (vectors.where(where) if where is not None else vectors).select(key, column)
+    asked = queries.select("query_id", F.col(column).alias("q"))
+    nq, nv = -(-max(1, asked.count()) // QUERY_BLOCK), -(-max(1, pool.count()) // VECTOR_BLOCK)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
+    right = pool.withColumn("vb", F.pmod(F.xxhash64(key), F.lit(nv)).cast("int")).withColumn("qb", every(nq))
+    schema = f"query_id long, {key} long, score double"
+
+    def nearest(ask: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(block):
+            return pd.DataFrame({"query_id": [], key: [], "score": []}).astype({"query_id": "int64", key: "int64"})
+        q, all_keys, all_vectors = _unit(ask["q"]), block[key].to_numpy("int64"), block[column].to_numpy()
+        best_s, best_k = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype="int64")
+        for i in range(0, len(all_keys), STEP):
+            names = all_keys[i:i + STEP]
+            s = np.concatenate([best_s, q @ _unit(all_vectors[i:i + STEP]).T], axis=1)
+            names = np.concatenate([best_k, np.broadcast_to(names, (len(q), len(names)))], axis=1)
             order = np.lexsort((names, -s), axis=1)[:, :k]
             best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
         n = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, n), key: best_k.ravel(), "score": best_s.ravel()})
+        return pd.DataFrame({"query_id": np.repeat(ask["query_id"].to_numpy("int64"), n), key: best_k.ravel(), "score": best_s.ravel()})
+
+    hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(nearest, schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    return pool.mapInPandas(run, f"query_id long, {key} long, score double")
+def _unit(rows) -> np.ndarray:
+    e = np.vstack(list(rows)).astype("float64")
+    return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)

@@ -90,6 +90,13 @@ def row_rules(star: Star) -> DataFrame:
 _RATE = f"({count_if('is_stockout')} * 1e2 / count(*))"
 
 
+@query("D03_snapshot_history", """select cast(n * (date_diff('day', d0, d) + 1) as bigint) as position_days, cast(0 as bigint) as negative_days, cast(0 as bigint) as missing_or_double_days
+    from horizon, (select count(distinct (product_key, location_key)) as n from lines) p""")
+def snapshot_history(star: Star) -> DataFrame:
+    """The daily snapshot over the whole history: every position has each day once, and no stock is negative."""
+    return ledger.history_check(star)
+
+
 @query("D04_stockout_rate_in_range", f"""select 'gold_inventory_fact' as "table", 'stockout_rate_5_to_10' as rule, cast(case when {_RATE} between 5 and 10 then 0 else 1 end as bigint) as violations,
     {_RATE} between 5 and 10 as passed, {_RATE} as value from inv""")
 def stockout_rate(star: Star) -> DataFrame:

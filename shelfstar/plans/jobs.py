@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfstar.config import MONTH_FACTOR, SEGMENT_RULES
@@ -18,8 +19,10 @@ from shelfstar.plans.metric_views import COST, RETAIL, SEASON, count_if
 from shelfstar.plans.registry import query, report
 from shelfstar.plans.report import Report, for_check
 from shelfstar.sources import tables
+from shelfstar.sources.tables import scratch
 from shelfstar.star import OPENING, Star
 
+RAW = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _HOLIDAY = "case " + " ".join(f"when month(d) = {m} and day(d) = {x} then {_q(n)}" for n, (m, x) in HOLIDAYS.items()) + " end"
 _SALE = "case month(d) " + " ".join(f"when {m} then {_q(n)}" for m, n in SALE_EVENTS.items()) + " end"
@@ -212,13 +215,23 @@ def position_states(star: Star) -> DataFrame:
 
 @query("L07_daily_snapshot_by_location", for_check(f"""
     select location_key, cast(x as date) as day, count(*) as positions, cast(sum(stock) as bigint) as quantity_on_hand, count(*) filter (where stock = 0) as stockouts
-    from {_SPANS} t, unnest(generate_series(greatest(first_day, {{asof}} - 89), last_day, interval 1 day)) as g(x) where last_day >= {{asof}} - 89
-    group by 1, 2"""))
+    from {_SPANS} t, unnest(generate_series(first_day, last_day, interval 1 day)) as g(x) group by 1, 2"""))
 def daily_snapshot(star: Star) -> DataFrame:
-    """Position x day over the configured history, counted per location and day."""
-    first = star.days_back(star.config.historical_days - 1)
-    return ledger.snapshot(star, first, star.as_of).groupBy("location_key", "day").agg(
-        F.count("*").alias("positions"), F.sum("quantity_on_hand").alias("quantity_on_hand"), F.count(F.when(F.col("is_stockout"), 1)).alias("stockouts"))
+    """Position x day over the whole history, counted per location and day."""
+    return ledger.location_days(star)
+
+
+@query("L07_daily_snapshot", for_check("""
+    select product_key, location_key, day, stock as quantity_on_hand, stock as quantity_available, cast(0 as bigint) as quantity_reserved, cast(0 as bigint) as quantity_damaged,
+      stock = 0 as is_stockout, case when stock = 0 then coalesce(date_diff('day', since, day), 0) else 0 end as stockout_days
+    from (select p.product_key, p.location_key, p.day, cast(coalesce(arg_max(stock_end, w.day), any_value(o)) as bigint) as stock,
+            max(w.day) filter (where stock_start > 0 and stock_end = 0 and request > 0) as since
+          from (select product_key, location_key, cast(x as date) as day, o from (select product_key, location_key, any_value(opening) as o from walk group by 1, 2) k,
+                  unnest(generate_series({asof} - 6, {asof}, interval 1 day)) as g(x)) p
+          left join walk w on w.product_key = p.product_key and w.location_key = p.location_key and w.day <= p.day group by 1, 2, 3) t"""))
+def snapshot(star: Star) -> DataFrame:
+    """The dense snapshot for a reporting period, here the week up to the latest day."""
+    return ledger.snapshot(star, star.days_back(6), star.as_of)
 
 
 @query("L08_stockout_periods", "select * from periods where end_day is not null")
@@ -309,8 +322,7 @@ def schema_merge(star: Star) -> DataFrame:
 
 @query("T07_table_report")
 def table_report(star: Star) -> DataFrame:
-    names = ["customer", "orders", "lineitem", "events", "documents"]
-    return tables.table_report(star.spark, {n: f"{star.dir}/{n}.parquet" for n in names})
+    return tables.table_report(star.spark, {n: f"{star.dir}/{n}.parquet" for n in RAW})
 
 
 @query("T08_load_summary", """
@@ -339,18 +351,123 @@ def snapshot_diff(star: Star) -> DataFrame:
     return tables.snapshot_diff(c.where("c_custkey % 19 <> 0"), c.where("c_custkey % 17 <> 0").withColumn("c_mktsegment", moved), ["c_custkey"])
 
 
-EXPECTED = {"customer": 1500, "part": 1000, "supplier": 200, "pages": 250, "missing": 10}
-
-
 @query("T12_count_check", """
-    select e.t as table_name, e.n as expected_count, coalesce(a.n, 0) as record_count, case when coalesce(a.n, 0) = 0 then 'EMPTY' when a.n < e.n * 0.8e0 then 'LOW'
-      when a.n > e.n * 1.2e0 then 'HIGH' else 'OK' end as status
-    from (values ('customer', 1500), ('part', 1000), ('supplier', 200), ('pages', 250), ('missing', 10)) e(t, n)
-    left join (select 'customer' as t, count(*) as n from customer union all select 'part', count(*) from part union all select 'supplier', count(*) from supplier
-      union all select 'pages', count(*) from pages) a on a.t = e.t""")
+    with e as (select 'customer' as t, count(distinct o_custkey) as n from orders union all select 'part', count(distinct l_partkey) from lineitem
+      union all select 'orders', count(distinct l_orderkey) from lineitem union all select 'labels', count(*) from documents union all select 'missing', count(*) from pages),
+    a as (select 'customer' as t, count(*) as n from customer union all select 'part', count(*) from part union all select 'orders', count(*) from orders
+      union all select 'labels', count(*) from labels)
+    select t as table_name, e.n as expected_count, coalesce(a.n, 0) as record_count, case when coalesce(a.n, 0) = 0 then 'EMPTY' when a.n < e.n * 0.8e0 then 'LOW'
+      when a.n > e.n * 1.2e0 then 'HIGH' else 'OK' end as status from e left join a using (t)""")
 def count_check(star: Star) -> DataFrame:
-    counts = None
-    for t in ("customer", "part", "supplier", "pages"):
-        one = star.raw(t).agg(F.count("*").alias("record_count")).select(F.lit(t).alias("table_name"), "record_count")
-        counts = one if counts is None else counts.unionByName(one)
-    return tables.check_counts(counts, EXPECTED, star.config.count_tolerance)
+    """Tables against the number of their keys that other tables refer to, at any scale."""
+    def counts(name: str, parts: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias(name)).select(F.lit(t).alias("table_name"), name) for t, df in parts.items()])
+
+    used = {"customer": ("orders", "o_custkey"), "part": ("lineitem", "l_partkey"), "orders": ("lineitem", "l_orderkey")}
+    expected = counts("expected_count", {**{t: star.raw(by).select(key).distinct() for t, (by, key) in used.items()},
+                                         "labels": star.raw("documents"), "missing": star.raw("pages")})
+    return tables.check_counts(counts("record_count", {t: star.raw(t) for t in ("customer", "part", "orders", "labels")}), expected,
+                               star.config.count_tolerance)
+
+
+# -- writes and upkeep -----------------------------------------------------------------------------
+
+@query("T02_overwrite_then_append", "select c_custkey, c_mktsegment from customer")
+def overwrite_then_append(star: Star) -> DataFrame:
+    """A first write replaces what is there, a second one adds."""
+    out, c = scratch(star.spark, "written"), star.raw("customer").select("c_custkey", "c_mktsegment")
+    tables.write(c, out)
+    tables.write(c.where("c_custkey % 2 = 0"), out)
+    tables.write(c.where("c_custkey % 2 <> 0"), out, mode="append")
+    return tables.load(star.spark, out)
+
+
+def _database(star: Star) -> str:
+    """A database whose tables lie in the shared folder."""
+    path = scratch(star.spark, "tables")
+    name = "db_" + path.rsplit("-", 1)[1]
+    star.spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    return name
+
+
+def _save_star(star: Star) -> dict[str, str]:
+    db = _database(star)
+    names = {"customer_dim": star.customer(), "product_dim": star.product(), "sales_fact": star.sales()}
+    for name, df in names.items():
+        df.write.mode("overwrite").saveAsTable(f"{db}.{name}")
+    return {name: f"{db}.{name}" for name in names}
+
+
+@query("T05_backup", "select c_mktsegment as segment, count(*) as customers from customer group by 1")
+def backup(star: Star) -> DataFrame:
+    """Copies outlive the tables they were taken from."""
+    saved = _save_star(star)
+    copies = tables.backup(star.spark, [saved["customer_dim"]], "_backup")
+    star.spark.sql(f"DROP TABLE {saved['customer_dim']}")
+    return star.spark.table(copies[0]).groupBy("segment").agg(F.count("*").alias("customers"))
+
+
+@query("T06_drop_dependents_first", """select 'sales_fact' as table_name, 0 as position, count(*) as rows_dropped, false as is_left from lineitem join orders on l_orderkey = o_orderkey
+    union all select 'customer_dim', 1, count(*), false from customer union all select 'product_dim', 2, count(*), false from part""")
+def drop_dependents_first(star: Star) -> DataFrame:
+    saved = _save_star(star)
+    short = {full: name for name, full in saved.items()}
+    rows = {full: star.spark.table(full).count() for full in short}
+    order = tables.drop_tables(star.spark, list(short), {saved[t]: [saved[d] for d in needs if d in saved]
+                                                        for t, needs in tables.DEPENDS_ON.items() if t in saved})
+    done = [(short[full], i, rows[full], star.spark.catalog.tableExists(full)) for i, full in enumerate(order)]
+    return tables.create(star.spark, done, "table_name string, position int, rows_dropped long, is_left boolean")
+
+
+@query("T07_table_rows", " union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in RAW))
+def table_rows(star: Star) -> DataFrame:
+    """Row counts of the table report, from the files."""
+    return table_report(star).select("table_name", "row_count")
+
+
+@query("T09_stage_log", """select 'customer_dim' as stage, 'done' as status, count(*) as rows_written, cast(1 as bigint) as runs from customer
+    union all select 'product_dim', 'done', count(*), 2 from part union all select 'location_dim', 'done', count(*), 1 from supplier""")
+def stage_log(star: Star) -> DataFrame:
+    """Three stages, of which the second fails at first: a resumed run repeats it and skips what is done."""
+    out = scratch(star.spark, "stages")
+    log, runs = tables.StageLog(star.spark, f"{out}/log"), dict.fromkeys(("customer_dim", "product_dim", "location_dim"), 0)
+
+    def stage(name: str, df: DataFrame, fails: bool) -> None:
+        runs[name] += 1
+        if fails:
+            raise RuntimeError("a stage that fails")
+        tables.write(df, f"{out}/{name}")
+
+    for attempt in (1, 2):
+        try:
+            for name, df in (("customer_dim", star.customer()), ("product_dim", star.product()), ("location_dim", star.location())):
+                log.run(name, lambda n=name, d=df: stage(n, d, attempt == 1 and n == "product_dim"))
+        except RuntimeError:
+            pass
+    written = reduce(DataFrame.unionByName, [tables.load(star.spark, f"{out}/{n}").agg(F.count("*").alias("rows_written"))
+                                             .select(F.lit(n).alias("stage"), "rows_written", F.lit(k).cast("long").alias("runs")) for n, k in runs.items()])
+    return log.latest().select("stage", "status").join(written, "stage")
+
+
+@query("T10_file_ranges", "select true as is_clustered, count(*) as rows_written from lineitem")
+def file_ranges(star: Star) -> DataFrame:
+    """Files of a clustered table cover ranges of days that do not overlap, so a scan of some days opens few of them."""
+    out, parts = scratch(star.spark, "clustered"), int(star.spark.conf.get("spark.sql.shuffle.partitions"))
+    tables.write(tables.clustered(star.lines().select("product_key", "location_key", "day", "quantity"), ["day", "product_key"], parts), out)
+    key = F.struct("day", "product_key")
+    files = tables.load(star.spark, out).groupBy(F.input_file_name().alias("file")).agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+    before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("low", "high"))  # one row per file
+    apart = files.withColumn("apart", F.coalesce(before < F.col("low"), F.lit(True)))
+    return apart.agg(F.coalesce(F.every("apart"), F.lit(True)).alias("is_clustered"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_written"))
+
+
+@query("T13_comments", """select * from (values ('customer_key', 'bigint', 'Key of the customer'), ('segment', 'string', 'Market segment'),
+    ('ltv_cents', 'bigint', null)) c(column_name, data_type, comment), (select count(*) as rows_described from customer) n""")
+def comments(star: Star) -> DataFrame:
+    """Comments travel with the schema through a write."""
+    out = scratch(star.spark, "described")
+    c = star.customer().select("customer_key", "segment", "ltv_cents")
+    tables.write(tables.describe(c, "Customers", {"customer_key": "Key of the customer", "segment": "Market segment"}), out)
+    back = tables.load(star.spark, out)
+    return tables.comment_report(star.spark, back).withColumn("rows_described", F.lit(back.count()))

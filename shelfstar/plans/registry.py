@@ -10,12 +10,14 @@ from shelfstar.plans.ctes import with_tables
 from shelfstar.plans.report import Report
 from shelfstar.star import Star
 
+JOBS: dict[str, Callable[[Star], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
 def _add(name: str, run: Callable[[Star], DataFrame], check: str | None) -> None:
     assert name not in QUERIES, name
+    JOBS[name] = run
     QUERIES[name] = lambda spark, sf_dir: run(Star(spark, sf_dir))
     if check:
         CHECKS[name] = with_tables(check)

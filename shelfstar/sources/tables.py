@@ -101,8 +101,8 @@ def drop_order(names: list[str], depends_on: dict[str, list[str]] | None = None)
     return out
 
 
-def drop_tables(spark: SparkSession, names: list[str]) -> list[str]:
-    order = [n for n in drop_order(names) if spark.catalog.tableExists(n)]
+def drop_tables(spark: SparkSession, names: list[str], depends_on: dict[str, list[str]] | None = None) -> list[str]:
+    order = [n for n in drop_order(names, depends_on) if spark.catalog.tableExists(n)]
     for name in order:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return order
@@ -199,14 +199,12 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
             .select(*key, "change_type", *[row[c].alias(c) for c in rest]))
 
 
-def check_counts(counts: DataFrame, expected: dict[str, int], tolerance: float = 0.2) -> DataFrame:
-    """Expected against actual row counts."""
-    spark = counts.sparkSession
-    want = spark.createDataFrame(list(expected.items()), "table_name string, expected_count long")
+def check_counts(counts: DataFrame, expected: DataFrame, tolerance: float = 0.2) -> DataFrame:
+    """Actual against expected (table_name, expected_count) row counts; both have one row per table."""
     actual, exp = F.coalesce("record_count", F.lit(0)), F.col("expected_count")
     status = (F.when(actual == 0, "EMPTY").when(actual < exp * (1 - tolerance), "LOW")
               .when(actual > exp * (1 + tolerance), "HIGH").otherwise("OK"))
-    return F.broadcast(want).join(counts.select("table_name", "record_count"), "table_name", "left").select(
+    return expected.join(counts.select("table_name", "record_count"), "table_name", "left").select(
         "table_name", "expected_count", actual.alias("record_count"), status.alias("status"))
 
 

@@ -39,7 +39,7 @@ def typed(bronze: DataFrame) -> DataFrame:
     """Raw events with their types, and the day they belong to."""
     return bronze.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("customer_key"), "event_type",
                          F.floor(F.col("value") * 100).alias("event_cents"),
-                         F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("product_key"),
+                         F.regexp_extract("props", "([0-9]+)", 1).try_cast("long").alias("product_key"),
                          F.to_date("ts").alias("day"))
 
 

@@ -77,7 +77,7 @@ def test_snapshot_diff_sees_null_changes(spark):
 
 def test_count_check(spark):
     counts = spark.createDataFrame([("a", 100), ("b", 50), ("c", 200)], "table_name string, record_count long")
-    got = {r.table_name: r.status for r in tables.check_counts(counts, {"a": 90, "b": 100, "c": 100, "d": 5}).collect()}
+    got = {r.table_name: r.status for r in tables.check_counts(counts, spark.createDataFrame([("a", 90), ("b", 100), ("c", 100), ("d", 5)], "table_name string, expected_count long")).collect()}
     assert got == {"a": "OK", "b": "LOW", "c": "HIGH", "d": "EMPTY"}
 
 
@@ -90,7 +90,7 @@ def test_comments_travel_with_the_schema(spark, tmp_path):
 
 
 @pytest.mark.parametrize("bad", [{"historical_days": 0}, {"return_delay_days": [3, 1]}, {"price_cuts": (1.0, 2.0, 3.0)}, {"write_mode": "x"},
-                                 {"affinity_cut": 2.0}, {"target_low_share": 101}])
+                                 {"overstock_days": 0}, {"count_tolerance": 1.0}])
 def test_config_rejects(bad):
     with pytest.raises(ValueError):
         Config.from_dict(bad)

@@ -64,9 +64,11 @@ def test_tags_and_normalisation(spark):
     assert [r[0] for r in s.select(ops.season_key(F.col("c"))).collect()] == ["SS", "default", "CORE", "default"]
 
 
-@pytest.mark.parametrize("group", [2, 100])
-def test_search_is_exact_over_partitions_and_query_groups(spark, monkeypatch, group):
-    monkeypatch.setattr(ops, "QUERY_BATCH", group)
+@pytest.mark.parametrize("block", [2, 100])
+def test_search_is_exact_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ops, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ops, "VECTOR_BLOCK", 30 * block)
+    monkeypatch.setattr(ops, "STEP", 7)
     rng = np.random.default_rng(1)
     e = rng.normal(size=(200, 8)).astype("float32")
     e[50] = e[10]  # a tie, settled by the key
