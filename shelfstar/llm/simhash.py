@@ -145,7 +145,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, d: int = 4, in_task: int = IN_T
     """
     own = cut(docs.select("doc_id", fingerprints(F.col("text"), k).alias("fp")), "fingerprints")
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), d, in_task)).withColumnRenamed("node", "f")
+    return labelled(own, nodes, links(nodes.select("fp"), d, in_task))
+
+
+def labelled(own: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``own`` (doc_id, fp) with component_id, from ``nodes`` (fp, least: smallest doc_id) and ``edges`` (a, b) between them."""
+    roots = components(edges).withColumnRenamed("node", "f")
     rooted = nodes.join(roots, F.col("fp") == F.col("f"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     labels = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
@@ -162,7 +167,11 @@ def keep_one(docs: DataFrame, k: int = 5, d: int = 4) -> DataFrame:
     Rows that share that doc_id count as copies: one of them stays. A row without a doc_id goes if its
     component has a named one; of the others, one per fingerprint stays.
     """
-    found = cut(near_duplicates(docs, k, d), "components")
+    return first_of(docs, cut(near_duplicates(docs, k, d), "components"), fingerprints(F.col("text"), k))
+
+
+def first_of(docs: DataFrame, found: DataFrame, mark: Column) -> DataFrame:
+    """One row of each component of ``found`` (doc_id, fp, component_id); ``mark`` gives the fp of a row of ``docs``."""
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
     i, fp = fresh(docs, "i"), fresh(docs, "fp")
     plain = ids.where("n = 1 and first").select(F.col("doc_id").alias(i))
@@ -171,6 +180,6 @@ def keep_one(docs: DataFrame, k: int = 5, d: int = 4) -> DataFrame:
     rest = (found.where("doc_id = component_id").join(shared, F.col("doc_id") == F.col("c")).groupBy("doc_id").agg(F.min("fp").alias("fp"))
             .union(found.where("doc_id is null and component_id is null").select("doc_id", "fp").distinct())
             .select(F.col("doc_id").alias(i), F.col("fp").alias("stays")))
-    odd = docs.join(rest, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").withColumn(fp, fingerprints(F.col("text"), k))
+    odd = docs.join(rest, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").withColumn(fp, mark)
     one = odd.join(rest, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(fp) == F.col("stays")), "left_semi").dropDuplicates(["doc_id", fp])
     return out.unionByName(one.drop(fp))
