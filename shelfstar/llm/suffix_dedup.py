@@ -356,10 +356,20 @@ def remove(docs: DataFrame, p: Params | None = None, text: str = "text") -> Data
     always valid text.
     """
     marked, name = mark(docs, p, text)
-    left = _valid(remaining(F.col(f"`{text}`").cast("binary"), F.col(name)))
+    data = F.col(f"`{text}`").cast("binary")
+    left = remaining(data, whole_characters(data, F.col(name))).cast("string")
     new = F.when((F.size(name) == 0) | F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).otherwise(left)
     return marked.withColumn(text, new).drop(name)
 
 
-def _valid(data: Column) -> Column:
-    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))
+def whole_characters(data: Column, found: Column) -> Column:
+    """The spans, each widened to the whole characters that it touches, by three bytes at most."""
+    def inside(at: Column) -> Column:
+        byte = F.substring(data, at + 1, F.lit(1))
+        return (at > 0) & (F.octet_length(byte) == 1) & (byte >= F.lit(b"\x80")) & (byte < F.lit(b"\xc0"))
+
+    def edge(at: Column, way: int) -> Column:
+        a, b, c = at + way, at + 2 * way, at + 3 * way
+        return F.when(~inside(at), at).when(~inside(a), a).when(~inside(b), b).otherwise(c)
+
+    return F.transform(found, lambda s: F.struct(edge(s["start"], -1).alias("start"), edge(s["stop"], 1).alias("stop")))
