@@ -164,10 +164,23 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
-def _encode_whole(path: str):
-    @F.arrow_udf("array<int>")
+#: Texts that are held as Python objects at once.
+SOME = 256
+
+
+def _coded(c: Codec, found: list[np.ndarray], decoded: bool) -> pa.Array:
+    ids = _lists(found, pa.int32())
+    if not decoded:
+        return pa.StructArray.from_arrays([ids], ["ids"])
+    return pa.StructArray.from_arrays([ids, pa.array([c.decode(x.tolist()) for x in found], pa.string())], ["ids", "decoded"])
+
+
+def _encode_whole(path: str, kind: str, decoded: bool):
+    @F.arrow_udf(kind)
     def run(text: pa.Array) -> pa.Array:
-        return _lists([codec(path).encode(x.as_py()) for x in text], pa.int32())
+        c = codec(path)
+        done = [_coded(c, [c.encode(x.as_py()) for x in text.slice(at, SOME)], decoded) for at in range(0, len(text), SOME)]
+        return pa.concat_arrays(done) if done else _coded(c, [], decoded)
 
     return run
 
@@ -199,7 +212,7 @@ def _encode_parts(path: str):
     return run
 
 
-def _join_text(path: str):
+def _join_text(path: str, decoded: bool):
     def run(t: pa.Table) -> pa.Table:
         """Rows: the encoded pieces of one text."""
         t = t.sort_by("at")
@@ -209,36 +222,38 @@ def _join_text(path: str):
                 ids = ids.values.to_numpy()
                 pieces[n] = Piece(part.as_py(), ids, codec(path).lengths[ids].cumsum(), first.values.to_numpy(zero_copy_only=False))
         ids = join_all(path, [pieces[n] for n in sorted(pieces)]).ids
-        return pa.table({"k1": t.column("k1")[:1], "k2": t.column("k2")[:1], "ids": _lists([ids], pa.int32())})
+        return pa.table({"k1": t.column("k1")[:1], "k2": t.column("k2")[:1], "coded": _coded(codec(path), [ids], decoded)})
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf: int = LEAF, decoded: str | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``ids`` (array<int>): the encoding without added special tokens.
 
     Texts of at most ``leaf`` bytes are encoded where they are. Longer ones are dealt out piece by piece, once
     per distinct text, and joined again; each row then takes the result of its text. Null counts as empty.
-    Special tokens spelled out in a text are recognised, as the tokenizer does. ``ids`` replaces a column of
-    that name; all other columns and repeated rows stay.
+    Special tokens spelled out in a text are recognised, as the tokenizer does. ``decoded`` names a further
+    column: the text that the ids decode to, read back by the task that made them. ``ids`` and ``decoded``
+    replace columns of that name; all other columns and repeated rows stay.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, ids)]
+    names = [c for c in docs.columns if c not in (text, ids, decoded)]
+    rest, kind = [F.col(f"`{c}`") for c in names], f"struct<ids:array<int>{',decoded:string' if decoded else ''}>"
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = F.octet_length(t)
-    short = docs.where(size <= leaf).select(*rest, _encode_whole(path)(t).alias(ids))
+    made = [F.col("_coded")["ids"].alias(ids), *([F.col("_coded")["decoded"].alias(decoded)] if decoded else [])]
+    own = F.struct(*rest).alias("_row") if rest else F.struct(F.lit(0).alias("none")).alias("_row")
+    short = docs.where(size <= leaf).select(own, _encode_whole(path, kind, bool(decoded))(t).alias("_coded"))
     k1, k2 = digest(t)
     long = docs.where(size > leaf)
     whole = long.select(k1.alias("k1"), k2.alias("k2"), t.alias("text"))
     parts = whole.mapInArrow(_split(leaf), "k1 long, k2 long, at int, part binary")
     parts = parts.dropDuplicates(["k1", "k2", "at"])  # deals the pieces of a text to different tasks
     done = parts.mapInArrow(_encode_parts(path), "k1 long, k2 long, at int, part binary, ids array<int>, first array<boolean>")
-    joined = done.groupBy("k1", "k2").applyInArrow(_join_text(path), "k1 long, k2 long, ids array<int>").select(
-        F.struct("k1", "k2").alias("_of"), F.col("ids").alias("_ids"))
-    own = long.select(F.struct(*rest).alias("_row"), F.struct(k1.alias("k1"), k2.alias("k2")).alias("_key")) if rest else \
-        long.select(F.struct(F.lit(0).alias("none")).alias("_row"), F.struct(k1.alias("k1"), k2.alias("k2")).alias("_key"))
-    names = [c for c in docs.columns if c not in (text, ids)]
-    both = own.join(joined, F.col("_key") == F.col("_of")).select(*[F.col("_row")[c].alias(c) for c in names], F.col("_ids").alias(ids))
-    return short.unionByName(both)
+    joined = done.groupBy("k1", "k2").applyInArrow(_join_text(path, bool(decoded)), f"k1 long, k2 long, coded {kind}").select(
+        F.struct("k1", "k2").alias("_of"), F.col("coded").alias("_coded"))
+    rows = long.select(own, F.struct(k1.alias("k1"), k2.alias("k2")).alias("_key"))
+    both = rows.join(joined, F.col("_key") == F.col("_of")).select("_row", "_coded")
+    return short.unionByName(both).select(*[F.col("_row")[c].alias(c) for c in names], *made)
 
 
 def decode(path: str, ids: Column) -> Column:

@@ -64,9 +64,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the text decoded from them."""
     path = tokenizer_file()
-    got = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    got = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="back")
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-                      sha256(bpe.decode(path, F.col("ids"))).alias("decoded_sha256"))
+                      sha256(F.col("back")).alias("decoded_sha256"))
 
 
 @query("op5_simhash")

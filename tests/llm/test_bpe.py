@@ -62,6 +62,9 @@ def test_encode_and_decode_tables(spark, rng):
     assert got.columns == ["doc_id", "k1", "IDS2", "ids", "back"]
     want = [(i, k, n, WHOLE.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, k, n in rows]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    both = bpe.encode(docs, PATH, leaf=500, decoded="text")
+    assert both.columns == ["doc_id", "k1", "IDS2", "ids", "text"]
+    assert sorted(map(repr, map(tuple, both.collect()))) == sorted(map(repr, want))
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
