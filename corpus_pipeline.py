@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfstar.llm import bpe, jaccard, mixing, quality_rules, suffix_dedup
+from shelfstar.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from shelfstar.llm.common import cut, table
 from shelfstar.llm.queries import LIMIT, WEIGHTS, tokenizer_file
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more."""
-    return jaccard.keep_one(docs, k=5, similarity=0.8)
+    """One document of each group whose fingerprints over four-word shingles are linked by four or fewer differing bits."""
+    return simhash.keep_one(docs, k=4, d=4)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, token ids, their number, and the text decoded from them in place of the text."""
-    path = tokenizer_file()
-    coded = bpe.encode(docs, path)
-    names = [bpe.decode(path, F.col("ids")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "ids"]
+    coded = bpe.encode(docs, tokenizer_file(), decoded="text")
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "n_tokens")]
     return coded.select(*names, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
