@@ -35,7 +35,7 @@ def test_every_stage_equals_plain_loops(spark, tmp_path):
 
     now = {i: r for i, r in now.items() if good(r["text"])}
     assert {r["doc_id"] for r in done["quality"][1].collect()} == set(now)
-    fps = {i: fingerprint(r["text"], 5) for i, r in now.items()}
+    fps = {i: fingerprint(r["text"], 4) for i, r in now.items()}
     root = groups(now, lambda x, y: (fps[x] ^ fps[y]).bit_count() <= 4)
     now = {i: r for i, r in now.items() if root[i] == i}
     assert {r["doc_id"] for r in done["near_dedup"][1].collect()} == set(now)
