@@ -18,20 +18,27 @@ def hourly_events(star: Star) -> DataFrame:
     """Every hour of the backlog, the open ones included."""
     out = scratch(star.spark, "events")
     layers = jobs.EventLayers(star.spark, out)
-    jobs.start_events(jobs.read_events(star.spark, f"{star.dir}/events.parquet"), layers, f"{out}/state").awaitTermination()
+    jobs.start_events(jobs.read_files(star.spark, f"{star.dir}/events.parquet"), layers, f"{out}/state").awaitTermination()
     return layers.hours()
 
 
 @query("Z02_running_stock", """select product_key, location_key, day, transaction_id, line_number, quantity as requested, allocated, stock_before,
     stock_before - allocated as stock_after from alloc""")
 def running_stock(star: Star) -> DataFrame:
-    """Allocations of all sale lines as a stream of requests."""
+    """Allocations of all sale lines as a stream of requests, closed by a tick after the last return is due."""
     out = scratch(star.spark, "stock")
-    lines = jobs.requests_from_lines(star.lines())
-    lines.write.parquet(f"{out}/requests")
-    stream = star.spark.readStream.schema(lines.schema).parquet(f"{out}/requests")
-    jobs.start_stock(stream, f"{out}/positions", f"{out}/state").awaitTermination()
-    return star.spark.read.parquet(f"{out}/positions")
+    lines = star.lines(raw=jobs.read_files(star.spark, f"{star.dir}/lineitem.parquet"))
+    clock, late = jobs.Clock(star.spark, f"{out}/clock"), 7
+
+    def run() -> None:
+        jobs.start_stock(jobs.requests_from_lines(lines, star.config), f"{out}/moves", f"{out}/state", late_days=late, clock=clock).awaitTermination()
+
+    run()
+    clock.tick(star.days_back(-late - star.config.return_delay_days[1] - 2))
+    run()
+    sale = F.col("kind") == "sale"
+    return star.spark.read.schema(jobs.MOVES).parquet(f"{out}/moves").where(sale).select(
+        "product_key", "location_key", "day", "transaction_id", "line_number", "requested", "allocated", "stock_before", "stock_after")
 
 
 @query("Z03_vector_sync", """

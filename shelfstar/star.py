@@ -219,9 +219,9 @@ class Star:
 
     # -- facts ---------------------------------------------------------------------------
 
-    def lines(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
-        """Sale lines without the customer; the date bounds reach the parquet scan."""
-        li = self.raw("lineitem")
+    def lines(self, since: dt.date | None = None, until: dt.date | None = None, raw: DataFrame | None = None) -> DataFrame:
+        """Sale lines without the customer, of the raw table or of ``raw`` (which may be a stream); the date bounds reach the parquet scan."""
+        li = self.raw("lineitem") if raw is None else raw
         if since is not None:
             li = li.where(F.col("l_shipdate") >= midnight(li, "l_shipdate", since))
         if until is not None:

@@ -7,17 +7,18 @@ for continuous ones; the same code serves both.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from shelfstar.config import Config
+from shelfstar.operators.ledger import return_delay
 from shelfstar.star import OPENING
 
 ONCE = {"availableNow": True}
@@ -25,8 +26,8 @@ ONCE = {"availableNow": True}
 
 # -- Z01: bronze -> silver -> gold ------------------------------------------------------------
 
-def read_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Raw event files as a stream; the schema is that of the files, read once."""
+def read_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Raw files as a stream; the schema is that of the files, read once."""
     files = spark.read.parquet(path)
     stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", max_files)
     folder, name = path.rstrip("/").rsplit("/", 1)
@@ -91,61 +92,129 @@ def start_events(events: DataFrame, layers: EventLayers, checkpoint: str, trigge
 
 # -- Z02: running stock position ----------------------------------------------------------------
 
-POSITIONS = ("product_key long, location_key long, day date, transaction_id long, line_number int, requested long, allocated long, "
-             "stock_before long, stock_after long")
+REQUEST = ("at timestamp, product_key long, location_key long, opening long, day int, transaction_id long, line_number int, quantity long, net_cents long, "
+           "discount_cents long, tax_cents long, is_return boolean, delay int")
+MOVES = ("kind string, product_key long, location_key long, day date, transaction_id long, line_number int, requested long, allocated long, "
+         "stock_before long, stock_after long")
+WAITING = REQUEST[REQUEST.index("day int"):]
+DAY_MS = 86_400_000
 
 
-STOCK_STATE = ("locations array<long>, units array<long>, due_locations array<long>, due_days array<date>, "
-               "due_units array<long>")
-SHARD = 64  # locations whose positions of one product share a state row
+class RunningStock(StatefulProcessor):
+    """Stock of one position from requests in any order of arrival.
 
+    Requests wait in state until the watermark has passed their day. Then a timer settles the day: returned units that are due come
+    back first (kind ``restock``), then the day's requests are filled in their fixed order (``sale``); a return of a line restocks
+    what was allocated to it, after its delay, under a timer of its own. A request for a day that is already settled, or without
+    a day, changes nothing and is passed on as ``late``. So the result does not depend on how the rows were cut into micro-batches.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "stock long, settled int, due_days array<int>, due_units array<long>")
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, new, late = self.held.get(), [], []
+        for r in rows:
+            if held is None:
+                held = (r.opening, -(1 << 31), [], [])
+                self.held.update(held)
+            if r.day is None or r.day <= held[1]:
+                late.append(Row(kind="late", product_key=key[0], location_key=key[1], day=_date(r.day), transaction_id=r.transaction_id, line_number=r.line_number,
+                                requested=r.quantity, allocated=None, stock_before=None, stock_after=None))
+            else:
+                new.append((r.day, r.transaction_id, r.line_number, r.quantity, r.net_cents, r.discount_cents, r.tax_cents, r.is_return, r.delay))
+        if new:
+            self.waiting.appendList(new)
+            for day in {x[0] for x in new}:
+                self.handle.registerTimer((day + 1) * DAY_MS)
+        yield from late
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1  # the latest day that is over
+        stock, settled, due_days, due_units = self.held.get()
+        if settled >= last:
+            return
+        due, asked, later = dict(zip(due_days, due_units)), {}, []
+        for r in self.waiting.get():
+            (asked.setdefault(r[0], []) if r[0] <= last else later).append(tuple(r))
+        days = sorted({*asked, *(d for d in due if d <= last)})
+        while days:
+            day = days.pop(0)
+            if back := due.pop(day, 0):
+                yield Row(kind="restock", product_key=key[0], location_key=key[1], day=_date(day), transaction_id=None, line_number=None, requested=None, allocated=None,
+                          stock_before=stock, stock_after=stock + back)
+                stock += back
+            for _, txn, line, quantity, _, _, _, is_return, delay in sorted(asked.get(day, ())):
+                take = min(quantity, stock)
+                yield Row(kind="sale", product_key=key[0], location_key=key[1], day=_date(day), transaction_id=txn, line_number=line, requested=quantity, allocated=take,
+                          stock_before=stock, stock_after=stock - take)
+                stock -= take
+                if is_return and take:
+                    due[day + delay] = due.get(day + delay, 0) + take
+                    if day + delay <= last and day + delay not in days:
+                        bisect.insort(days, day + delay)
+        for day in due:
+            self.handle.registerTimer((day + 1) * DAY_MS)
+        if asked:
+            self.waiting.put(later) if later else self.waiting.clear()
+        self.held.update((stock, last, list(due), list(due.values())))
+
+    def close(self) -> None:
+        pass
+
+
+def _date(day: int | None) -> dt.date | None:
+    return None if day is None else dt.date(1970, 1, 1) + dt.timedelta(days=day)
+
+
+def requests_from_lines(lines: DataFrame, config: Config | None = None) -> DataFrame:
+    """Sale lines (batch or stream) as stock requests, with the delay after which a returned line comes back."""
+    delay = return_delay(F.col("transaction_id"), (config or Config()).return_delay_days)
+    made = lines.withColumns({"delay": delay, "opening": F.expr(OPENING), "day": F.unix_date("day")})
+    made = made.withColumn("at", F.timestamp_seconds(F.col("day").cast("long") * 86_400))
+    return made.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in T._parse_datatype_string(REQUEST).fields])
+
+
+class Clock:
+    """A folder of ticks that is read beside the requests: a tick moves the watermark on when no requests come."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], "at timestamp").write.mode("append").parquet(path)
 
-def running_stock(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stock of the positions of one product in one shard of locations.
+    def tick(self, day: dt.date) -> None:
+        at = F.lit(day.isoformat()).cast("timestamp")
+        self.spark.range(1).select(at.alias("at")).write.mode("append").parquet(self.path)
 
-    The state holds units on hand per location and returned units by due day. Requests of one
-    micro-batch are taken in day order; a return restocks what was allocated, on its due day,
-    before that day's requests. The size of a micro-batch is set at the source.
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema("at timestamp").parquet(self.path)
+
+
+def start_stock(requests: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE, late_days: int = 7, clock: Clock | None = None) -> StreamingQuery:
+    """Append what happens to each position to a parquet table, partitioned by kind; state lives in RocksDB.
+
+    A request may come up to ``late_days`` after the latest day seen so far; later ones are of kind ``late``.
     """
-    stock, due = {}, {}
-    if state.exists:
-        locations, units, due_locations, due_days, due_units = state.get
-        stock = dict(zip(locations, units))
-        for loc, day, n in zip(due_locations, due_days, due_units):
-            due.setdefault(loc, {})[day] = n
-    batch = pd.concat(list(frames)).sort_values(["day", "transaction_id", "line_number", "quantity", "net_cents"])
-    names = ["location_key", "day", "transaction_id", "line_number", "quantity", "is_return", "delay", "opening"]
-    out = []
-    for loc, day, txn, line, asked, is_return, delay, opening in zip(*(batch[n].tolist() for n in names)):
-        held, back = stock.get(loc, opening), due.setdefault(loc, {})
-        for d in [d for d in back if d <= day]:
-            held += back.pop(d)
-        take = min(asked, held)
-        out.append((key[0], loc, day, txn, line, asked, take, held, held - take))
-        stock[loc] = held - take
-        if is_return and take:
-            d = day + dt.timedelta(days=delay)
-            back[d] = back.get(d, 0) + take
-    flat = [(loc, d, n) for loc, back in due.items() for d, n in back.items()]
-    state.update((list(stock), list(stock.values()), [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in POSITIONS.split(", ")])
-
-
-def requests_from_lines(lines: DataFrame) -> DataFrame:
-    """Sale lines (batch or stream) as stock requests."""
-    return lines.select("product_key", "location_key", "day", "transaction_id", "line_number", "quantity", "net_cents", "is_return",
-                        (1 + F.col("transaction_id") % 3).cast("int").alias("delay"), F.expr(OPENING).alias("opening"))
-
-
-def start_stock(requests: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Append each request's allocation to a parquet table; state lives in RocksDB."""
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    sharded = requests.withColumn("shard", F.floor(F.col("location_key") / SHARD))
-    out = sharded.groupBy("product_key", "shard").applyInPandasWithState(
-        running_stock, POSITIONS, STOCK_STATE, "append", GroupStateTimeout.NoTimeout)
-    return (out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())
+    if clock is not None:
+        requests = requests.unionByName(clock.stream(), allowMissingColumns=True)
+    # The condition names the event time, or it would be pushed below the watermark and ticks would not count.
+    timed = requests.withWatermark("at", f"{late_days} days").where("at is null or product_key is not null or location_key is not null")
+    moves = (timed.drop("at").groupBy("product_key", "location_key")  # without its event time no row is dropped as late
+             .transformWithState(RunningStock(), MOVES, "append", "EventTime"))
+    out = moves.writeStream.format("parquet").outputMode("append").partitionBy("kind").option("path", sink).option("checkpointLocation", checkpoint)
+    return _with_rocksdb(requests.sparkSession, out.trigger(**trigger).start)
+
+
+def _with_rocksdb(spark: SparkSession, start) -> StreamingQuery:
+    """Start a query whose state needs RocksDB; a query keeps the settings it was started with, and the caller's stay as they were."""
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
 # -- Z03: incremental sync of changed rows --------------------------------------------------------

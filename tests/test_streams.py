@@ -19,7 +19,7 @@ def test_events_count_late_rows_open_hours_and_repeats_once(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 10, 0)
     e = lambda i, m, kind="view": (i, t + dt.timedelta(minutes=m), 1, kind, 2.5, '{"k": 4}')
     src, layers = tmp_path / "in", jobs.EventLayers(spark, str(tmp_path / "out"))
-    run = lambda: jobs.start_events(jobs.read_events(spark, str(src)), layers, str(tmp_path / "ck")).awaitTermination()
+    run = lambda: jobs.start_events(jobs.read_files(spark, str(src)), layers, str(tmp_path / "ck")).awaitTermination()
     write_events(spark, src, [e(1, 1), e(1, 1), e(2, 5), e(3, 50, "click")], "a")
     run()
     write_events(spark, src, [e(4, 200), e(5, 201), e(8, 3000)], "b")  # two days on
@@ -33,20 +33,55 @@ def test_events_count_late_rows_open_hours_and_repeats_once(spark, tmp_path):
     assert {(r.hour.day, r.hour.hour, r.event_type): (r.events, r.event_cents) for r in layers.hours().collect()} == got
 
 
-def test_running_stock_equals_the_exact_replay(small_star, spark, tmp_path):
-    lines = jobs.requests_from_lines(small_star.lines())
-    cut = small_star.first_day + dt.timedelta(days=30)
-    src = str(tmp_path / "in")
-    for i, part in enumerate((lines.where(F.col("day") < F.lit(cut)), lines.where(F.col("day") >= F.lit(cut)))):
+def stock_runs(spark, folder, parts, last):
+    """The moves after the parts have come one after the other, each in a run of its own, and a closing tick."""
+    src, clock = str(folder / "in"), jobs.Clock(spark, str(folder / "clock"))
+
+    def run():
+        stream = spark.readStream.schema(jobs.REQUEST).parquet(src)
+        jobs.start_stock(stream, str(folder / "out"), str(folder / "ck"), late_days=5, clock=clock).awaitTermination()
+
+    for part in parts:
         part.coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(lines.schema).parquet(src)
-        jobs.start_stock(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.count() == lines.count()
-    exact = ledger.stock_walk(small_star).where("attempts > 0")
-    per_day = got.groupBy("product_key", "location_key", "day").agg(F.sum("allocated").alias("a"), F.min("stock_after").alias("end"))
-    both = exact.join(per_day, ["product_key", "location_key", "day"], "full")
-    assert both.where("not (stock_start - stock_end <=> a) or not (stock_end <=> end)").count() == 0
+        run()
+    clock.tick(last)
+    run()
+    return spark.read.schema(jobs.MOVES).parquet(str(folder / "out"))
+
+
+SALE = ["product_key", "location_key", "day", "transaction_id", "line_number", "quantity", "allocated", "stock_before"]
+
+
+@pytest.mark.parametrize("split", ["by_day", "out_of_order"])
+def test_running_stock_does_not_depend_on_micro_batches(small_star, spark, tmp_path, split):
+    from shelfstar.config import Config
+    from shelfstar.star import Star
+    star = Star(spark, small_star.dir, Config(return_delay_days=(2, 6)) if split == "out_of_order" else None)
+    lines = jobs.requests_from_lines(star.lines(), star.config)
+    first = (star.first_day - dt.date(1970, 1, 1)).days
+    come = F.col("day") + (F.pmod(F.xxhash64("transaction_id", "quantity"), F.lit(5)) if split == "out_of_order" else F.lit(0))
+    edges = [first, first + 17, first + 18, first + 41, first + 99]
+    moves = stock_runs(spark, tmp_path, [lines.where((come >= a) & (come < b)) for a, b in zip(edges, edges[1:])], star.as_of + dt.timedelta(days=30))
+    got = moves.where("kind = 'sale'").withColumnRenamed("requested", "quantity").select(SALE)
+    exact = ledger.allocations(star).select(SALE)
+    assert got.count() == lines.count() and got.exceptAll(exact).count() == 0 and moves.where("kind = 'late'").count() == 0
+    back = {(r.product_key, r.location_key, r.day): r.n for r in moves.where("kind = 'restock'").groupBy("product_key", "location_key", "day").agg(
+        F.sum(F.col("stock_after") - F.col("stock_before")).alias("n")).collect()}
+    due = {(r.product_key, r.location_key, r.day): r.restock for r in ledger.daily_ledger(star).where("restock > 0").collect()}
+    assert back == due
+
+
+def test_requests_for_settled_days_are_passed_on(spark, tmp_path):
+    def asked(*rows):
+        return spark.createDataFrame([(dt.datetime(1970, 1, 1) + dt.timedelta(days=d) if d is not None else None, 1, 2, 10, d, t, 1, q, 0, 0, 0, r, 1)
+                                      for d, t, q, r in rows], jobs.REQUEST)
+
+    parts = [asked((100, 1, 7, True), (101, 2, 4, False)), asked((120, 3, 8, False), (100, 4, 1, False)), asked((130, 7, 1, False)),
+             asked((101, 5, 1, False), (None, 6, 1, False), (127, 8, 20, False))]
+    moves = stock_runs(spark, tmp_path, parts, dt.date(1971, 1, 1))
+    got = sorted((r.kind, r.transaction_id or 0, r.allocated, r.stock_before, r.stock_after) for r in moves.collect())
+    assert got == [("late", 5, None, None, None), ("late", 6, None, None, None), ("restock", 0, None, 2, 9), ("sale", 1, 7, 10, 3), ("sale", 2, 4, 9, 5),
+                   ("sale", 3, 5, 5, 0), ("sale", 4, 1, 3, 2), ("sale", 7, 0, 0, 0), ("sale", 8, 0, 0, 0)]
 
 
 def changes(spark, rows):
