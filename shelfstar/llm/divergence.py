@@ -17,8 +17,11 @@ no ranked terms. An empty table gives an empty result. Other columns are not rea
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ from shelfstar.llm.common import cut
 
 #: Runs of letters: A-Z, a-z and everything outside ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a text to bytes of its terms, lower-cased for A-Z, with spaces between them; bytes of other characters stay.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Distinct terms that a task counts before it passes them on, and rows passed on at once.
+HELD, ROWS = 1 << 19, 1 << 16
 GROUP = ["lang", "source"]
 
 
@@ -40,17 +46,42 @@ class Params:
     top: int = 50
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in a group, and the group's documents that have it.
+def _count(batches):
+    """Counts of a task's texts, passed on whenever it holds HELD terms; later steps add them up."""
+    n: dict[tuple[str, str], Counter] = {}
+    docs: dict[tuple[str, str], Counter] = {}
+
+    def rows():
+        for (lang, source), found in n.items():
+            terms, counts, seen = list(found), np.fromiter(found.values(), np.int64, len(found)), docs[lang, source]
+            for at in range(0, len(terms), ROWS):
+                some = terms[at:at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()),
+                                                  pa.array(counts[at:at + ROWS]), pa.array([seen[t] for t in some], pa.int64())], ["lang", "source", "term", "n", "docs"])
+        n.clear()
+        docs.clear()
+
+    held = 0
+    for b in batches:
+        for text, *group in zip(b.column("text"), *(b.column(c).to_pylist() for c in GROUP)):
+            words = text.as_py().translate(_TERMS).split()
+            mine = n.setdefault(tuple(group), Counter())
+            held -= len(mine)
+            mine.update(words)
+            held += len(mine)
+            docs.setdefault(tuple(group), Counter()).update(set(words))
+            if held >= HELD:
+                yield from rows()
+                held = 0
+    yield from rows()
 
-    The terms of a text are sorted, so that a document counts where a term follows a different one.
-    """
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of each term in a group, and the group's documents that have it."""
     names = [F.coalesce(c, F.lit("")).alias(c) for c in GROUP]
-    found = docs.select(*names, F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("terms"))
-    each = found.select(*GROUP, "terms", F.posexplode("terms").alias("at", "term"))
-    new = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    return each.groupBy(*GROUP, "term").agg(F.count("*").alias("n"), F.sum(new.cast("long")).alias("docs"))
+    found = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), *names).mapInArrow(
+        _count, "lang string, source string, term binary, n long, docs long")
+    return found.groupBy(*GROUP, F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column | int, total: Column, terms: Column, params: Params) -> Column:
