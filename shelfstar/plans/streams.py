@@ -16,9 +16,8 @@ from shelfstar.streaming import jobs
     from events where event_id is not null and ts is not null group by 1, 2""")
 def hourly_events(star: Star) -> DataFrame:
     """Every hour of the backlog, the open ones included."""
-    out = scratch(star.spark, "events")
-    layers = jobs.EventLayers(star.spark, out)
-    jobs.start_events(jobs.read_files(star.spark, f"{star.dir}/events.parquet"), layers, f"{out}/state").awaitTermination()
+    layers = jobs.EventLayers(star.spark, scratch(star.spark, "events"))
+    layers.catch_up(jobs.read_files(star.spark, f"{star.dir}/events.parquet"))
     return layers.hours()
 
 

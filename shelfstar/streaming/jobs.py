@@ -11,7 +11,6 @@ import bisect
 import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,49 +44,49 @@ def typed(bronze: DataFrame) -> DataFrame:
 
 
 class EventLayers:
-    """Silver (events without duplicates) and gold (hourly counts and value by type), kept by batches.
+    """Silver (events without duplicates), gold (hourly counts and value by type) and rejected rows (without id or time).
 
-    A row may come however late: a batch adds to the silver days it touches and computes the gold of these days
-    again, so no row is dropped and open hours show what has come so far. A batch writes its rows into a folder of
-    its own and reads only folders of earlier batches beside it, so a repeated batch overwrites itself. An event that
-    is sent again keeps its time, hence an id counts once a day. Rows without id or time go to ``rejected``.
+    Each layer is the sink of a stream of its own, and each batch reads only its own rows. An event that is sent again within
+    ``remember`` of its first arrival is dropped by the state store, which keeps ids that long. The watermark is that of
+    arrival, so an event may be as old as it likes: no row is late, and open hours show what has come so far. Gold is a
+    running aggregation whose state has one row per hour and type.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.silver, self.gold, self.rejected = spark, f"{path}/silver", f"{path}/gold", f"{path}/rejected"
-
-    def _read(self, path: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def apply(self, bronze: DataFrame, batch: int) -> None:
-        rows = typed(bronze)
-        ok = F.col("event_id").isNotNull() & F.col("ts").isNotNull()
-        rows.where(~ok).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch}")
-        rest = [c for c in rows.columns if c not in ("event_id", "day")]
-        new = (rows.where(ok).groupBy("event_id", "day").agg(F.min(F.struct(*rest)).alias("r"))
-               .select("event_id", "r.*", "day"))
-        days = [r[0] for r in rows.where(ok).select("day").distinct().collect()]  # at most one per calendar day
-        schema = T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])
-        old = self._read(self.silver, schema).where((F.col("batch") < batch) & F.col("day").isin(days))
-        (new.join(old.select("event_id", "day"), ["event_id", "day"], "left_anti").write.mode("overwrite").partitionBy("day")
-         .parquet(f"{self.silver}/batch={batch}"))
-        clean = self._read(self.silver, schema).where((F.col("batch") <= batch) & F.col("day").isin(days))
-        hours = clean.groupBy("day", F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(
+    def __init__(self, spark: SparkSession, path: str, remember: str = "30 days"):
+        self.spark, self.path, self.remember = spark, path, remember
+        self.silver, self.gold, self.rejected = f"{path}/silver", f"{path}/gold", f"{path}/rejected"
+
+    def start_rejected(self, events: DataFrame, trigger: dict = ONCE) -> StreamingQuery:
+        return self._sink(typed(events).where("event_id is null or ts is null"), self.rejected, "rejected", trigger)
+
+    def start_silver(self, events: DataFrame, trigger: dict = ONCE) -> StreamingQuery:
+        seen = typed(events).where("event_id is not null and ts is not null").withColumn("seen_at", F.current_timestamp())
+        once = seen.withWatermark("seen_at", self.remember).dropDuplicatesWithinWatermark(["event_id"]).drop("seen_at")
+        return self._sink(once, self.silver, "silver", trigger, "day")
+
+    def start_gold(self, trigger: dict = ONCE) -> StreamingQuery:
+        silver = self.spark.readStream.schema(self.spark.read.parquet(self.silver).schema).parquet(self.silver)
+        hours = silver.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(
             F.count("*").alias("events"), F.sum("event_cents").alias("event_cents"))
-        hours.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.gold)
 
-    def hours(self) -> DataFrame:
-        return self.spark.read.parquet(self.gold).select("hour", "event_type", "events", "event_cents")
+        def put(all_hours: DataFrame, batch: int) -> None:  # one row per hour and type; a repeated batch overwrites itself
+            all_hours.withColumn("day", F.to_date("hour")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.gold)
+
+        return hours.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{self.path}/state/gold").trigger(**trigger).start()
+
+    def _sink(self, rows: DataFrame, path: str, name: str, trigger: dict, *by: str) -> StreamingQuery:
+        out = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{self.path}/state/{name}")
+        return (out.partitionBy(*by) if by else out).trigger(**trigger).start()
 
+    def catch_up(self, events: DataFrame) -> None:
+        """Bring all layers up to date with what has come."""
+        both = [self.start_rejected(events), self.start_silver(events)]
+        for q in both:
+            q.awaitTermination()
+        self.start_gold().awaitTermination()
 
-def start_events(events: DataFrame, layers: EventLayers, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Keep both layers up to date from raw events."""
-    return (events.writeStream.foreachBatch(layers.apply).option("checkpointLocation", checkpoint).trigger(**trigger).start())
+    def hours(self) -> DataFrame:
+        return self.spark.read.parquet(self.gold).select("hour", "event_type", "events", "event_cents")
 
 
 # -- Z02: running stock position ----------------------------------------------------------------
