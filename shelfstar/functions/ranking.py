@@ -1,11 +1,11 @@
 """Exact ranks, tiles and percentiles without putting one group into one task.
 
 A plain ``Window.orderBy`` without partitions sorts everything in one task, and the
-exact ``percentile`` aggregate merges all distinct values into one buffer. Here the
-ordered domain is cut at literal boundaries first: rows are counted per block, the block
-offsets are prefix-summed (a table whose size is fixed by the number of boundaries), and
-only the inside of a block is sorted. Each boundary value gets a block of its own, so one
-value that fills a third of the table is isolated and split further by the tie key.
+exact ``percentile`` aggregate merges all distinct values into one buffer. Here the rows
+are range-partitioned by their whole order first, as many ranges as the rows need, and the
+ranges are written down: rows are counted per range, the counts are prefix-summed (one row
+per range), and only the inside of a range is sorted. The tie key is part of the order, so a
+value that fills a third of the table is spread over many ranges.
 """
 
 from __future__ import annotations
@@ -15,34 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 200_000
-MAX_BLOCKS = 2_048
-
-
-def boundaries_of(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantiles of some columns as literal cut points (one job, <= MAX_BLOCKS values each)."""
-    rows = df.count() if rows is None else rows
-    blocks = max(8, min(MAX_BLOCKS, rows // ROWS_PER_BLOCK))
-    cuts = df.approxQuantile(list(columns), [i / blocks for i in range(1, blocks)], 0.25 / blocks)
-    return {c: sorted(set(found)) for c, found in zip(columns, cuts)}
-
-
-def boundaries(df: DataFrame, column: str, rows: int | None = None) -> list[float]:
-    return boundaries_of(df, [column], rows)[column]
+from shelfstar.sources.tables import cut
 
+ROWS_PER_BLOCK = 200_000
 
-def block_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Ordered block number: odd = equal to a cut, even = between two cuts."""
 
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(2 * lo)
-        mid = (lo + hi) // 2
-        return (F.when(value == F.lit(cuts[mid]), F.lit(2 * mid + 1))
-                .when(value < F.lit(cuts[mid]), pick(lo, mid))
-                .otherwise(pick(mid + 1, hi)))
+def in_ranges(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``df`` with ``_b``, the number of its range in the order of some columns; written, so that ranges stay as they are.
 
-    return pick(0, len(cuts))
+    There is a range for every ``ROWS_PER_BLOCK`` of ``rows``; where these are not known, as many as the session shuffles into,
+    coalesced by adaptive execution.
+    """
+    n = [] if rows is None else [max(1, -(-rows // ROWS_PER_BLOCK))]
+    return cut(df.repartitionByRange(*n, *order).withColumn("_b", F.spark_partition_id()), "ranges")
 
 
 def row_number_in_blocks(df: DataFrame, keys: Sequence[str], blocks: Sequence[str],
@@ -59,28 +44,17 @@ def row_number_in_blocks(df: DataFrame, keys: Sequence[str], blocks: Sequence[st
             .drop("_off"))
 
 
-def global_row_number(df: DataFrame, value: str, tie: str, out: str, base: DataFrame | None = None,
-                      rows: int | None = None, cuts: dict[str, list[float]] | None = None) -> DataFrame:
-    """1-based position of each row when the whole table is ordered by (value, tie).
-
-    ``base`` is a table with the same (value, tie) pairs that is cheap to read twice, such as
-    a checkpoint; boundaries and the row count are taken from it, unless ``cuts`` gives the boundaries.
-    """
-    base = df if base is None else base
-    cuts = cuts or boundaries_of(base, [value, tie], rows)
-    b = block_of(F.col(value), cuts[value])
-    blocked = (df.withColumn("_b", b)
-               .withColumn("_t", F.when(F.col("_b") % 2 == 1, block_of(F.col(tie), cuts[tie])).otherwise(F.lit(0))))
-    ranked = row_number_in_blocks(blocked, [], ["_b", "_t"], [F.col(value), F.col(tie)], out)
-    return ranked.drop("_b", "_t")
+def global_row_number(df: DataFrame, value: str, tie: str, out: str, rows: int | None = None) -> DataFrame:
+    """1-based position of each row when the whole table, of ``rows`` rows, is ordered by (value, tie)."""
+    ranged = in_ranges(df, [value, tie], df.count() if rows is None else rows)
+    return row_number_in_blocks(ranged, [], ["_b"], [F.col(value), F.col(tie)], out).drop("_b")
 
 
-def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, base: DataFrame | None = None,
-          rows: int | None = None, cuts: dict[str, list[float]] | None = None) -> DataFrame:
+def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, rows: int | None = None) -> DataFrame:
     """ntile over the whole table; ``tie`` makes the order total."""
-    rows = (df if base is None else base).count() if rows is None else rows
+    rows = df.count() if rows is None else rows
     q, r = divmod(rows, tiles)
-    ranked = global_row_number(df, value, tie, "_rn", base, rows, cuts)
+    ranked = global_row_number(df, value, tie, "_rn", rows)
     zero = F.col("_rn") - 1
     big = r * (q + 1)
     tile = F.when(zero < big, F.floor(zero / (q + 1)) + 1)
@@ -88,12 +62,10 @@ def ntile(df: DataFrame, tiles: int, value: str, tie: str, out: str, base: DataF
     return ranked.withColumn(out, tile.cast("int")).drop("_rn")
 
 
-def value_counts_before(df: DataFrame, value: str, weight: str | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
-    """One row per distinct value with rows (and weight) that sort strictly before it; ``cuts`` as found by ``boundaries``."""
+def value_counts_before(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """One row per distinct value with rows (and weight) that sort strictly before it."""
     sums = [F.count("*").alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
-    hist = df.groupBy(value).agg(*sums)
-    return _prefix(hist.withColumn("_b", block_of(F.col(value), boundaries(hist, value) if cuts is None else cuts)), [], value,
-                   ["_n"] + (["_w"] if weight else []))
+    return _prefix(in_ranges(df.groupBy(value).agg(*sums), [value]), [], value, ["_n"] + (["_w"] if weight else []))
 
 
 def _prefix(hist: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str]) -> DataFrame:
@@ -110,13 +82,13 @@ def _prefix(hist: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str
     return out.drop(*[f"{c}_off" for c in cols], "_b")
 
 
-def percent_rank(df: DataFrame, value: str, out: str, base: DataFrame | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
+def percent_rank(df: DataFrame, value: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """(rows strictly before) / (rows - 1), ties share a rank; rows without a value stay and have none.
 
-    ``base`` as in ``global_row_number``, ``cuts`` as in ``value_counts_before``.
+    ``base`` is a table with the same values that is cheaper to read.
     """
     base = df if base is None else base
-    before = value_counts_before(base.where(F.col(value).isNotNull()), value, cuts=cuts)
+    before = value_counts_before(base.where(F.col(value).isNotNull()), value)
     rank = F.when(F.col("_n_all") > 1, F.col("_n_before") / (F.col("_n_all") - 1)).otherwise(F.lit(0.0))
     return df.join(before.select(value, rank.alias(out)), value, "left")
 
@@ -130,8 +102,7 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], keys:
     """
     keys = list(keys)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    hist = hist.withColumn("_b", block_of(F.col(value), boundaries(hist, value)))
-    ranked = _prefix(hist, keys, value, ["_n"])
+    ranked = _prefix(in_ranges(hist, [*keys, value]), keys, value, ["_n"])
     picks = []
     for name, p in points.items():
         pos = F.lit(float(p)) * (F.col("_n_all") - 1)

@@ -7,14 +7,14 @@ requests), partial fills make the stock a walk reflected at zero:
 
 A return puts back what was allocated to its line, so restocks depend on the walk itself. They
 are known without it wherever requests so far do not exceed the opening stock; a position that
-has returns beyond that point is folded day by day, over day records only. What comes back
-never exceeds what went out, so no stock ever exceeds its opening: in a day, only lines
-with fewer units than that ahead of them can get anything.
+has returns beyond that point is folded over such days only, with the days between them
+composed into one map each. What comes back never exceeds what went out, so no stock ever
+exceeds its opening: in a day, only lines with fewer units than that ahead of them can get anything.
 
 Sale lines are first summed per position and day (partial sums happen before the shuffle),
 so a position that holds a third of all lines reaches the window as at most one row per
 calendar day. Single lines are then allocated inside their day, from the day's own stock;
-a day that holds a third of all lines is dealt over parts first.
+a day of very many lines is dealt over parts first.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ POSITION = ["product_key", "location_key"]
 #: The order of lines within a day, and the parts over which the lines of a day are dealt.
 LINE_ORDER = ["transaction_id", "line_number", "quantity", "net_cents", "discount_cents", "tax_cents", "is_return"]
 PARTS = 256
+#: Lines of a position and day that one window takes, and days that are few enough to be broadcast.
+ALONE, FEW = 1 << 16, 1 << 16
 
 
 def opening_positions(star: Star) -> DataFrame:
@@ -55,11 +57,12 @@ def requested_ledger(star: Star) -> DataFrame:
         F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempt").alias("attempts"))
 
 
-def units_ahead(lines: DataFrame, order: list, quantity: str, limit: Column) -> DataFrame:
+def units_ahead(lines: DataFrame, order: list, quantity: str, limit: Column, counts: DataFrame | None = None) -> DataFrame:
     """Adds ``ahead``: units asked for by earlier lines of the position and day, or null where they reach ``limit``.
 
-    Each day is dealt over parts by a hash of the line. A line with ``limit`` units ahead of it in its own part
-    is settled there; the others, at most ``limit`` of a part, meet in the window of the day. Lines settled
+    ``counts`` has the ``attempts`` of each position and day, counted here if it is not given. Days of at most ``ALONE`` lines
+    are one window each. A larger day is dealt over parts by a hash of the line: a line with ``limit`` units ahead of it in
+    its own part is settled there; the others, at most ``limit`` of a part, meet in the window of the day. Lines settled
     before leave the sums of the others as they are, or at ``limit`` or more.
     """
     def before(*keys) -> Column:
@@ -67,11 +70,19 @@ def units_ahead(lines: DataFrame, order: list, quantity: str, limit: Column) ->
         return F.coalesce(F.sum(quantity).over(run), F.lit(0))
 
     day = [*POSITION, "day"]
+    counts = lines.groupBy(*day).agg(F.count("*").alias("attempts")) if counts is None else counts
+    large = counts.where(F.col("attempts") > ALONE).select(*day)
+    n = large.count()
+    nearest = F.when(F.col("ahead") < limit, F.col("ahead"))
+    if not n:
+        return lines.withColumn("ahead", before(*day)).withColumn("ahead", nearest)
+    large = F.broadcast(large) if n <= FEW else large
+    alone = lines.join(large, day, "left_anti").withColumn("ahead", before(*day))
     part = F.pmod(F.xxhash64(*[c for c in lines.columns if c not in day]), F.lit(PARTS))
-    dealt = lines.withColumn("part", part).repartition(*day, "part").withColumn("ahead", before(*day, "part"))
+    dealt = lines.join(large, day, "left_semi").withColumn("part", part).repartition(*day, "part").withColumn("ahead", before(*day, "part"))
     near = dealt.where(F.col("ahead") < limit).withColumn("ahead", before(*day))
     far = dealt.where(F.col("ahead") >= limit).withColumn("ahead", F.lit(None).cast("long"))
-    return near.withColumn("ahead", F.when(F.col("ahead") < limit, F.col("ahead"))).unionByName(far).drop("part")
+    return alone.unionByName(near.drop("part")).withColumn("ahead", nearest).unionByName(far.drop("part"))
 
 
 def sale_days(star: Star, *keys: DataFrame) -> DataFrame:
@@ -95,43 +106,74 @@ def sale_days(star: Star, *keys: DataFrame) -> DataFrame:
     return days.withColumn("is_short", short).withColumn("is_open", F.max("is_short").over(p))
 
 
-def folded_returns(star: Star, days: DataFrame) -> DataFrame:
-    """Restocks of the open positions, from one fold per position over its days (at most one record per calendar day).
+def stretches(star: Star, days: DataFrame) -> DataFrame:
+    """The histories of open positions as few records: a short day each, and the days between them as composed maps.
+
+    A day takes the stock x to max(0, x + restock - request). Such maps compose: days in a row take x to max(floor, x + net), with
+    net the sum of their changes and floor = net - the least running sum (at most 0). What a short day's returns give back
+    is not known before the walk and falls due up to the longest delay later, so days that near are records of their own; all later
+    ones up to the next short day are one. Days that are not short give back all that their returns asked for.
 
-    Days that are not short give back all that their returns asked for. A short day carries its return lines with the
-    units ahead of them; lines with the whole opening stock ahead of them get nothing and are left out.
+    Columns: position, ``first`` (day), ``is_short``, ``restock`` (known) and ``request`` of a short day, ``net``, ``floor``, and
+    ``asked``: a short day's return lines with the units ahead of them; lines with the whole opening stock ahead get nothing.
     """
     lo, hi = star.config.return_delay_days
-    zero, day = F.lit(0).cast("long"), [*POSITION, "day"]
-    short = days.where("is_short").select(*day)
-    lines = star.lines().select(*day, *LINE_ORDER).join(short, day, "left_semi")
-    asked = (units_ahead(lines, LINE_ORDER, "quantity", F.expr(OPENING)).where("is_return and ahead is not null")
-             .groupBy(*day).agg(F.collect_list(F.struct("ahead", F.col("quantity").cast("long").alias("quantity"), return_delay(
-                 F.col("transaction_id"), (lo, hi)).alias("delay"))).alias("asked")))
-    record = F.struct("day", "request", "is_short", "back", "asked")
-    histories = (days.where("is_open").join(asked, day, "left").groupBy(*POSITION)
-                 .agg(F.sort_array(F.collect_list(record)).alias("days")))
+    zero, none, day = F.lit(0).cast("long"), F.lit(None), [*POSITION, "day"]
+    short = days.where("is_short").select(*day, "attempts")
+    lines = star.lines().select(*day, *LINE_ORDER).join(short.drop("attempts"), day, "left_semi")
+    line = F.struct("ahead", F.col("quantity").cast("long").alias("quantity"), return_delay(F.col("transaction_id"), (lo, hi)).alias("delay"))
+    asked = (units_ahead(lines, LINE_ORDER, "quantity", F.expr(OPENING), short).where("is_return and ahead is not null and quantity > 0")
+             .select(*day, zero.alias("restock"), zero.alias("request"), F.lit(False).alias("is_short"), line.alias("line")))
+    no_line = none.cast(asked.schema["line"].dataType)
+    own = F.struct("day", zero.alias("restock"), "request", "is_short")
+    backs = [F.struct(F.date_add("day", k).alias("day"), F.col("back")[k - lo].alias("restock"), zero.alias("request"), F.lit(False).alias("is_short"))
+             for k in range(lo, hi + 1)]
+    full = F.filter(F.array(*backs), lambda x: ~F.col("is_short") & (x["restock"] > 0))
+    known = days.where("is_open").select(*POSITION, F.inline(F.concat(F.array(own), full))).withColumn("line", no_line)
+    per_day = (known.unionByName(asked).repartition(*POSITION).groupBy(*day)  # at most a few rows per position and day, and the lines asked
+               .agg(F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.max("is_short").alias("is_short"), F.collect_list("line").alias("asked")))
+    run = Window.partitionBy(*POSITION).orderBy("day")
+    last = F.max(F.when(F.col("is_short"), F.col("day"))).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("is_short") | (F.datediff("day", last) <= hi)  # null before the first short day
+    marked = per_day.withColumn("apart", F.coalesce(apart, F.lit(False)))
+    begins = F.col("apart") | F.coalesce(F.lag("apart").over(run), F.lit(True))
+    rows = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = (marked.withColumn("stretch", F.sum(F.when(begins, 1).otherwise(0)).over(rows))
+              .withColumn("level", F.sum(F.col("restock") - F.col("request")).over(rows)))
+    net = F.sum(F.col("restock") - F.col("request"))
+    return marked.groupBy(*POSITION, "stretch").agg(
+        F.min("day").alias("first"), F.max("is_short").alias("is_short"), F.sum("restock").alias("restock"), F.sum("request").alias("request"),
+        net.alias("net"), (F.max_by("level", "day") - F.min("level")).alias("floor"), F.flatten(F.collect_list("asked")).alias("asked"))
+
+
+def folded_returns(star: Star, days: DataFrame) -> DataFrame:
+    """Restocks of the open positions by their short days, from one fold per position over its ``stretches``."""
+    lo, hi = star.config.return_delay_days
+    zero = F.lit(0).cast("long")
+    record = F.struct("first", "is_short", "restock", "request", "net", "floor", "asked")
+    histories = stretches(star, days).groupBy(*POSITION).agg(F.sort_array(F.collect_list(record)).alias("records"))
 
     def total(steps: Column, units) -> Column:
         return F.coalesce(F.aggregate(steps, zero, lambda a, x: a + units(x)), zero)
 
-    def one_day(state: Column, d: Column) -> Column:
-        start = state["stock"] + total(F.filter(state["due"], lambda x: x["day"] <= d["day"]), lambda x: x["restock"])
+    def one(state: Column, r: Column) -> Column:
+        start = state["stock"] + total(F.filter(state["due"], lambda x: x["day"] <= r["first"]), lambda x: x["restock"])
 
         def back(k: int) -> Column:
-            got = total(F.filter(d["asked"], lambda r: r["delay"] == k),
-                        lambda r: F.least(r["quantity"], F.greatest(zero, start - r["ahead"])))
-            units = F.when(d["is_short"], got).otherwise(d["back"][k - lo])
-            return F.struct(F.date_add(d["day"], k).alias("day"), units.alias("restock"))
+            units = total(F.filter(r["asked"], lambda x: x["delay"] == k),
+                          lambda x: F.least(x["quantity"], F.greatest(zero, start + r["restock"] - x["ahead"])))
+            return F.struct(F.date_add(r["first"], k).alias("day"), units.alias("restock"))
 
-        new = F.filter(F.array(*[back(k) for k in range(lo, hi + 1)]), lambda x: x["restock"] > 0)
-        later = F.filter(state["due"], lambda x: x["day"] > d["day"])
-        return F.struct(F.greatest(zero, start - d["request"]).alias("stock"), F.concat(later, new).alias("due"),
-                        F.concat(state["all"], new).alias("all"))
+        new = F.when(r["is_short"], F.filter(F.array(*[back(k) for k in range(lo, hi + 1)]), lambda x: x["restock"] > 0)).otherwise(none)
+        later = F.filter(state["due"], lambda x: x["day"] > r["first"])
+        return F.struct(F.greatest(r["floor"], start + r["net"]).alias("stock"), F.concat(later, new).alias("due"), F.concat(state["all"], new).alias("all"))
 
     none = F.array().cast("array<struct<day:date,restock:bigint>>")
     begin = F.struct(F.expr(OPENING).alias("stock"), none.alias("due"), none.alias("all"))
-    return histories.select(*POSITION, F.inline(F.aggregate("days", begin, one_day, lambda state: state["all"])))
+    back = histories.select(*POSITION, F.inline(F.aggregate("records", begin, one, lambda state: state["all"])))
+    full = F.filter(F.array(*[F.struct(F.date_add("day", k).alias("day"), F.col("back")[k - lo].alias("restock")) for k in range(lo, hi + 1)]),
+                    lambda x: x["restock"] > 0)
+    return back.unionByName(days.where("is_open and not is_short").select(*POSITION, F.inline(full)))
 
 
 def daily_ledger(star: Star, probes: DataFrame | None = None, keys: Sequence[DataFrame] = ()) -> DataFrame:
@@ -158,7 +200,8 @@ def daily_ledger(star: Star, probes: DataFrame | None = None, keys: Sequence[Dat
     ledger = ledger.unionByName(returns.select(*POSITION, "day", "restock", *none))
     if wanted is not None:
         ledger = ledger.unionByName(wanted.select(*POSITION, "day", zero.alias("restock"), *none))
-    return ledger.groupBy(*POSITION, "day").agg(
+    # A few rows per position and day are left, so one exchange by position serves the sums and all windows over positions.
+    return ledger.repartition(*POSITION).groupBy(*POSITION, "day").agg(
         F.sum("restock").alias("restock"), F.sum("request").alias("request"), F.sum("attempts").alias("attempts"))
 
 
@@ -193,7 +236,7 @@ def stock_as_of(star: Star, probes: DataFrame) -> DataFrame:
 def allocations(star: Star) -> DataFrame:
     """Units given to each line, in order of (transaction, line) within its day."""
     days = stock_walk(star).where(F.col("attempts") > 0).select(*POSITION, "day", "stock_start")
-    lines = units_ahead(star.lines(), LINE_ORDER, "quantity", F.expr(OPENING))
+    lines = units_ahead(star.lines(), LINE_ORDER, "quantity", F.expr(OPENING), star.cut("sale_days", lambda: sale_days(star)))
     left = F.greatest(F.lit(0).cast("long"), F.col("stock_start") - F.col("ahead"))
     near = lines.where("ahead is not null").join(days, [*POSITION, "day"]).withColumn("stock_before", left).drop("stock_start")
     far = lines.where("ahead is null").withColumn("stock_before", F.lit(0).cast("long"))

@@ -9,12 +9,12 @@ from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
 from shelfstar.functions.exprs import money, steady_avg, sum_long
 from shelfstar.functions.exprs import steady_avg_sql as steady
-from shelfstar.functions.ranking import boundaries_of, exact_percentiles, ntile
+from shelfstar.functions.ranking import exact_percentiles, ntile
 from shelfstar.operators import facts
 from shelfstar.plans.metric_views import LOYALTY, count_if, customer_segmentation
 from shelfstar.plans.registry import query, report
 from shelfstar.plans.report import Report, for_check
-from shelfstar.sources.tables import reliable_checkpoint
+from shelfstar.sources.tables import cut as written
 from shelfstar.star import Star
 
 AVG_CENTS = "(avg({}) / 1e2)"
@@ -159,12 +159,10 @@ def rfm_scores(star: Star) -> DataFrame:
     c = star.sales().where(~F.col("is_return")).groupBy("customer_key").agg(
         F.countDistinct("transaction_id").alias("frequency"), (-F.datediff(F.lit(star.as_of), F.max("day"))).alias("freshness"),
         F.sum("net_cents").alias("monetary"), F.when(n > 1, span / F.nullif(n - 1, F.lit(0))).alias("cycle"))
-    base = reliable_checkpoint(c)
-    rows, c = base.count(), base
-    scores = {"freshness": "r_score", "frequency": "f_score", "monetary": "m_score"}
-    cuts = boundaries_of(base, [*scores, "customer_key"], rows)
-    for value, score in scores.items():
-        c = ntile(c, 5, value, "customer_key", score, base, rows, cuts)
+    c = written(c, "customers")
+    rows = c.count()
+    for value, score in {"freshness": "r_score", "frequency": "f_score", "monetary": "m_score"}.items():
+        c = ntile(c, 5, value, "customer_key", score, rows)
     return c.groupBy(F.expr(RFM_LABEL).alias("rfm_segment")).agg(
         F.count("*").alias("customer_count"), F.avg("frequency").alias("avg_frequency"),
         F.avg(-F.col("freshness")).alias("avg_recency_days"), (F.avg("monetary") / 100.0).alias("avg_monetary"),

@@ -11,14 +11,14 @@ from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
 from shelfstar.functions.exprs import money, stddev_sql, steady_avg, sum_long
 from shelfstar.functions.exprs import steady_avg_sql as steady
-from shelfstar.functions.ranking import boundaries_of, percent_rank
+from shelfstar.functions.ranking import percent_rank
 from shelfstar.operators import facts, ledger
 from shelfstar.operators.calendar import HOLIDAYS
 from shelfstar.plans.customer import pct
 from shelfstar.plans.metric_views import ACTIVE, COST, DUE, RETAIL, count_if
 from shelfstar.plans.registry import query, report
 from shelfstar.plans.report import Report, for_check, relation
-from shelfstar.sources.tables import reliable_checkpoint
+from shelfstar.sources.tables import cut
 from shelfstar.star import Star
 
 NAMES = {"product_name": "product_name", "location_name": "location_name"}
@@ -86,11 +86,10 @@ def abc_classification(star: Star) -> DataFrame:
                     (F.col("u") * F.col("unit_cost_cents") * times).alias("cost"), (F.col("u") * times).alias("units")))
     base = base.withColumn("turns", F.when(F.col("cost") > 0, F.col("rev") * 365.0 / F.nullif(90 * F.col("cost"), zero)).otherwise(F.lit(0.0)))
     base = base.withColumn("velocity", F.when(F.col("units") > 0, F.col("sold") * 365.0 / F.nullif(90 * F.col("units"), zero)).otherwise(F.lit(0.0)))
-    base = reliable_checkpoint(base.select("*", *[(-F.col(c)).alias(f"_{c}") for c in ("rev", "cost", "turns")]))
-    cuts = boundaries_of(base, ["_rev", "_cost", "_turns"])
+    base = cut(base.select("*", *[(-F.col(c)).alias(f"_{c}") for c in ("rev", "cost", "turns")]), "products")
     ranked = base
     for name, out in (("_rev", "rp"), ("_cost", "ip"), ("_turns", "tp")):
-        ranked = percent_rank(ranked, name, out, base, cuts[name])
+        ranked = percent_rank(ranked, name, out, base)
     total = base.agg(F.sum("rev").alias("rev"), F.sum("cost").alias("cost")).first()
     return ranked.groupBy(*[F.expr(e).alias(n) for e, n in zip(_ABC, ("abc_revenue_class", "velocity_class", "investment_class"))]).agg(
         F.count("*").alias("product_count"), (F.sum("rev") / 100.0).alias("total_revenue"), (F.sum("cost") / 100.0).alias("total_investment"),

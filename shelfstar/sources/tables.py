@@ -46,6 +46,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it again: later readers take only the columns they need, and know its size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, path: str, cols: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """Scan with the filter and the projection inside the scan."""
     df = spark.read.parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfstar.config import Config
 from shelfstar.functions.exprs import date_key, truncated_cents
-from shelfstar.sources.tables import StageLog, reliable_checkpoint
+from shelfstar.sources.tables import StageLog, cut
 
 # The eight sales channels.
 CHANNELS = [
@@ -115,7 +115,7 @@ class Star:
         if self.has(name):
             return self.written(name)
         if name not in self._cuts:
-            self._cuts[name] = reliable_checkpoint(build())
+            self._cuts[name] = cut(build(), name)
         return self._cuts[name]
 
     @cached_property

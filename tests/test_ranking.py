@@ -56,6 +56,17 @@ def test_percent_rank(frame):
     assert got == pytest.approx(dict(zip(pdf["id"], want)))
 
 
+def test_as_many_ranges_as_the_rows_need(spark, monkeypatch):
+    """No cap: with few rows to a range there are thousands of ranges, also inside one value that all rows share."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(ranking, "ROWS_PER_BLOCK", 2)
+    df = spark.range(5000).select("id", F.lit(7).alias("v"))
+    ranged = ranking.in_ranges(df, ["v", "id"], 5000)
+    assert ranged.groupBy("_b").count().agg(F.max("count"), F.count("*")).first()[1] > 2100
+    got = ranking.row_number_in_blocks(ranged, [], ["_b"], [F.col("v"), F.col("id")], "n")
+    assert got.where("n <> id + 1").count() == 0 and got.count() == 5000
+
+
 def test_rank_within_a_key_over_blocks(spark):
     from pyspark.sql import functions as F
     rows = [(1, s, i) for i, s in enumerate([3, 3, 1, 2, 3, 1])] + [(2, 9, 0)]
