@@ -8,6 +8,7 @@ to those who link. A host whose share of distrust passes a threshold is blocked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,14 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """(host, trust, distrust) from seeds (host, s_trust, s_distrust; each sums to 1) over edges (src, dst, weight).
 
     Each round is one join and one sum: an edge carries trust from src to dst, by its share of what src links
     to, and distrust from dst to src, by its share of what links to dst. Hosts without links keep what they
-    have; a round starts from a reliable checkpoint. Repeated edges add up; an empty table of edges leaves
-    the seeds.
+    have; a round starts from a reliable checkpoint. Rounds go on until no host is newly reached and no value changes by more
+    than ``tolerance`` of itself, which damping brings about (or for exactly ``rounds``, if given). Repeated edges add up; an
+    empty table of edges leaves the seeds.
     """
     edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     leaving = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -78,16 +80,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -
     now = start.select("host", ((1 - damping) * F.col("s_trust")).alias("trust"), ((1 - damping) * F.col("s_distrust")).alias("distrust"))
     if ways.isEmpty():
         return now
-    for _ in range(rounds):
+    moved = F.lit(False)
+    for c in ("trust", "distrust"):  # a value of 0 that becomes positive is a host newly reached
+        moved = moved | (F.abs(F.col(c) - F.col(f"old_{c}")) > tolerance * F.col(c))
+    for done in count(1):
         sent = (ways.join(now, F.col("a") == F.col("host")).groupBy(F.col("b").alias("h"))
                 .agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wd") * F.col("distrust")).alias("d")))
-        now = reliable_checkpoint(start.join(sent, F.col("host") == F.col("h"), "left").select(
+        old = now.select(F.col("host").alias("old"), F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+        both = reliable_checkpoint(start.join(sent, F.col("host") == F.col("h"), "left").join(old, F.col("host") == F.col("old")).select(
             "host", ((1 - damping) * F.col("s_trust") + damping * F.coalesce("t", none)).alias("trust"),
-            ((1 - damping) * F.col("s_distrust") + damping * F.coalesce("d", none)).alias("distrust")))
-    return now
+            ((1 - damping) * F.col("s_distrust") + damping * F.coalesce("d", none)).alias("distrust"), "old_trust", "old_distrust"))
+        now = both.select("host", "trust", "distrust")
+        if done == rounds or (rounds is None and both.where(moved).isEmpty()):
+            return now
 
 
-def judge(pages: DataFrame, rules: list[Rule], extra_edges: DataFrame | None = None, rounds: int = 10, damping: float = 0.85,
+def judge(pages: DataFrame, rules: list[Rule], extra_edges: DataFrame | None = None, rounds: int | None = None, damping: float = 0.85,
           threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 

@@ -93,6 +93,23 @@ def test_trust_and_distrust_follow_links(spark):
     assert got["friend.net"]["trust"] == pytest.approx(0.15 * 0.85) and got["farm.net"]["distrust"] == pytest.approx(0.15 * 0.85**2)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain_as_in_the_check(spark, tmp_path):
+    """Up to fifteen links from a blocked page, without a limit on rounds."""
+    import duckdb
+
+    from shelfstar.llm.queries import CHECKS, RULES
+    link = '<a href="https://{}/x">'
+    pages = [(0, "http://example.org/es/1", "")] + [(i, f"http://h{i}.net/", link.format(f"h{i - 1}.net" if i > 1 else "example.org")) for i in range(1, 16)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = {r[0]: r[4] for r in con.execute(CHECKS["op8_url_trust"]).fetchall()}
+    got = {r["page_id"]: r for r in url_filter.judge(df, RULES).collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == want and set(want.values()) == {"block"}
+    assert got[15]["distrust"] == pytest.approx(0.15 * 0.85 ** 15)
+
+
 def test_propagation_equals_a_plain_loop(spark):
     rng = np.random.default_rng(2)
     edges = [(f"h{a}", f"h{b}", float(w)) for a, b, w in rng.integers(0, 12, (40, 3)) if a != b]
