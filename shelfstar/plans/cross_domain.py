@@ -22,6 +22,7 @@ from shelfstar.plans.registry import query, report
 from shelfstar.plans.report import Report, for_check
 from shelfstar.star import Star
 
+# Published bands and labels.
 COVER = ("case when avg_days_supply < 7 then 'CRITICAL - Stockout Risk' when avg_days_supply < 14 then 'WARNING - Low Coverage' else 'OK' end")
 
 

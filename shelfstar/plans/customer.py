@@ -135,6 +135,7 @@ def channel_journey(star: Star) -> DataFrame:
             .where("lines > 5").drop("lines"))
 
 
+# Published bands and labels.
 RFM_LABEL = """case when r_score >= 4 and f_score >= 4 and m_score >= 4 then 'Champions'
     when r_score >= 3 and f_score >= 3 and m_score >= 4 then 'Loyal Customers'
     when r_score >= 3 and f_score <= 2 and m_score >= 3 then 'Potential Loyalists'
@@ -272,6 +273,7 @@ def personalization_effect(star: Star) -> DataFrame:
         half_up(steady_avg(F.col("impact")), 2).alias("predicted_cltv_impact"))
 
 
+# Published bands and labels.
 DIVERSITY = ("case when l2 >= 5 then 'Highly Diverse' when l2 >= 3 then 'Moderately Diverse' when l2 = 2 then 'Limited Diversity' "
              "else 'Single Category' end")
 
@@ -323,6 +325,7 @@ def cohort_retention(star: Star) -> DataFrame:
                          half_up(F.col("cents") / 100.0 / F.nullif("active_customers", F.lit(0)), 2).alias("revenue_per_customer"))
 
 
+# Published bands and labels.
 STATUS = ("case when idle <= 30 then 'Active' when idle <= 90 then 'Cooling' when idle <= 180 then 'At Risk' "
           "when idle <= 365 then 'Dormant' else 'Lost' end")
 
@@ -444,6 +447,7 @@ report("Q25_targeting_impact", Report("affinity customer", BY_SEGMENT, {
     "targeted_customers": "count(distinct customer_key)", "total_predicted_cltv_impact": money("predicted_cents"),
     "avg_predicted_cltv_impact": IMPACT, "current_avg_cltv": LTV}, "is_current and score_pct > 5"))
 
+# Published bands and labels.
 RISK = ("case when low_inventory_abandonments > 10 and recent_demand > 100 then 'Stockout Risk' when recent_demand < 10 "
         "then 'Overstock Risk' else 'Normal' end")
 

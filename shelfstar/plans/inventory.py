@@ -52,6 +52,7 @@ def band(name: str, high: str, mid: str, low: str) -> str:
     return f"case when {name} >= 0.8e0 then '{high}' when {name} >= 0.5e0 then '{mid}' else '{low}' end"
 
 
+# Published bands and labels.
 _ABC = [band("rp", "A - High Revenue", "B - Medium Revenue", "C - Low Revenue"), band("tp", "Fast Moving", "Medium Moving", "Slow Moving"),
         band("ip", "High Investment", "Medium Investment", "Low Investment")]
 
@@ -282,10 +283,12 @@ report("I07_forecast_accuracy", Report(
      "directional_accuracy_pct": r(f"{count_if('(forecast_quantity > 0) = (actual_quantity > 0)')} * 1e2 / count(*)", 1)},
     "actual_quantity is not null", since=90, having="forecasts_with_actuals >= 5"))
 
+# Published bands and labels.
 RISK = ("case when is_stockout then 'CRITICAL - Stockout' when quantity_available <= reorder_point then 'HIGH - Below Reorder Point' "
         "when days_of_supply <= 7 then 'MEDIUM - Low Stock' when is_overstock then 'LOW - Overstock' else 'NORMAL' end")
 _ORDER = ("case when quantity_available <= reorder_point and coalesce(velocity, 0) > 0 then reorder_quantity when is_stockout "
           "then greatest(reorder_quantity, coalesce(demand, 0) * 2) else 0 end")
+# Published bands and labels.
 _TREND = ("case when coalesce(u7, 0) * 428 > coalesce(u30, 0) * 120 then 'ACCELERATING' when coalesce(u7, 0) * 428 < coalesce(u30, 0) * 80 "
           "then 'DECELERATING' else 'STABLE' end")
 _PLAN_COLS = f"""product_name, location_name, location_type, region, category_level_2, quantity_on_hand, quantity_available, quantity_in_transit,
@@ -389,9 +392,11 @@ def stockout_impact(star: Star) -> DataFrame:
 
 
 _EOL = "case when end_of_life_date is not null then DAYS(end_of_life_date, {asof}) end"
+# Published bands and labels.
 _PRIORITY = ("case when days_until_eol <= 30 then 'URGENT - EOL Soon' when units_sold_30d = 0 then 'HIGH - No Sales 30d' "
              "when days_of_supply > 90 then 'HIGH - Excess Stock' when units_sold_7d = 0 and u14 > 0 then 'MEDIUM - Slowing' "
              "when is_overstock then 'MEDIUM - Overstock' else 'LOW' end")
+# Published bands and labels.
 _PRICE = ("price_cents * case when days_until_eol <= 30 then 40 when units_sold_30d = 0 then 50 when days_of_supply > 90 then 60 "
           "else 70 end / 1e4")
 _QTY = "case when velocity > 0 then least(quantity_on_hand * 5e-1, velocity * 14) else quantity_on_hand * 3e-1 end"

@@ -11,6 +11,7 @@ from shelfstar.star import SEASON_OF_DAY as SEASON
 ACTIVE = "location_active and product_active"
 COST, RETAIL = "quantity_on_hand * unit_cost_cents", "quantity_on_hand * price_cents"
 CATEGORY = {"location_name": "location_name", "region": "region", "product_category": "category_level_1"}
+# Published bands and labels.
 PEAK = "case when month(day) in (11, 12, 3, 4) then 'Peak Season' else 'Regular Season' end"
 CALENDAR = {"calendar_date": "day", "month_name": "MONTHNAME(day)", "year": "year(day)"}
 
@@ -125,6 +126,7 @@ customer_segmentation = MetricView(
      "total_lifetime_value": money("ltv_cents"), "min_lifetime_value": "(min(ltv_cents) / 1e2)",
      "max_lifetime_value": "(max(ltv_cents) / 1e2)"}, "is_current")
 
+# Published bands and labels.
 LOYALTY = ("case when recency_days > 90 and frequency < 3 then 'At Risk' "
            "when recency_days <= 30 and frequency >= 5 and monetary_cents > 100000 then 'Champion' "
            "when recency_days <= 60 and frequency >= 3 then 'Loyal' else 'Regular' end")
@@ -143,6 +145,7 @@ purchase_summary = MetricView(
     {"segment": "segment", "channel_name": "channel_name", "month_name": "MONTHNAME(day)", "year": "year(day)", "calendar_date": "day"},
     {**ORDERS, "transactions_per_customer": PER_CUSTOMER}, "is_current and not is_return")
 
+# Published bands and labels.
 LEVEL = "case when score_pct >= 70 then 'High Affinity' when score_pct >= 40 then 'Medium Affinity' else 'Low Affinity' end"
 SCORE = "(avg(score_pct) / 1e2)"
 product_affinity = MetricView(
@@ -159,6 +162,7 @@ channel_behavior = MetricView(
     {"channel_name": "channel_name", "segment": "segment", "digital": "case when is_digital then 'Digital' else 'Physical' end"},
     {**ORDERS, "transactions_per_customer": PER_CUSTOMER}, "is_current and not is_return")
 
+# Published bands and labels.
 MOVED = "case when acquisition_channel = preferred_channel then 'Same Channel' else 'Migrated' end"
 channel_migration = MetricView(
     "customer",
