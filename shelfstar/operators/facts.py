@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfstar.config import (DIGITAL_RETURN_FACTOR, MONTH_FACTOR, SEGMENT_RULES, STORE_RETURN_FACTOR)
+from shelfstar.functions.distinct import grouped
 from shelfstar.functions.exprs import date_key
 from shelfstar.functions.ranking import row_number_in_blocks
 from shelfstar.operators import ledger
@@ -125,11 +126,10 @@ def ranked_affinity(star: Star) -> DataFrame:
 def channel_performance(star: Star) -> DataFrame:
     """Sales and traffic per channel and day."""
     keys = ["channel_key", "day"]
-    s = star.sales().groupBy(*keys).agg(
-        F.countDistinct("customer_key").alias("uc"), F.countDistinct("transaction_id").alias("tc"),
-        F.sum("net_cents").alias("rev"), F.count("*").alias("n"), F.sum(F.col("is_return").cast("long")).alias("ret"))
-    t = star.events().groupBy(*keys).agg(
-        F.countDistinct("session_id").alias("sc"), F.countDistinct("customer_key").alias("vc"))
+    by = {k: F.col(k) for k in keys}
+    s = grouped(star.sales(), by, {"uc": "count(distinct customer_key)", "tc": "count(distinct transaction_id)", "rev": "sum(net_cents)",
+                                   "n": "count(*)", "ret": "sum(cast(is_return as bigint))"})
+    t = grouped(star.events(), by, {"sc": "count(distinct session_id)", "vc": "count(distinct customer_key)"})
     z = F.lit(0).cast("long")
 
     def share(a: str, b: str):

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfstar.functions.distinct import grouped
 from shelfstar.functions.exprs import half_up
 from shelfstar.functions.exprs import half_up_sql as r
 from shelfstar.functions.exprs import money, stddev_sql, steady_avg, sum_long
@@ -218,9 +219,8 @@ def location_performance(star: Star) -> DataFrame:
         F.countDistinct("product_key").alias("products"), F.sum("quantity_on_hand").alias("units"), F.sum("quantity_available").alias("avail"),
         F.sum(F.expr(COST)).alias("cost"), F.sum(F.expr(RETAIL)).alias("retail"), F.count(F.when(F.col("is_stockout"), 1)).alias("outs"),
         F.count(F.when(F.col("is_overstock"), 1)).alias("overs"), F.avg("days_of_supply").alias("supply")))
-    s = star.sales(star.days_back(30)).where(~F.col("is_return")).groupBy("location_key").agg(
-        F.countDistinct("transaction_id").alias("txns"), F.sum("net_cents").alias("rev"), F.sum("quantity").alias("sold"),
-        F.countDistinct("customer_key").alias("people"))
+    s = grouped(star.sales(star.days_back(30)).where(~F.col("is_return")), {"location_key": F.col("location_key")}, {
+        "txns": "count(distinct transaction_id)", "rev": "sum(net_cents)", "sold": "sum(quantity)", "people": "count(distinct customer_key)"})
     to, src, q = F.col("to_location_key"), F.col("from_location_key"), F.col("quantity")
     m = (ledger.movements(star, star.days_back(30))
          .groupBy(F.coalesce(to, src).alias("location_key")).agg(

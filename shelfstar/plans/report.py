@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfstar.functions.distinct import grouped
 from shelfstar.operators import facts, ledger
 from shelfstar.star import Star
 
@@ -150,7 +151,7 @@ class Report:
         if self.where:
             df = df.where(e(self.where))
         if self.agg:
-            df = df.groupBy(*[e(x).alias(n) for n, x in self.by.items()]).agg(*[e(x).alias(n) for n, x in self.agg.items()])
+            df = grouped(df, {n: e(x) for n, x in self.by.items()}, self.agg, e)
         else:
             df = df.select(*[e(x).alias(n) for n, x in self.by.items()])
         if self.having:
