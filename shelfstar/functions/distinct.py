@@ -70,14 +70,12 @@ def nest_key(measures: list[str], columns: list[str]) -> str | None:
     return None
 
 
-def nested(df: DataFrame, by: dict[str, Column], agg: dict[str, str], key: str,
-           expr: Callable[[str], Column] = F.expr) -> DataFrame:
-    """``df.groupBy(by).agg(agg)``, grouped by ``by`` and ``key`` first. Rows without a key form one inner group,
-    which counts for all measures but the distinct count of the key."""
-    inner: dict[tuple[str, str], str] = {}
+def split(agg: dict[str, str], key: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Measures as text of the inner grouping (with ``key``) and of the outer one, where the key is named ``_key``."""
+    inner: dict[str, str] = {}
 
     def part(fn: str, arg: str) -> str:
-        return inner.setdefault((fn, arg), f"_p{len(inner)}")
+        return inner.setdefault(f"{fn}({arg})", f"_p{len(inner)}")
 
     def outer(fn: str, arg: str) -> str:
         if fn == "count" and arg.lower().startswith("distinct"):
@@ -98,10 +96,17 @@ def nested(df: DataFrame, by: dict[str, Column], agg: dict[str, str], key: str,
         return out + text[at:]
 
     outers = {name: rewrite(text) for name, text in agg.items()}
-    parts = [expr(f"{fn}({arg})").alias(name) for (fn, arg), name in inner.items()]
+    return {name: text for text, name in inner.items()}, outers
+
+
+def nested(df: DataFrame, by: dict[str, Column], agg: dict[str, str], key: str,
+           expr: Callable[[str], Column] = F.expr) -> DataFrame:
+    """``df.groupBy(by).agg(agg)``, grouped by ``by`` and ``key`` first. Rows without a key form one inner group,
+    which counts for all measures but the distinct count of the key."""
+    inner, outer = split(agg, key)
     keyed = df.groupBy(*[c.alias(n) for n, c in by.items()], F.col(key).alias("_key"))
-    rows = keyed.agg(*parts) if parts else keyed.agg(F.lit(1).alias("_one"))
-    return rows.groupBy(*by).agg(*[F.expr(text).alias(name) for name, text in outers.items()])
+    rows = keyed.agg(*[expr(text).alias(name) for name, text in inner.items()] or [F.lit(1).alias("_one")])
+    return rows.groupBy(*by).agg(*[F.expr(text).alias(name) for name, text in outer.items()])
 
 
 def grouped(df: DataFrame, by: dict[str, Column], agg: dict[str, str], expr: Callable[[str], Column] = F.expr) -> DataFrame:

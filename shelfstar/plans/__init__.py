@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["metric_views", "customer", "inventory", "cross_domain", "jobs", "contracts", "text", "streams"]
+MODULES = ["metric_views", "sql_layer", "customer", "inventory", "cross_domain", "jobs", "contracts", "text", "streams"]
 
 
 def load_all() -> None:
