@@ -351,6 +351,42 @@ def snapshot_diff(star: Star) -> DataFrame:
     return tables.snapshot_diff(c.where("c_custkey % 19 <> 0"), c.where("c_custkey % 17 <> 0").withColumn("c_mktsegment", moved), ["c_custkey"])
 
 
+def _order_versions(star: Star) -> tuple[DataFrame, DataFrame]:
+    """Orders before and after a load that touched one month."""
+    o = star.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"))
+    k, month = F.col("o_orderkey"), F.col("o_orderdate").between("1996-03-01", "1996-03-31")
+    old = o.where(~(month & (k % 11 == 0)))
+    status = F.when(month & (k % 5 == 0), "X").otherwise(F.col("o_orderstatus"))
+    return old, o.where(~(month & (k % 7 == 0))).withColumn("o_orderstatus", status)
+
+
+_VERSIONS = """with o as (select o_orderkey, o_custkey, o_orderstatus, cast(o_orderdate as date) as o_orderdate,
+      cast(o_orderdate as date) between date '1996-03-01' and date '1996-03-31' as m from orders),
+    a as (select * from o where not (m and o_orderkey % 11 = 0)),
+    b as (select o_orderkey, o_custkey, case when m and o_orderkey % 5 = 0 then 'X' else o_orderstatus end as o_orderstatus, o_orderdate
+      from o where not (m and o_orderkey % 7 = 0))"""
+
+
+@query("T11_change_feed", _VERSIONS + """ select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey,
+      case when a.o_orderkey is null then 'insert' when b.o_orderkey is null then 'delete' else 'update' end as change_type,
+      coalesce(b.o_custkey, a.o_custkey) as o_custkey, coalesce(b.o_orderstatus, a.o_orderstatus) as o_orderstatus,
+      coalesce(b.o_orderdate, a.o_orderdate) as o_orderdate
+    from a full outer join b on a.o_orderkey = b.o_orderkey
+    where a.o_orderkey is null or b.o_orderkey is null or a.o_orderstatus <> b.o_orderstatus""")
+def change_feed(star: Star) -> DataFrame:
+    """Change feed by month: only months whose sums differ are joined row by row."""
+    old, new = _order_versions(star)
+    return tables.change_feed(old, new, ["o_orderkey"], F.trunc("o_orderdate", "MM"))
+
+
+@query("T11_changed_months", _VERSIONS + """ select distinct date_trunc('month', coalesce(b.o_orderdate, a.o_orderdate))::date as part
+    from a full outer join b on a.o_orderkey = b.o_orderkey
+    where a.o_orderkey is null or b.o_orderkey is null or a.o_orderstatus <> b.o_orderstatus""")
+def changed_months(star: Star) -> DataFrame:
+    """Months to refresh: one aggregate a side."""
+    return tables.parts_changed(*_order_versions(star), F.trunc("o_orderdate", "MM"))
+
+
 @query("T12_count_check", """
     with e as (select 'customer' as t, count(distinct o_custkey) as n from orders union all select 'part', count(distinct l_partkey) from lineitem
       union all select 'orders', count(distinct l_orderkey) from lineitem union all select 'labels', count(*) from documents union all select 'missing', count(*) from pages),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfstar.config import Config
 from shelfstar.sources import tables
+from shelfstar.sources.tables import change_feed, parts_changed, snapshot_diff
 
 
 def test_write_load_and_report(spark, tmp_path):
@@ -107,3 +108,43 @@ def test_stage_log_keeps_order_and_whole_messages(spark, tmp_path):
         log.mark("a", status, text)
     r = log.latest().first()
     assert r["status"] == "done" and r["message"] == text
+
+
+def _versions(spark):
+    old = [(i, i % 4, None if i % 9 == 0 else f"v{i}") for i in range(200)] + [(500, None, "x"), (500, None, "x"), (None, 1, "n")]
+    new = [(k, d, v) for k, d, v in old if k != 8] + [(900, 2, "new")]
+    new = [(k, d, "changed") if k == 12 else (k, d, v) for k, d, v in new]
+    shape = "k long, day int, v string"
+    return spark.createDataFrame(old, shape), spark.createDataFrame(new, shape)
+
+
+@pytest.mark.parametrize("part", [None, "day"])
+def test_change_feed_equals_the_whole_comparison(spark, part):
+    old, new = (df.where("k is not null and k <> 500") for df in _versions(spark))
+    got = change_feed(old, new, ["k"], F.col(part) if part else None, parts=16)
+    want = snapshot_diff(old, new, ["k"])
+    assert sorted(got.collect()) == sorted(want.collect()) and {r.k: r.change_type for r in got.collect()} == {8: "delete", 12: "update", 900: "insert"}
+
+
+def test_parts_changed_counts_nulls_copies_and_order(spark):
+    old, new = _versions(spark)
+    assert sorted(r.part for r in parts_changed(old, new, F.col("day")).collect()) == [0, 2]
+    assert parts_changed(old, old.orderBy(F.rand(1)).repartition(5), F.col("day")).count() == 0
+    fewer = old.where("k <> 500 or k is null").unionByName(old.where("k = 500").limit(1))
+    assert [r.part for r in parts_changed(old, fewer, F.col("day")).collect()] == [None]     # one of two equal rows is gone
+    swapped = spark.createDataFrame([(1, None, "a"), (2, 5, None)], "k long, x int, v string")
+    other = spark.createDataFrame([(1, 5, "a"), (2, None, None)], "k long, x int, v string")
+    assert parts_changed(swapped, other, F.lit(0)).count() == 1
+    empty = old.limit(0)
+    assert parts_changed(empty, empty, F.col("day")).count() == 0
+    assert sorted((r.part for r in parts_changed(empty, new, F.col("day")).collect()), key=repr) == [0, 1, 2, 3, None]
+
+
+def test_equal_versions_are_not_joined(spark, tmp_path):
+    """The list of changed parts is empty, so neither version is read again."""
+    _versions(spark)[0].where("k is not null and k <> 500").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    feed = change_feed(df, df, ["k"], F.col("day"))
+    assert feed.collect() == []
+    final = feed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "FileScan" not in final
