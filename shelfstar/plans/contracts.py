@@ -87,6 +87,27 @@ def row_rules(star: Star) -> DataFrame:
     return _union([contracts.row_rules(publish.TABLES[t](star), t, rules) for t, rules in contracts.ROW_RULES.items()])
 
 
+@query("D03_history_rules", """
+    with w as (select product_key, location_key, day, stock_end, lag(stock_end) over p as prev,
+        coalesce(lead(day) over p, (select d + 1 from horizon)) as next, row_number() over p as nth, min(day) over (partition by product_key, location_key) as first
+      from walk where day <= (select d from horizon) window p as (partition by product_key, location_key order by day)),
+    sold as (select product_key, location_key, day, sum(allocated) as sold from alloc where allocated > 0 group by 1, 2, 3),
+    t as (select cast(n * (date_diff('day', d0, d) + 1) as bigint) as position_days from horizon, (select count(distinct (product_key, location_key)) as n from lines) q),
+    v as (select 'unique:product_key,location_key,date_key' as rule, (select count(*) - count(distinct (product_key, location_key, day)) from w) as violations
+      union all select 'every_day_present', (select coalesce(sum(position_days), 0) from t)
+        - (select coalesce(sum(date_diff('day', day, next)), 0) + coalesce(sum(case when nth = 1 then date_diff('day', (select d0 from horizon), first) end), 0) from w)
+      union all select 'no_negative_stock', (select coalesce(sum(date_diff('day', day, next)), 0) from w where stock_end < 0)
+      union all select 'stock_falls_by_sales_only', (select coalesce(sum(date_diff('day', day, next)), 0) from w left join sold using (product_key, location_key, day)
+        where prev - stock_end > coalesce(sold, 0))
+      union all select 'sales_day_has_state', (select count(*) from sold anti join w using (product_key, location_key, day))
+      union all select 'foreign_key:product_key', (select coalesce(sum(date_diff('day', day, next)), 0) from w where product_key not in (select product_key from product_d))
+      union all select 'foreign_key:location_key', (select coalesce(sum(date_diff('day', day, next)), 0) from w where location_key not in (select location_key from location_d)))
+    select 'gold_inventory_fact' as "table", rule, cast(violations as bigint) as violations, violations = 0 as passed, position_days from v, t""")
+def history_rules(star: Star) -> DataFrame:
+    """D02 and D03 over the inventory of all days: rules on run lengths, counted in position-days, no day expanded."""
+    return contracts.history_rules(ledger.intervals(star), ledger.allocations(star), star.product(), star.location(), star.first_day, star.as_of)
+
+
 _RATE = f"({count_if('is_stockout')} * 1e2 / count(*))"
 
 

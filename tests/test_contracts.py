@@ -76,3 +76,43 @@ def test_limits_allow_a_share(spark):
     df = spark.range(100)
     assert failed(contracts.row_rules(df, "t", {"r": "id < 5"}, {"r": 0.05})) == {}
     assert failed(contracts.row_rules(df, "t", {"r": "id < 6"}, {"r": 0.05})) == {"r": 6}
+
+
+RUNS = "product_key long, location_key long, first_day string, last_day string, stock long"
+LINES = "product_key long, location_key long, day string, allocated long"
+
+
+def _history(spark, runs, lines):
+    import datetime as dt
+    date = lambda df, *cols: df.withColumns({c: F.col(c).cast("date") for c in cols})
+    got = contracts.history_rules(
+        date(spark.createDataFrame(runs, RUNS), "first_day", "last_day"), date(spark.createDataFrame(lines, LINES), "day"),
+        spark.createDataFrame([(1,), (2,)], "product_key long"), spark.createDataFrame([(1,)], "location_key long"), dt.date(2000, 1, 1), dt.date(2000, 1, 31))
+    return {r.rule: r.violations for r in got.collect() if r.violations}, got.first().position_days
+
+
+def d(n):
+    return f"2000-01-{n:02d}"
+
+
+GOOD = [(1, 1, d(1), d(9), 5), (1, 1, d(10), d(19), 2), (1, 1, d(20), d(31), 4), (2, 1, d(1), d(31), 0)]
+SOLD = [(1, 1, d(10), 2), (1, 1, d(10), 1), (1, 1, d(15), 0)]
+
+
+@pytest.mark.parametrize("runs, lines, want", [
+    (GOOD, SOLD, {}),
+    ([], [], {}),
+    (GOOD, SOLD[:1], {"stock_falls_by_sales_only": 10}),                                     # three units went, two were sold
+    (GOOD, [*SOLD, (1, 1, d(25), 1)], {"sales_day_has_state": 1}),
+    (GOOD[:2] + GOOD[3:], SOLD, {"every_day_present": 12}),                                  # the end is missing
+    ([GOOD[0], *GOOD[2:]], SOLD, {"every_day_present": 10, "sales_day_has_state": 1, "stock_falls_by_sales_only": 12}),
+    (GOOD[1:], SOLD, {"every_day_present": 9}),                                              # the start is missing
+    ([*GOOD, (2, 1, d(5), d(8), 0)], SOLD, {"unique:product_key,location_key,date_key": 4}),
+    ([*GOOD, GOOD[3]], SOLD, {"unique:product_key,location_key,date_key": 31}),
+    ([*GOOD[:3], (2, 1, d(1), d(31), -1)], SOLD, {"no_negative_stock": 31}),
+    ([*GOOD, (3, 1, d(1), d(31), 0), (1, 7, d(1), d(31), 0)], SOLD, {"foreign_key:product_key": 31, "foreign_key:location_key": 31}),
+], ids=["good", "empty", "unsold", "no state", "no end", "gap", "no start", "overlap", "copy", "negative", "orphans"])
+def test_rules_over_the_whole_history(spark, runs, lines, want):
+    got, total = _history(spark, runs, lines)
+    assert got == want
+    assert total == len({(p, l, x) for p, l, a, b, _ in runs for x in range(int(a[-2:]), int(b[-2:]) + 1)})
