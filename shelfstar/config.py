@@ -46,6 +46,7 @@ class Config:
     event_shift_days: int = 8123
     write_mode: str = "overwrite"
     table_prefix: str = ""
+    position_buckets: int = 32
     count_tolerance: float = 0.2
     extra: dict = field(default_factory=dict)
 
@@ -61,6 +62,7 @@ class Config:
         need(1 <= lo <= hi <= 30, "return_delay_days must rise within 1..30")
         need(self.price_cuts[0] > self.price_cuts[1] > self.price_cuts[2] > 0, "price_cuts must fall")
         need(0.0 <= self.count_tolerance < 1.0, "count_tolerance lies in 0..1")
+        need(self.position_buckets >= 1, "position_buckets must be at least 1")
         need(self.write_mode in ("overwrite", "append", "errorifexists", "ignore"), "unknown write_mode")
         return self
 

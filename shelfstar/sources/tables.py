@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -66,6 +67,39 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """Files dealt by a hash of ``keys``, one per bucket, each in their order. Tables with equal keys and buckets join, and group or
+    window by the keys, without an exchange. The table is written whole, so that each bucket stays one sorted file; its layout is kept
+    in the files' own schema, so any session can read it."""
+    name = f"write_{uuid.uuid4().hex}"
+    layout = {"buckets": buckets, "bucket_keys": keys}
+    noted = df.withMetadata(keys[0], {**dict(df.schema[keys[0]].metadata), **layout})
+    (noted.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    df.sparkSession.sql(f"drop table {name}")     # the name alone: the files lie outside the warehouse
+    try:
+        df.sparkSession.read.parquet(path)
+    except AnalysisException as e:                # no row, no bucket, no file: an empty file holds the schema
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        create(df.sparkSession, [], df.schema).write.mode("overwrite").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A written table; one with buckets is named in the session's catalogue, so that plans know its layout."""
+    df = spark.read.parquet(path)
+    layout = next((f.metadata for f in df.schema.fields if "buckets" in f.metadata), None)
+    if layout is None:
+        return df
+    name = "bucketed_" + hashlib.md5(path.encode()).hexdigest()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    keys, where = ", ".join(layout["bucket_keys"]), path.replace("'", "\\'")
+    spark.sql(f"drop table if exists {name}")
+    spark.sql(f"create table {name} ({columns}) using parquet options (path '{where}') "
+              f"clustered by ({keys}) sorted by ({keys}) into {layout['buckets']} buckets")
+    return spark.table(name)
+
+
 def create(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
     """Typed table from (possibly no) rows."""
     return spark.createDataFrame(rows, schema)

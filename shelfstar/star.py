@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfstar.config import Config
 from shelfstar.functions.exprs import date_key, truncated_cents
-from shelfstar.sources.tables import StageLog, cut
+from shelfstar.sources.tables import StageLog, cut, read
 
 # The eight sales channels.
 CHANNELS = [
@@ -91,6 +91,7 @@ class Star:
         self._done = set() if built is None else {r.stage for r in StageLog(spark, f"{built}/{LOG}").latest().where("status = 'done'").collect()}
         self._raw: dict[str, DataFrame] = {}
         self._cuts: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -108,7 +109,9 @@ class Star:
         return name in self._done
 
     def written(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._tables:
+            self._tables[name] = read(self.spark, self.path(name))
+        return self._tables[name]
 
     def cut(self, name: str, build) -> DataFrame:
         """A table that several parts of a query use: computed once, then read from the shared folder."""

@@ -44,3 +44,44 @@ def test_written_tables_are_read_and_pruned(spark, built):
     star = built[0]
     text = ledger.movements(star, star.days_back(30))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(day," in text and "lineitem" not in text
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_position_tables_join_and_window_without_an_exchange(spark, built):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from shelfstar.operators import ledger
+    star, pos = built[0], ["product_key", "location_key"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        walk, here, runs = star.written("stock_walk"), star.written("positions"), star.written("intervals")
+        joined = walk.join(here.select(*pos, "quantity_on_hand"), pos).join(runs.select(*pos, "stock"), pos)
+        assert exchanges(joined) == 0
+        assert exchanges(walk.withColumn("n", F.row_number().over(Window.partitionBy(*pos).orderBy("day")))) == 0
+        assert exchanges(walk.groupBy(*pos).agg(F.max("day"))) == 0
+        assert exchanges(ledger.history_check(star)) == 0
+        plain = lambda name: spark.read.parquet(star.path(name))
+        want = plain("stock_walk").join(plain("positions").select(*pos, "quantity_on_hand"), pos).join(plain("intervals").select(*pos, "stock"), pos)
+        assert rows(joined) == rows(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_bucketed_table_tells_its_own_layout(spark, tmp_path):
+    """Written anew with another number of buckets, it is read with that number; nulls, repeated rows and an empty table keep their rows."""
+    path, shape = str(tmp_path / "t"), "a long, b long, c string"
+    data = [(i % 7, None if i % 5 == 0 else i, "x") for i in range(50)] + [(1, 1, None)] * 3
+    for n in (4, 3):
+        tables.write_bucketed(spark.createDataFrame(data, shape), path, ["a", "b"], n)
+        back = tables.read(spark, path)
+        assert rows(back) == rows(spark.createDataFrame(data, shape)) and back.columns == ["a", "b", "c"]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        twice = back.groupBy("a", "b").count().join(back, ["a", "b"])
+        assert exchanges(twice) == 0 and twice.count() == sum(b is not None for _, b, _ in data)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tables.write_bucketed(spark.createDataFrame([], shape), path, ["a", "b"], 2)
+    assert tables.read(spark, path).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("write_")]
