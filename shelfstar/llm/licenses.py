@@ -7,8 +7,9 @@ three times the longest template. A window proposes each family whose calibrated
 least ``sure``; so it may propose several, and none is what most windows do. A proposed family is confirmed if the window has most
 word shingles of one of its templates (a template of fewer words than a shingle is compared as a whole).
 
-A window without three words in a row of some template (or a whole shorter one) is unknown unread, so texts without any
-are settled by one pattern. DataFrame operations and Spark's own classifier only.
+The classifier judges every window that has n-grams of the model. A text is settled without its windows only if the words it has,
+in whatever order, cannot bring a family to ``sure``: the bound is the model's own. DataFrame operations and Spark's own
+classifier only.
 """
 
 from __future__ import annotations
@@ -98,6 +99,10 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _hits(text: Column, known: dict[int, list[str]]) -> Column:
     """(gram, at, size, first, last, of) of a text's n-grams in bounded lists by their number of words: place of its first
     word, number of words, the lines of its first and last word, and the words of the text. Words in no list are
@@ -150,7 +155,8 @@ class Model:
 
 
 def fit(spark: SparkSession, paragraphs: DataFrame, p: Params | None = None) -> Model:
-    """Fit on the templates and about ``sample`` of ``paragraphs`` (text), which count as unknown unless they match a template."""
+    """Fit on the templates and about ``sample`` of ``paragraphs`` (text), which count as unknown unless they match a template; of a
+    longer one the first window is learned from."""
     p = p or Params()
     words = {f: [plain_words(t) for t in texts] for f, texts in TEMPLATES.items()}
     vocabulary = sorted({g for texts in words.values() for w in texts for n in NGRAMS for g in _grams(w, n)})
@@ -185,30 +191,34 @@ def fit(spark: SparkSession, paragraphs: DataFrame, p: Params | None = None) ->
     return Model(classes[:model.numClasses], vocabulary, model.coefficientMatrix.toArray().T.tolist(), model.interceptVector.toArray().tolist(), grid[best])
 
 
-def _telling(p: Params) -> list[str]:
-    """N-grams without which a window is unknown: three words in a row of a template, one of them of six letters or more, or a
-    whole template of at most three words. Most shingles of a longer template cannot be without one."""
-    words = [plain_words(t) for texts in TEMPLATES.values() for t in texts]
-    return sorted({" ".join(w) for w in words if len(w) <= 3} | {g for w in words for g in _grams(w, 3) if any(len(x) >= 6 for x in g.split())})
+def _odds(grams: Column, weight: dict[str, list[float]], start: list[float]) -> Column:
+    """``start`` and the weights of those ``grams`` that have any, by family."""
+    table = _literal(weight, "map<string,array<double>>")
+    return F.aggregate(F.filter(grams, lambda g: g.isin(sorted(weight))), F.array(*[F.lit(float(x)) for x in start]),
+                       lambda s, g: F.zip_with(s, F.element_at(table, g), lambda x, y: x + y))
+
+
+def _chances(odds: Column) -> Column:
+    return F.transform(odds, lambda x: F.lit(1.0) / (1.0 + F.exp(-x)))
 
 
-def _gate(text: Column, p: Params) -> Column:
-    """Whether a text may have a telling n-gram: it has a word of each, the longest, and a pattern of all of them matches."""
-    tree: dict = {}
-    for g in _telling(p):
-        at = tree
-        for w in g.split():
-            at = at.setdefault(w, {})
-        at[""] = {}
+def reach(model: Model) -> dict[str, list[float]]:
+    """The most that a word adds to the log-odds of each family: gains above zero of the n-grams charged to it, each to its longest word.
 
-    def after(at: dict) -> str:
-        """What may follow a word, unless an n-gram ends with it."""
-        return "" if "" in at else f"[^a-z0-9]+(?:{'|'.join(re.escape(w) + after(x) for w, x in sorted(at.items()))})"
+    A window that has an n-gram has the word it is charged to. So the log-odds of a window are at most the start and the sum
+    over its words, or over those of its whole text."""
+    out: dict[str, list[float]] = {}
+    for g, gain in model.gains().items():
+        word = max(g.split(), key=lambda w: (len(w), w))
+        out[word] = [x + max(y, 0.0) for x, y in zip(out.get(word, [0.0] * len(gain)), gain)]
+    return {w: most for w, most in out.items() if any(most)}
 
-    pattern = "[^a-z0-9](?:" + "|".join(re.escape(w) + after(x) for w, x in sorted(tree.items())) + ")"
-    longest = sorted({max(re.findall("[a-z0-9]+", g), key=lambda w: (len(w), w)) for g in _telling(p)})
-    low = F.concat(F.lit(" "), F.lower(text))
-    return F.coalesce(F.arrays_overlap(F.split(low, "[^a-z0-9]+"), F.lit(longest)), F.lit(False)) & low.rlike(pattern)
+
+def _gate(text: Column, model: Model, p: Params) -> Column:
+    """Whether some window of a text might propose a family. False only where none can (the margin is for rounding)."""
+    most = reach(model)
+    words = F.array_intersect(_wordlist(text), F.lit(sorted(most)).cast("array<string>"))
+    return F.array_max(_chances(_odds(words, most, [x + 1e-6 for x in model.start()]))) >= p.sure
 
 
 def paragraphs_of(text: Column) -> Column:
@@ -235,10 +245,6 @@ def windows(rows: DataFrame, known: dict[int, list[str]], text: str = "text") ->
             .groupBy(*rest, "block", "window").agg(F.sort_array(F.collect_list("h")).alias("hits")))
 
 
-def _literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
 def searched(model: Model, p: Params) -> dict[int, list[str]]:
     """The n-grams of the model and the shingles of the templates by their number of words."""
     shingles, gains = _by_size(p), model.gains()
@@ -250,7 +256,6 @@ def judged(found: DataFrame, model: Model, p: Params) -> DataFrame:
     line) that hold shingles of confirmed templates (``held``) or, in the middle, n-grams of the model (``named``)."""
     gains, start, span = model.gains(), model.start(), _span()
     rest = [c for c in found.columns if c != "hits"]
-    weight = _literal(gains, "map<string,array<double>>")
     known = _literal([{"family": model.classes.index(f), "grams": g} for f, _, g in _templates(p) if f in model.classes], "array<struct<family:int,grams:array<string>>>")
     names, place = F.array(*[F.lit(c) for c in model.classes]), lambda n: F.struct(F.col("block").alias("block"), n.alias("line"))
 
@@ -269,14 +274,11 @@ def judged(found: DataFrame, model: Model, p: Params) -> DataFrame:
             return _let(fits, with_fits)
 
         def with_grams(grams: Column) -> Column:
-            odds = F.aggregate(F.filter(grams, lambda g: g.isin(sorted(gains))), F.array(*[F.lit(float(x)) for x in start]),
-                               lambda s, g: F.zip_with(s, F.element_at(weight, g), lambda x, y: x + y))
-            return _let(F.transform(odds, lambda x: F.lit(1.0) / (1.0 + F.exp(-x))), lambda odds: F.when(F.array_max(odds) >= p.sure, with_odds(grams, odds)))
+            return _let(_chances(_odds(grams, gains, start)), lambda odds: F.when(F.array_max(odds) >= p.sure, with_odds(grams, odds)))
 
         return _let(F.array_distinct(F.transform(h, lambda x: x["gram"])), with_grams)
 
-    telling = F.exists("hits", lambda h: h["gram"].isin(_telling(p)))
-    return found.where(telling).select(*rest, F.explode(F.array(judge(F.col("hits")))).alias("j")).where("j is not null").select(*rest, "j.*")
+    return found.select(*rest, F.explode(F.array(judge(F.col("hits")))).alias("j")).where("j is not null").select(*rest, "j.*")
 
 
 def scan(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame:
@@ -285,13 +287,14 @@ def scan(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame:
     ``n_paragraphs``: non-blank lines. ``licenses``: sorted families that a window proposes and a template confirms; a notice may be
     wrapped over lines, up to a blank one, and a line may state several. ``n_confirmed``: lines that hold shingles of a confirmed
     notice; ``n_unconfirmed``: other lines whose n-grams lie in the middle of a window that proposes a family; ``best``: the
-    highest probability of a proposed family, null for none. Null and empty texts have no lines. Rows stay apart,
-    repeated ones and those without a doc_id as well; other columns are ignored; equal probabilities propose together.
+    highest probability of a proposed family, null for none. The windows of a text are judged unless its words cannot reach ``sure``.
+    Null and empty texts have no lines. Rows stay apart, repeated ones and those without a doc_id as well; other columns are
+    ignored; equal probabilities propose together.
     """
     p = p or Params()
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.size(paragraphs_of(F.col("text"))).cast("long").alias("n_paragraphs"))
-    rows = cut(rows.select("doc_id", "n_paragraphs", F.when(_gate(F.col("text"), p), F.col("text")).alias("text"), F.monotonically_increasing_id().alias("row")), "candidates")
+    rows = cut(rows.select("doc_id", "n_paragraphs", F.when(_gate(F.col("text"), model, p), F.col("text")).alias("text"), F.monotonically_increasing_id().alias("row")), "candidates")
     loud = rows.where("text is not null")
     places = "array<struct<block:int,line:int>>"
     none = [F.lit(None).cast(k).alias(c) for c, k in {"chance": "double", "families": "array<string>", "held": places, "named": places}.items()]
