@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,112 @@ def test_requests_for_settled_days_are_passed_on(spark, tmp_path):
                    ("sale", 3, 5, 5, 0), ("sale", 4, 1, 3, 2), ("sale", 7, 0, 0, 0), ("sale", 8, 0, 0, 0)]
 
 
+def test_positions_share_state_rows(spark, tmp_path):
+    n = 6000  # positions of one line each; a state row or more for each of them made the store as slow as its calls
+    day = F.lit(100) + F.col("id") % 5
+    lines = spark.range(n).select(F.timestamp_seconds(day * 86_400).alias("at"), F.col("id").alias("product_key"), F.lit(3).alias("location_key"), F.lit(5).alias("opening"),
+                                  day.alias("day"), F.col("id").alias("transaction_id"), F.lit(1).alias("line_number"), F.lit(8).alias("quantity"), F.lit(0).alias("net_cents"),
+                                  F.lit(0).alias("discount_cents"), F.lit(0).alias("tax_cents"), F.lit(False).alias("is_return"), F.lit(1).alias("delay"))
+    lines.coalesce(1).write.parquet(str(tmp_path / "in"))
+    clock = jobs.Clock(spark, str(tmp_path / "clock"))
+    clock.tick(dt.date(1971, 1, 1))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    q = jobs.start_stock(stream, str(tmp_path / "out"), str(tmp_path / "ck"), clock=clock)
+    q.awaitTermination()
+    moves = spark.read.schema(jobs.MOVES).parquet(str(tmp_path / "out"))
+    assert moves.where("kind = 'sale' and allocated = 5 and stock_after = 0").count() == n == moves.count()
+    assert max(x["numRowsTotal"] for p in q.recentProgress for x in p["stateOperators"]) < 2 * n
+
+
+class Kept:
+    """The state of one key, in memory."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": lambda s: getattr(s, "v", None), "update": lambda s, v: setattr(s, "v", v)})()
+
+    def getMapState(self, *_):
+        chunks = {}
+        return type("Map", (), {"values": lambda s: iter([*chunks.values()]), "updateValue": lambda s, k, v: chunks.update({k: v}), "clear": lambda s: chunks.clear()})()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def through_shard(batches, schema, end):
+    """Moves of batches of requests, each with the watermark in days that holds for it, in one shard."""
+    shard, kept, out = jobs.RunningStock(), Kept(), []
+    shard.init(kept)
+    for mark, rows in [*batches, (end, [])]:
+        ms = mark * jobs.DAY_MS
+        timer = type("Timer", (), {"getCurrentWatermarkInMs": lambda s: ms})()
+        packed = pa.RecordBatch.from_pylist([{**r, "shard": 0} for r in rows], pa.schema([*schema, ("shard", pa.int32())]))
+        frames = (pd.DataFrame({"requests": b.column(1).to_pylist()}) for b in jobs.pack(iter([packed])))
+        out += [b for f in shard.handleInputRows((0,), frames, timer) for b in f["moves"]]
+        for at in sorted(t for t in kept.timers if t <= ms):
+            out += [b for f in shard.handleExpiredTimer((0,), timer, None) for b in f["moves"]]
+            kept.timers.discard(at)
+    return [r for b in jobs.unpack(iter([pa.RecordBatch.from_pydict({"moves": out})])) for r in b.to_pylist()]
+
+
+ASKED = pa.schema([(c, {"i8": pa.int64(), "i4": pa.int32(), "i1": pa.bool_()}[jobs.ASKED[c].str[1:]]) for c in jobs.ASKED.names[:-1]])
+EPOCH = dt.date(1970, 1, 1)
+
+
+def replayed(rows):
+    """Units of each line by the rule of the check SQL: what is due comes back before a line, nulls sort last and a null quantity takes all."""
+    left, got = {}, {}
+    order = lambda r: [(r[c] is None, r[c] or 0) for c in ("day", *jobs.IN_DAY)]
+    for r in sorted(rows, key=order):
+        stock, due = left.get(r["product_key"], (r["opening"], []))
+        stock += sum(u for d, u in due if d <= r["day"])
+        take = stock if r["quantity"] is None else min(stock, r["quantity"])
+        got[r["net_cents"]] = (stock, take)
+        back = [(r["day"] + r["delay"], take)] if r["is_return"] and r["delay"] is not None else []
+        left[r["product_key"]] = (stock - take, [x for x in due if x[0] > r["day"]] + back)
+    return got
+
+
+@pytest.mark.parametrize("block", [3, 1 << 14])
+def test_shard_gives_what_a_replay_of_each_line_gives(monkeypatch, block):
+    monkeypatch.setattr(jobs, "BLOCK", block)
+    monkeypatch.setattr(jobs, "PACK", 40)
+    rng = random.Random(3)
+    some = lambda x: None if rng.random() < 0.05 else x
+    rows = []
+    for i in range(900):  # position 0 has a third of all lines; net_cents is unlike in all of them
+        p, t = (0 if i % 3 == 0 else rng.choice([-5, 1, 2, 256, 1 << 40])), some(rng.randint(0, 1 << 60))
+        rows.append({"product_key": p, "location_key": 7, "opening": 60 + p % 50, "day": rng.randint(100, 180), "transaction_id": t, "line_number": some(rng.randint(1, 7)),
+                     "quantity": some(rng.randint(0, 30)), "net_cents": i, "discount_cents": some(3), "tax_cents": 1, "is_return": some(rng.random() < 0.5),
+                     "delay": None if t is None else 1 + t % 3})
+    parts = [(0, rows[:100]), (0, rows[100:500]), (99, rows[500:600]), (99, rows[600:])]
+    moves = through_shard(parts, ASKED, 400)
+    want = replayed(rows)
+    key = lambda r: (r["product_key"], r["day"], r["transaction_id"] is None, r["transaction_id"] or 0, r["line_number"] is None, r["line_number"] or 0)
+    sold = sorted(((*key({**m, "day": (m["day"] - EPOCH).days}), m["requested"], m["stock_before"], m["allocated"], m["stock_after"]) for m in moves if m["kind"] == "sale"), key=str)
+    assert sold == sorted(((*key(r), r["quantity"], want[r["net_cents"]][0], want[r["net_cents"]][1], want[r["net_cents"]][0] - want[r["net_cents"]][1]) for r in rows), key=str)
+    back = sum(m["stock_after"] - m["stock_before"] for m in moves if m["kind"] == "restock")
+    assert back == sum(want[r["net_cents"]][1] for r in rows if r["is_return"] and r["delay"] is not None) > 0
+    by_day = sorted(rows, key=lambda r: r["day"])  # day after day gives the same
+    cut = [(max(0, d - 1), [r for r in by_day if r["day"] == d]) for d in range(100, 181)]
+    assert sorted(map(str, through_shard(cut, ASKED, 400))) == sorted(map(str, moves))
+
+
+def test_days_are_settled_by_position_and_odd_requests_are_late():
+    r = {"product_key": 1, "location_key": 2, "opening": 9, "day": 100, "transaction_id": 1, "line_number": 1, "quantity": 4, "net_cents": 0, "discount_cents": 0, "tax_cents": 0,
+         "is_return": False, "delay": 1}
+    parts = [(0, [r]), (111, [{**r, "transaction_id": 2}, {**r, "product_key": 3, "transaction_id": 3}, {**r, "product_key": None, "transaction_id": 4},
+                              {**r, "location_key": None, "transaction_id": 5}, {**r, "day": None, "transaction_id": None, "quantity": None}, {**r, "product_key": 8, "opening": None, "transaction_id": 6}])]
+    parts.insert(1, (111, []))  # position 1 is settled up to day 110, position 3 has not come yet
+    moves = through_shard(parts, ASKED, 400)
+    got = sorted(((m["kind"], m["product_key"], m["location_key"], m["transaction_id"], m["requested"], m["allocated"], m["stock_before"], m["stock_after"]) for m in moves), key=str)
+    assert got == sorted([("sale", 1, 2, 1, 4, 4, 9, 5), ("sale", 3, 2, 3, 4, 4, 9, 5), ("late", 1, 2, 2, 4, None, None, None), ("late", None, 2, 4, 4, None, None, None),
+                          ("late", 1, None, 5, 4, None, None, None), ("late", 1, 2, None, None, None, None, None), ("late", 8, 2, 6, 4, None, None, None)], key=str)
+    assert [m["day"] for m in moves if m["kind"] == "late"].count(None) == 1
+
+
 def changes(spark, rows):
     return spark.createDataFrame(rows, "k long, v string, change_type string, version int")
 
